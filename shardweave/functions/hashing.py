@@ -105,12 +105,16 @@ def hash_batch(function: str, texts: pa.Array) -> np.ndarray:
     return _BATCH[function](*_split_text(texts)).astype(np.int64)
 
 
-def hash_value(function: str, text: str) -> int:
-    """Hash of one text, for literals such as the key of a point read."""
+def hash_values(function: str, texts: list[str]) -> list[int]:
+    """Hashes of a few texts on the driver, for literals and small rings."""
     check_function(function)
     if function == "crc32":
-        return zlib.crc32(text.encode())
-    return int(hash_batch(function, pa.array([text], pa.string()))[0])
+        return [zlib.crc32(t.encode()) for t in texts]
+    return hash_batch(function, pa.array(texts, pa.string())).tolist()
+
+
+def hash_value(function: str, text: str) -> int:
+    return hash_values(function, [text])[0]
 
 
 def hash_text(function: str, text: Column) -> Column:

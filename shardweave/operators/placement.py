@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardweave.functions.hashing import MASK32, hash_text, hash_value, key_text, with_key_hash
+from shardweave.functions.hashing import MASK32, hash_text, hash_value, hash_values, key_text, with_key_hash
 from shardweave.operators.intervals import HASH_BIN_BITS, first_match, interval_case, interval_join
 from shardweave.operators.scan import ordered_scan
 from shardweave.sources.topology import Topology, TopologyError
 
 SHARD = "__shard"
 MAX_CASE_BRANCHES = 64
+MAX_LOCAL_POINTS = 1 << 16
 
 
 class ShardKeyError(KeyError):
@@ -59,8 +60,24 @@ def ring_intervals(points: DataFrame, shard: str) -> DataFrame:
     return arcs.unionByName(wrap)
 
 
+def _topology_points(topology: Topology) -> list[tuple[int, str]]:
+    """Sorted (hash, shard) points of one keyspace, computed without a job."""
+    owners = [s for s in topology.shards for _ in range(topology.vnodes)]
+    labels = [f"{s}:{v}" for s in topology.shards for v in range(topology.vnodes)]
+    return sorted(zip(hash_values(topology.function, labels), owners))
+
+
 def topology_ring(spark: SparkSession, topology: Topology) -> DataFrame:
-    """Ring intervals of one keyspace; bounded by its ranges times its virtual nodes."""
+    """Ring intervals (lo, hi, shard) of one keyspace; large rings are built as a job."""
+    if len(topology.shards) * topology.vnodes <= MAX_LOCAL_POINTS:
+        points: dict[int, str] = {}
+        for h, s in _topology_points(topology):
+            points.setdefault(h, s)
+        ends = list(points)
+        arcs = [(a + 1, b, points[b]) for a, b in zip([-1, *ends], ends)]
+        if ends[-1] < MASK32:
+            arcs.append((ends[-1] + 1, MASK32, points[ends[0]]))
+        return spark.createDataFrame(arcs, "lo LONG, hi LONG, shard STRING")
     shards = spark.createDataFrame([(s,) for s in topology.shards], "shard STRING")
     return ring_intervals(ring_points(shards, "shard", topology.vnodes, topology.function), "shard")
 
@@ -99,8 +116,9 @@ def assign_shard(
             placed = interval_join(hashed, "__hash", table, "__lo", "__hi", small=True).drop("__hash", "__lo", "__hi")
     elif topology.vindex_type == "consistent-hash":
         ring = topology_ring(df.sparkSession, topology).toDF("__lo", "__hi", out)
+        bounded = len(topology.shards) * topology.vnodes <= MAX_LOCAL_POINTS
         hashed = with_key_hash(df, key, topology.function)
-        placed = interval_join(hashed, "__hash", ring, "__lo", "__hi", small=True).drop("__hash", "__lo", "__hi")
+        placed = interval_join(hashed, "__hash", ring, "__lo", "__hi", small=bounded).drop("__hash", "__lo", "__hi")
     elif topology.vindex_type == "range":
         placed = df.withColumn(out, _range_case(key_text(df, key), topology))
     else:
@@ -124,9 +142,7 @@ def resolve_key(topology: Topology, key: object) -> str:
         if topology.vindex_type == "hash":
             found = next((s for lo, hi, s in topology.hash_intervals() if lo <= h <= hi), None)
         elif topology.vindex_type == "consistent-hash":
-            points = sorted(
-                (hash_value(topology.function, f"{s}:{v}"), s) for s in topology.shards for v in range(topology.vnodes)
-            )
+            points = _topology_points(topology)
             found = next((s for point, s in points if point >= h), points[0][1])
         else:
             raise TopologyError("a lookup key is resolved by joining its mapping table")

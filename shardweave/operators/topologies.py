@@ -155,8 +155,11 @@ def placement_violations(spec: DataFrame) -> DataFrame:
     found = F.array_compact(
         F.array(
             F.when(empty, F.struct(F.lit("empty id").alias("violation"), F.col("n").alias("n_rows"))),
-            F.when(~empty & (F.col("n") > 1), F.struct(F.lit("duplicate id"), F.col("n"))),
-            F.when(F.col("n_negative") > 0, F.struct(F.lit("negative weight"), F.col("n_negative"))),
+            F.when(~empty & (F.col("n") > 1), F.struct(F.lit("duplicate id").alias("violation"), F.col("n").alias("n_rows"))),
+            F.when(
+                F.col("n_negative") > 0,
+                F.struct(F.lit("negative weight").alias("violation"), F.col("n_negative").alias("n_rows")),
+            ),
         )
     )
     return per_id.select("shard_id", F.explode(found).alias("v")).select("shard_id", "v.violation", "v.n_rows")

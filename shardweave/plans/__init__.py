@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shardweave.plans import placement, topologies  # noqa: F401
+from shardweave.plans import gathers, layouts, placement, topologies  # noqa: F401
 from shardweave.plans.registry import ORACLE, QUERIES, Query
 
 

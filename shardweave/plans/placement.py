@@ -9,7 +9,7 @@ from shardweave.operators import placement as P
 from shardweave.operators.intervals import interval_join
 from shardweave.plans.oracle import crc32_sql, fnv1a_sql, murmur3_sql, quarter_shard_sql
 from shardweave.plans.registry import query, table
-from shardweave.sources.topology import MASK32, Range, Topology, equal_hash_topology
+from shardweave.sources.topology import Range, Topology, equal_hash_topology
 
 FOUR = equal_hash_topology("o_orderkey", 4)
 SEGMENTS = Topology(
@@ -186,4 +186,3 @@ def v14(spark, sf_dir):
     return with_key_hash(keyed, "raw", "murmur3", "h").drop("raw")
 
 
-__all__ = ["FOUR", "MASK32", "RING_3", "RING_4", "SEGMENTS"]

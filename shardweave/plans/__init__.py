@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shardweave.plans import gathers, layouts, placement, reshards, topologies, workloads  # noqa: F401
+from shardweave.plans import fleets, gathers, layouts, placement, reshards, topologies, workloads  # noqa: F401
 from shardweave.plans.registry import ORACLE, QUERIES, Query
 
 

@@ -104,3 +104,46 @@ def ordered_scan(
             for o in previous
         ],
     )
+
+
+def trailing_sum(
+    df: DataFrame, keys: Sequence[str], at: str, window: int, value: Column, out: str, width: int | None = None
+) -> DataFrame:
+    """Append the sum of ``value`` over the rows of the key in ``[at - window, at]``.
+
+    Rows of the last ``window`` of a bucket are repeated in the next bucket, so that every
+    (key, bucket) is complete on its own.
+    """
+    width = max(width or 0, 8 * window)
+    own = bucket_of(at, width)
+    reaches = F.col(at) + F.lit(window) >= (own + 1) * F.lit(width)
+    homes = F.when(reaches, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = df.withColumn("__value", value).withColumn(BUCKET, F.explode(homes))
+    trailing = Window.partitionBy(*keys, BUCKET).orderBy(at).rangeBetween(-window, 0)
+    summed = spread.withColumn(out, F.sum("__value").over(trailing))
+    return summed.filter(F.col(BUCKET) == own).select(*df.columns, out)
+
+
+def as_of_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, right_at: str, tie: str, values: Sequence[str], width: int
+) -> DataFrame:
+    """Left join of every row to the last ``right`` row of its key at or before ``at``.
+
+    ``tie`` orders right rows of the same time.  Both sides run through one ordered scan, so
+    neither side of a hot key is gathered or multiplied.
+    """
+    payload = F.struct(F.col(right_at).alias("at"), F.col(tie).alias("tie"), *values)
+    lookups = left.select(
+        *keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.monotonically_increasing_id().alias("__id"),
+        F.lit(None).cast(right.select(payload.alias("r")).schema["r"].dataType).alias("__right"),
+        F.struct(*left.columns).alias("__left"),
+    )
+    events = right.select(
+        *keys, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.monotonically_increasing_id().alias("__id"),
+        payload.alias("__right"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("__left"),
+    )
+    scanned = ordered_scan(
+        lookups.unionByName(events), keys, ["__at", "__side", "__id"], bucket_of("__at", width),
+        maxes={"__last": F.col("__right")},
+    )
+    return scanned.filter("__side = 1").select("__left.*", *[F.col(f"__last.{v}").alias(v) for v in values])

@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from shardweave.plans import fleets, gathers, layouts, placement, reshards, topologies, workloads  # noqa: F401
+from shardweave.plans import (  # noqa: F401
+    alerting,
+    autosplits,
+    fleets,
+    gathers,
+    layouts,
+    placement,
+    recoveries,
+    reshards,
+    streams,
+    topologies,
+    workloads,
+)
 from shardweave.plans.registry import ORACLE, QUERIES, Query
 
 

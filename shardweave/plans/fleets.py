@@ -15,7 +15,7 @@ from shardweave.operators.scan import DAY, HOUR, MINUTE, bucket_of, micros
 from shardweave.plans.registry import query, table
 
 AS_OF = 1706659200 * 1_000_000  # 2024-01-31 00:00:00 UTC, after the last heartbeat
-STALE = 10 * HOUR
+STALE = 30 * HOUR
 
 
 def heartbeats(spark, sf_dir):
@@ -24,7 +24,7 @@ def heartbeats(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
         pod.alias("pod"),
         F.when((user + event) % 4 == 0, "primary").otherwise("replica").alias("role"),
-        (kind == "purchase").alias("promoted"),
+        kind.isin("purchase", "click").alias("promoted"),
         (kind != "error").alias("ready"),
         F.concat(pod, F.lit(":6432")).alias("endpoint"),
         (F.floor(F.col("value") * 1000) - 5000).alias("lag"),
@@ -62,7 +62,7 @@ def shards(spark, sf_dir):
 
 
 HEARTBEATS_SQL = """hb AS (SELECT 'pod-' || user_id AS pod, CASE WHEN (user_id + event_id) % 4 = 0 THEN 'primary' ELSE 'replica' END AS role,
-  event_type = 'purchase' AS promoted, event_type <> 'error' AS said_ready, 'pod-' || user_id || ':6432' AS endpoint,
+  event_type IN ('purchase', 'click') AS promoted, event_type <> 'error' AS said_ready, 'pod-' || user_id || ':6432' AS endpoint,
   floor(value * 1000)::BIGINT - 5000 AS lag, floor(value * 10000000)::BIGINT AS size,
   CASE WHEN event_type = 'error' THEN 'probe-failed' END AS reason, epoch_us(ts) AS at_us, event_id AS seq FROM events),
   latest AS (SELECT * FROM hb QUALIFY row_number() OVER (PARTITION BY pod ORDER BY at_us DESC, seq DESC) = 1)"""
@@ -340,8 +340,8 @@ def f22(spark, sf_dir):
 @query(
     "f23_switchover_check",
     f"WITH {MEMBERS_SQL}, q AS (SELECT event_id, 'c' || (user_id // 25) AS cluster, 'pod-' || (user_id + CASE WHEN event_id % 5 = 0 THEN 40 ELSE 0 END) AS target FROM events) "
-    "SELECT event_id, q.cluster, target, CASE WHEN place = 'primary' THEN 'already primary' WHEN place = 'replica' AND ready THEN 'ok' ELSE 'not found or not ready' END AS verdict, "
-    "CASE WHEN place = 'replica' AND ready THEN endpoint END AS endpoint FROM q LEFT JOIN members m ON m.pod = target AND m.cluster = q.cluster AND place <> 'unused'",
+    "SELECT event_id, q.cluster, q.target, CASE WHEN place = 'primary' THEN 'already primary' WHEN place = 'replica' AND ready THEN 'ok' ELSE 'not found or not ready' END AS verdict, "
+    "CASE WHEN place = 'replica' AND ready THEN endpoint END AS endpoint FROM q LEFT JOIN members m ON m.pod = q.target AND m.cluster = q.cluster AND place <> 'unused'",
 )
 def f23(spark, sf_dir):
     shift = F.when(F.col("event_id") % 5 == 0, 40).otherwise(0)

@@ -34,18 +34,20 @@ def with_growth(samples: DataFrame, series: Sequence[str], at: str, tie: str, va
     return chained.withColumn("growth", growth).drop("__before")
 
 
-def counter_rate(samples: DataFrame, series: Sequence[str], at: str, tie: str, value: str, window: int = LOOK_BACK) -> DataFrame:
+def counter_rate(
+    samples: DataFrame, series: Sequence[str], at: str, tie: str, value: str, width: int, window: int = LOOK_BACK
+) -> DataFrame:
     """Append ``rate``: growth per second over the trailing window."""
-    grown = with_growth(samples, series, at, tie, value, bucket_of(at, 8 * window))
-    summed = trailing_sum(grown, series, at, window, F.col("growth"), "__sum")
+    grown = with_growth(samples, series, at, tie, value, bucket_of(at, width))
+    summed = trailing_sum(grown, series, at, window, F.col("growth"), "__sum", width)
     return summed.withColumn("rate", F.col("__sum") / F.lit(window / MICROS)).drop("__sum", "growth")
 
 
 def counter_increase(
-    samples: DataFrame, series: Sequence[str], at: str, tie: str, value: str, by: Sequence[str], step: int = LOOK_BACK
+    samples: DataFrame, series: Sequence[str], at: str, tie: str, value: str, by: Sequence[str], width: int, step: int = LOOK_BACK
 ) -> DataFrame:
     """Growth per label group and step of time."""
-    grown = with_growth(samples, series, at, tie, value, bucket_of(at, 64 * step))
+    grown = with_growth(samples, series, at, tie, value, bucket_of(at, width))
     return grown.groupBy(*by, bucket_of(at, step).alias("step")).agg(F.sum("growth").alias("increase"))
 
 

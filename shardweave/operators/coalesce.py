@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardweave.operators.scan import BUCKET
+from shardweave.operators.scan import BUCKET, even_width
 
 PART = "__part"
 NEVER = np.iinfo(np.int64).min // 4
@@ -54,13 +54,15 @@ class _Timeline:
             at = np.where(ahead < self.size, ahead, at)
 
 
-def coalesce_signals(df: DataFrame, key: str, at: str, width: int, buckets_per: int = 1000, parts: int = 64) -> DataFrame:
+def coalesce_signals(df: DataFrame, key: str, at: str, width: int, rows_per_group: int = 500_000) -> DataFrame:
     """One row (key, start, emit_at) per window of ``width`` LONG time units.
 
-    A window holds the signals in ``[start, start + width)``.  ``buckets_per`` is the length
-    of a bucket in windows; ``parts`` spreads the keys of one bucket over that many groups.
+    A window holds the signals in ``[start, start + width)``.  Buckets are made short enough,
+    and the keys of a bucket are spread over enough groups, that a group has about
+    ``rows_per_group`` signals; a bucket is never shorter than a window.
     """
-    span = width * buckets_per
+    span = max(width, even_width(df, at, rows_per_group, longest=1000 * width))
+    parts = max(1, -(-df.count() // rows_per_group))
     key_type = df.schema[key].dataType.simpleString()
     signals = df.select(
         key,

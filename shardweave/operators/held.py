@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardweave.operators.scan import ordered_scan
+from shardweave.operators.scan import scan_done, scan_ready, scan_step
 
 
 def with_held_since(
@@ -29,15 +29,16 @@ def with_held_since(
     here = F.struct(at, tie)
     holds = F.coalesce(condition, F.lit(False))
     marked = df.withColumns({"__holds": holds, "__begins": holds & (F.lit(True) if may_start is None else may_start)})
-    scanned = ordered_scan(
-        marked, keys, [at, tie], bucket,
+    scanned = scan_step(
+        scan_ready(marked, keys, bucket),
+        [at, tie],
         maxes={"__cleared": F.when(~F.col("__holds"), here), "__began": F.when(F.col("__begins"), here)},
         exclusive=True,
-    )
+    )
     # A beginning is the first of its run when no other lies between it and the last break.
     first = F.col("__begins") & (F.col("__began").isNull() | (F.col("__began") < F.col("__cleared")))
     first = F.coalesce(first, F.lit(False))
-    scanned = ordered_scan(scanned, keys, [at, tie], bucket, maxes={"__start": F.when(first, here)})
+    scanned = scan_done(scan_step(scanned, [at, tie], maxes={"__start": F.when(first, here)}))
     alive = F.col("__holds") & (F.col("__cleared").isNull() | (F.col("__start") > F.col("__cleared")))
     return scanned.withColumn(out, F.when(alive, F.col("__start")[at])).select(*df.columns, out)
 

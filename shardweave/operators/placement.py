@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shardweave.functions.hashing import MASK32, hash_text, hash_value, hash_values, key_text, with_key_hash
 from shardweave.operators.intervals import HASH_BIN_BITS, first_match, interval_case, interval_join
-from shardweave.operators.scan import ordered_scan
+from shardweave.operators.scan import as_of_join, ordered_scan
 from shardweave.sources.topology import Topology, TopologyError
 
 SHARD = "__shard"
@@ -82,6 +82,21 @@ def topology_ring(spark: SparkSession, topology: Topology) -> DataFrame:
     return ring_intervals(ring_points(shards, "shard", topology.vnodes, topology.function), "shard")
 
 
+def ring_lookup(df: DataFrame, key: str, points: DataFrame, shard: str, function: str = "murmur3", width: int = 1 << 20) -> DataFrame:
+    """Owner of every key on a ring that may be as large as the data.
+
+    The first point at or after a hash is the last one before it on the negated axis, so
+    this is one as-of join over the hash order; keys beyond the last point wrap around.
+    """
+    owners = points.groupBy("hash").agg(F.min(shard).alias(shard)).select((-F.col("hash")).alias("__point"), shard)
+    hashed = with_key_hash(df, key, function).withColumn("__place", -F.col("__hash"))
+    found = as_of_join(hashed, owners, [], "__place", "__point", "__point", [shard], width)
+    # One row: the owner of the smallest point.
+    first = owners.agg(F.max_by(shard, "__point").alias("__first")).withColumn("__one", F.lit(1))
+    wrapped = found.withColumn("__one", F.lit(1)).join(first, "__one").withColumn(shard, F.coalesce(shard, "__first"))
+    return wrapped.select(*df.columns, shard)
+
+
 # --- assignment -----------------------------------------------------------------------
 
 

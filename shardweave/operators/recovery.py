@@ -12,14 +12,14 @@ MAX_NAME = 63
 _NEVER = 1 << 62
 
 
-def expired_backups(jobs: DataFrame, keep: Column, by: tuple[str, ...] = ("schedule",)) -> DataFrame:
+def expired_backups(jobs: DataFrame, keep: Column, by: tuple[str, ...] = ("schedule",), width: int = DAY) -> DataFrame:
     """Succeeded jobs beyond the newest ``keep`` of their schedule; 0 keeps all.
 
     A missing end time sorts oldest.  Jobs are counted newest first by an ordered scan.
     """
     done = jobs.filter("phase = 'Succeeded'").withColumn("__age", F.coalesce(-F.col("ended_at"), F.lit(_NEVER)))
     counted = ordered_scan(
-        done, by, ["__age", "name"], bucket_of("__age", DAY), sums={"__nth": F.lit(1).cast("long")}
+        done, by, ["__age", "name"], bucket_of("__age", width), sums={"__nth": F.lit(1).cast("long")}
     )
     return counted.filter((keep > 0) & (F.col("__nth") > keep)).drop("__age", "__nth")
 

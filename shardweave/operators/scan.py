@@ -9,17 +9,18 @@ Results equal those of the plain window.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+KEY = "__key"
 BUCKET = "__bucket"
 
 MICROS = 1_000_000
 MINUTE = 60 * MICROS
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
+_STRETCHES = 4096
 
 
 def micros(ts: Column | str) -> Column:
@@ -29,30 +30,49 @@ def micros(ts: Column | str) -> Column:
 
 
 def bucket_of(order: Column | str, width: int) -> Column:
-    """Number of the bucket of ``width`` consecutive LONG order values."""
+    """Number of the bucket of ``width`` consecutive LONG order values, rounded down."""
     col = F.col(order) if isinstance(order, str) else order
-    return F.floor(col / F.lit(width)).cast("long")
+    size = F.lit(width).cast("long")
+    return F.call_function("div", col - F.pmod(col, size), size)
 
 
-def ordered_scan(
-    df: DataFrame,
-    keys: Sequence[str],
+def even_width(df: DataFrame, order: str, rows_per_bucket: int = 1_000_000, longest: int = DAY) -> int:
+    """Bucket width that keeps about ``rows_per_bucket`` rows in the fullest stretch of the order.
+
+    Two small aggregates over the order column: its span, then the fullest of some thousand
+    equal stretches.  A key can never have more rows in a bucket than all keys together.
+    """
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None or lo == hi:
+        return longest
+    stretch = max((hi - lo) // _STRETCHES, 1)
+    counts = df.filter(F.col(order).isNotNull()).groupBy(bucket_of(order, stretch).alias("stretch")).count()
+    fullest = counts.agg(F.max("count")).first()[0]
+    return max(1, min(longest, stretch * rows_per_bucket // fullest))
+
+
+def scan_ready(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """Append the scan columns: the keys as one struct, and the bucket.
+
+    Keys are compared as a struct because two structs with the same NULLs are equal, so the
+    join to the carries needs no NULL-safe form and keeps the partitioning of the window.
+    """
+    key = F.struct(*keys) if keys else F.lit(0)
+    return df.withColumns({KEY: key, BUCKET: bucket})
+
+
+def scan_step(
+    rows: DataFrame,
     order: Sequence[str],
-    bucket: Column,
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
     exclusive: bool = False,
 ) -> DataFrame:
-    """Append running sums, running maxima and previous-row values per key.
-
-    ``bucket`` must not decrease along ``order``, and ``order`` must be unique per key.
-    Running values include the current row unless ``exclusive``; a previous value is NULL
-    on the first row of its key.
-    """
+    """One scan over rows with scan columns.  Steps in a row share one shuffle of the rows."""
     sums, maxes, previous = dict(sums or {}), dict(maxes or {}), dict(previous or {})
-    inputs = {f"__in_{out}": col for out, col in {**sums, **maxes, **previous}.items()}
-    rows = df.withColumns({**inputs, BUCKET: bucket})
+    kept = rows.columns
+    rows = rows.withColumns({f"__in_{out}": col for out, col in {**sums, **maxes, **previous}.items()})
 
     def given(out: str) -> Column:
         return F.col(f"__in_{out}")
@@ -63,17 +83,17 @@ def ordered_scan(
     if previous:
         row = F.struct(*[given(o).alias(o) for o in previous])
         aggs.append(F.max_by(row, F.struct(*order)).alias("__row"))
-    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = Window.partitionBy(*keys).orderBy(BUCKET)
-    carry = rows.groupBy(*keys, BUCKET).agg(*aggs).select(
-        *[F.col(k).alias(f"__key_{k}") for k in keys],
-        F.col(BUCKET).alias("__key_bucket"),
+    by_bucket = Window.partitionBy(KEY).orderBy(BUCKET)
+    earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(KEY, BUCKET).agg(*aggs).select(
+        F.col(KEY).alias("__carry_key"),
+        F.col(BUCKET).alias("__carry_bucket"),
         *[F.sum(f"__sum_{o}").over(earlier).alias(f"__carry_{o}") for o in sums],
         *[F.max(f"__max_{o}").over(earlier).alias(f"__carry_{o}") for o in maxes],
         *([F.lag("__row").over(by_bucket).alias("__carry_row")] if previous else []),
     )
 
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    inside = Window.partitionBy(KEY, BUCKET).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     local = rows.withColumns(
         {
@@ -83,14 +103,10 @@ def ordered_scan(
             **({"__nth": F.row_number().over(inside)} if previous else {}),
         }
     )
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys],
-        F.col(BUCKET) == F.col("__key_bucket"),
-    )
+    same = (F.col(KEY) == F.col("__carry_key")) & (F.col(BUCKET) == F.col("__carry_bucket"))
     joined = local.join(carry, same, "left")
     return joined.select(
-        *df.columns,
+        *kept,
         *[
             F.when(
                 F.col(f"__local_{o}").isNotNull() | F.col(f"__carry_{o}").isNotNull(),
@@ -106,19 +122,43 @@ def ordered_scan(
     )
 
 
+def scan_done(rows: DataFrame) -> DataFrame:
+    return rows.drop(KEY, BUCKET)
+
+
+def ordered_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    sums: Mapping[str, Column] | None = None,
+    maxes: Mapping[str, Column] | None = None,
+    previous: Mapping[str, Column] | None = None,
+    exclusive: bool = False,
+) -> DataFrame:
+    """Append running sums, running maxima and previous-row values per key.
+
+    ``bucket`` must not decrease along ``order``, and ``order`` must be unique per key.
+    Running values include the current row unless ``exclusive``; a previous value is NULL
+    on the first row of its key.
+    """
+    return scan_done(scan_step(scan_ready(df, keys, bucket), order, sums, maxes, previous, exclusive))
+
+
 def trailing_sum(
     df: DataFrame, keys: Sequence[str], at: str, window: int, value: Column, out: str, width: int | None = None
 ) -> DataFrame:
     """Append the sum of ``value`` over the rows of the key in ``[at - window, at]``.
 
     Rows of the last ``window`` of a bucket are repeated in the next bucket, so that every
-    (key, bucket) is complete on its own.
+    (key, bucket) is complete on its own.  A bucket is never shorter than the window.
     """
-    width = max(width or 0, 8 * window)
-    own = bucket_of(at, width)
+    width = max(width or 8 * window, window)
+    own = F.col("__own")
     reaches = F.col(at) + F.lit(window) >= (own + 1) * F.lit(width)
     homes = F.when(reaches, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = df.withColumn("__value", value).withColumn(BUCKET, F.explode(homes))
+    valued = df.withColumns({"__value": value, "__own": bucket_of(at, width)})
+    spread = valued.withColumn(BUCKET, F.explode(homes))
     trailing = Window.partitionBy(*keys, BUCKET).orderBy(at).rangeBetween(-window, 0)
     summed = spread.withColumn(out, F.sum("__value").over(trailing))
     return summed.filter(F.col(BUCKET) == own).select(*df.columns, out)

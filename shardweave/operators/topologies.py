@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardweave.operators.scan import bucket_of, ordered_scan
+from shardweave.operators.scan import bucket_of, ordered_scan, scan_done, scan_ready, scan_step
 from shardweave.sources.topology import bound_text
 
 KEYSPACE = ("cluster", "keyspace")
@@ -209,9 +209,9 @@ def with_generation(
 ) -> DataFrame:
     """Append ``generation``: 1 for the first version of an object, one more at every change of ``spec``."""
     row = F.struct(*spec)
-    chained = ordered_scan(versions, keys, order, bucket, previous={"__before": row})
+    chained = scan_step(scan_ready(versions, keys, bucket), order, previous={"__before": row})
     changed = F.col("__before").isNull() | ~F.col("__before").eqNullSafe(row)
-    return ordered_scan(chained, keys, order, bucket, sums={"generation": changed.cast("long")}).drop("__before")
+    return scan_done(scan_step(chained, order, sums={"generation": changed.cast("long")})).drop("__before")
 
 
 def topology_rollup(ranges: DataFrame, by: Sequence[str] = KEYSPACE) -> DataFrame:

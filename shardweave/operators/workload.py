@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardweave.operators.placement import assign_shard
+from shardweave.operators.scan import DAY, bucket_of, ordered_scan
 from shardweave.sources.topology import Topology
 
 # The literal forms that count as a shard key.
@@ -211,16 +212,20 @@ def transaction_span(log: DataFrame, topology: Topology) -> DataFrame:
     return counted.withColumn("span", kind)
 
 
-def accepted_statements(log: DataFrame, blocks: DataFrame) -> DataFrame:
+def accepted_statements(log: DataFrame, blocks: DataFrame, width: int = DAY) -> DataFrame:
     """The log without writes inside a block interval of their keyspace; reads pass.
 
-    ``log`` has keyspace and at, ``blocks`` has keyspace, from_at and to_at (exclusive).
+    ``log`` has stmt_id, keyspace and at, ``blocks`` has keyspace, from_at and to_at
+    (exclusive).  A time is blocked when some block that began by then has not ended, so one
+    ordered scan over both tables finds the blocked writes without pairing them up.
     """
-    known = log.withColumn("__read", is_read_only(F.col("sql"))).alias("l")
-    inside = (
-        (F.col("l.keyspace") == F.col("b.keyspace"))
-        & ~F.col("l.__read")
-        & (F.col("l.at") >= F.col("b.from_at"))
-        & (F.col("l.at") < F.col("b.to_at"))
-    )
-    return known.join(blocks.alias("b"), inside, "left_anti").drop("__read")
+    known = log.withColumn("__write", ~is_read_only(F.col("sql")))
+    none = F.lit(None).cast("long")
+    writes = known.filter("__write").select("keyspace", "at", F.lit(1).alias("__side"), F.col("stmt_id").alias("__id"), none.alias("to_at"))
+    starts = blocks.select("keyspace", F.col("from_at").alias("at"), F.lit(0).alias("__side"), F.col("to_at").alias("__id"), "to_at")
+    scanned = ordered_scan(
+        writes.unionByName(starts.distinct()), ["keyspace"], ["at", "__side", "__id"], bucket_of("at", width),
+        maxes={"__until": F.col("to_at")},
+    )
+    blocked = scanned.filter((F.col("__side") == 1) & (F.col("__until") > F.col("at"))).select(F.col("__id").alias("stmt_id"))
+    return known.join(blocked, "stmt_id", "left_anti").drop("__write")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shardweave.operators import alerts as R
 from shardweave.operators.scan import DAY, HOUR, bucket_of, micros, ordered_scan
-from shardweave.plans.registry import query, table
+from shardweave.plans.registry import event_bucket, event_width, query, table
 
 SERIES = ["kind", "zone"]
 
@@ -21,7 +21,7 @@ def samples(spark, sf_dir):
 def counters(spark, sf_dir):
     """A counter per series that starts again from 0 whenever it passes 5000."""
     grown = ordered_scan(
-        samples(spark, sf_dir), SERIES, ["at_us", "seq"], bucket_of("at_us", DAY), sums={"total": F.floor("value").cast("long")}
+        samples(spark, sf_dir), SERIES, ["at_us", "seq"], event_bucket(spark, sf_dir, "at_us"), sums={"total": F.floor("value").cast("long")}
     )
     return grown.withColumn("count", F.col("total") % 5000).drop("total", "value")
 
@@ -39,7 +39,7 @@ GROWTH_SQL = f"""{SAMPLES_SQL},
     "SELECT kind, zone, seq, count, round(rate::DOUBLE, 6) AS rate FROM r WHERE rate > 0.01",
 )
 def p01(spark, sf_dir):
-    rated = R.counter_rate(counters(spark, sf_dir), SERIES, "at_us", "seq", "count", 2 * HOUR)
+    rated = R.counter_rate(counters(spark, sf_dir), SERIES, "at_us", "seq", "count", event_width(spark, sf_dir), 2 * HOUR)
     return rated.filter("rate > 0.01").withColumn("rate", F.round("rate", 6)).drop("at_us")
 
 
@@ -48,7 +48,7 @@ def p01(spark, sf_dir):
     f"WITH {GROWTH_SQL} SELECT kind, at_us // {HOUR} AS step, sum(growth)::BIGINT AS increase FROM g GROUP BY ALL",
 )
 def p02(spark, sf_dir):
-    return R.counter_increase(counters(spark, sf_dir), SERIES, "at_us", "seq", "count", ["kind"], HOUR)
+    return R.counter_increase(counters(spark, sf_dir), SERIES, "at_us", "seq", "count", ["kind"], event_width(spark, sf_dir), HOUR)
 
 
 @query(
@@ -84,7 +84,7 @@ def p04(spark, sf_dir):
 )
 def p05(spark, sf_dir):
     states = R.alert_states(
-        samples(spark, sf_dir), ["kind"], "at_us", "seq", F.col("value") > 20, 2 * HOUR, bucket_of("at_us", DAY)
+        samples(spark, sf_dir), ["kind"], "at_us", "seq", F.col("value") > 20, 2 * HOUR, event_bucket(spark, sf_dir, "at_us")
     )
     return states.select("kind", "seq", "state")
 
@@ -144,7 +144,7 @@ def p08(spark, sf_dir):
 def p09(spark, sf_dir):
     changes = table(spark, sf_dir, "events").select("event_id", micros("ts").alias("at_us"), "event_type")
     delta = F.when(F.col("event_type").isin("error", "purchase"), -1).otherwise(1).cast("long")
-    return R.running_gauge(changes, [], ["at_us", "event_id"], delta, bucket_of("at_us", HOUR), "active").select("event_id", "active")
+    return R.running_gauge(changes, [], ["at_us", "event_id"], delta, event_bucket(spark, sf_dir, "at_us"), "active").select("event_id", "active")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shardweave.operators import autosplit as A
 from shardweave.operators.scan import DAY, HOUR, bucket_of, micros
 from shardweave.plans.oracle import crc32_sql
-from shardweave.plans.registry import query, table
+from shardweave.plans.registry import event_bucket, query, table
 from shardweave.plans.topologies import RANGES_SQL, hex_sql, ranges
 
 TRIGGERS = A.Triggers(size_gb=1, volume_percent=30, duration_minutes=240)
@@ -85,7 +85,7 @@ HELD_SQL = f"""{OBSERVED_SQL},
 
 
 def held_breaches(spark, sf_dir):
-    return A.sustained_breach(observations(spark, sf_dir), ["shard"], "hour", "size", TRIGGERS, bucket_of("hour", DAY))
+    return A.sustained_breach(observations(spark, sf_dir), ["shard"], "hour", "size", TRIGGERS, event_bucket(spark, sf_dir, "hour"))
 
 
 @query("a05_sustained_breach", f"WITH {HELD_SQL} SELECT shard, hour, breach, coalesce(held, false) AS held FROM held")

@@ -12,7 +12,7 @@ from shardweave.operators import fleet as M
 from shardweave.operators.coalesce import coalesce_signals
 from shardweave.operators.held import sustained, with_held_since
 from shardweave.operators.scan import DAY, HOUR, MINUTE, bucket_of, micros
-from shardweave.plans.registry import query, table
+from shardweave.plans.registry import event_bucket, query, table
 
 AS_OF = 1706659200 * 1_000_000  # 2024-01-31 00:00:00 UTC, after the last heartbeat
 STALE = 30 * HOUR
@@ -214,7 +214,7 @@ def cluster_reports(spark, sf_dir):
 )
 def f13(spark, sf_dir):
     rows = with_held_since(
-        cluster_reports(spark, sf_dir), ["cluster"], "at", "seq", F.col("failed"), bucket_of("at", DAY), F.col("was_ready")
+        cluster_reports(spark, sf_dir), ["cluster"], "at", "seq", F.col("failed"), event_bucket(spark, sf_dir, "at"), F.col("was_ready")
     )
     return rows.select("cluster", "seq", "failed", "since", sustained(F.col("at"), F.col("since"), 8 * HOUR).alias("promote"))
 
@@ -295,7 +295,7 @@ BURST = 6 * HOUR
 )
 def f19(spark, sf_dir):
     signals = table(spark, sf_dir, "events").select("user_id", micros("ts").alias("us"))
-    return coalesce_signals(signals, "user_id", "us", BURST, buckets_per=16)
+    return coalesce_signals(signals, "user_id", "us", BURST)
 
 
 @query("f20_serving_endpoints", f"WITH {SHARDS_SQL} SELECT cluster, shard, endpoint FROM prim WHERE ready AND endpoint <> ''")

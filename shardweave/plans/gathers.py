@@ -10,7 +10,7 @@ from shardweave.operators.scan import DAY, bucket_of, micros
 from shardweave.plans.layouts import sharded_orders
 from shardweave.plans.oracle import murmur3_sql, quarter_shard_sql
 from shardweave.plans.placement import FOUR, ORDER_SHARDS_SQL
-from shardweave.plans.registry import query, table
+from shardweave.plans.registry import event_bucket, query, table
 from shardweave.sources import layout as L
 from shardweave.sources.scratch import fresh_path
 from shardweave.sources.topology import equal_hash_topology
@@ -241,4 +241,4 @@ def g18(spark, sf_dir):
     requests = table(spark, sf_dir, "events").select(
         "event_id", F.concat(F.lit("shard-"), F.expr("user_id div 5")).alias("shard"), micros("ts").alias("at")
     )
-    return G.choose_read_endpoint(requests, ["at", "event_id"], bucket_of("at", DAY), members, 7000).drop("at")
+    return G.choose_read_endpoint(requests, ["at", "event_id"], event_bucket(spark, sf_dir, "at"), members, 7000).drop("at")

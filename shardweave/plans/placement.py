@@ -113,18 +113,35 @@ def v08(spark, sf_dir):
     return P.assign_shard(orders, rule, "shard", mapping=mapping).select("o_orderkey", "shard")
 
 
+def _node_ring_sql(name: str, source: str) -> str:
+    return (
+        f"{name} AS (SELECT h AS point, min(s) AS s FROM (SELECT s, {murmur3_sql('node')} AS h FROM "
+        f"(SELECT {source}, {source.split()[0]} || ':' || v AS node FROM {name}_shards, range(64) b(v))) GROUP BY h)"
+    )
+
+
 @query(
-    "v09_binned_interval_join",
-    "WITH ring AS (SELECT h AS point, min(s_name) AS s FROM "
-    f"(SELECT s_name, {murmur3_sql('node')} AS h FROM "
-    "(SELECT s_name, s_name || ':' || v AS node FROM supplier, range(64) b(v))) GROUP BY h), "
+    "v07_large_ring_lookup",
+    f"WITH ring_shards AS (SELECT * FROM supplier), {_node_ring_sql('ring', 's_name AS s')}, "
     f"hashed AS (SELECT p_partkey AS key, {murmur3_sql('p_partkey::VARCHAR')} AS h FROM part) "
     f"SELECT key AS p_partkey, shard AS s_name FROM ({ring_owner_sql('ring', 'hashed')})",
 )
+def v07_large(spark, sf_dir):
+    points = P.ring_points(table(spark, sf_dir, "supplier"), "s_name", 64)
+    return P.ring_lookup(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", points, "s_name")
+
+
+@query(
+    "v09_binned_interval_join",
+    f"WITH ring_shards AS (SELECT * FROM nation), {_node_ring_sql('ring', 'n_name AS s')}, "
+    f"hashed AS (SELECT p_partkey AS key, {murmur3_sql('p_partkey::VARCHAR')} AS h FROM part) "
+    f"SELECT key AS p_partkey, shard AS n_name FROM ({ring_owner_sql('ring', 'hashed')})",
+)
 def v09(spark, sf_dir):
-    ring = P.ring_intervals(P.ring_points(table(spark, sf_dir, "supplier"), "s_name", 64), "s_name")
+    # Nations times 64 virtual nodes is a bounded list; Spark broadcasts it by its size.
+    ring = P.ring_intervals(P.ring_points(table(spark, sf_dir, "nation"), "n_name", 64), "n_name")
     parts = with_key_hash(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
-    return interval_join(parts, "__hash", ring, "lo", "hi").select("p_partkey", "s_name")
+    return interval_join(parts, "__hash", ring, "lo", "hi").select("p_partkey", "n_name")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shardweave.operators import changes as C
 from shardweave.operators import recovery as B
 from shardweave.operators.scan import DAY, HOUR, micros
-from shardweave.plans.registry import query, table
+from shardweave.plans.registry import event_width, query, table
 from shardweave.plans.reshards import CHANGES_SQL, snapshot_and_changes, state_sql
 
 NOW = 1706140800 * 1_000_000  # 2024-01-25 00:00:00 UTC
@@ -39,7 +39,7 @@ JOBS_SQL = """jobs AS (SELECT 's' || user_id AS schedule, 'job-' || event_id AS
     "FROM jobs WHERE phase = 'Succeeded') WHERE keep > 0 AND nth > keep",
 )
 def b01(spark, sf_dir):
-    return B.expired_backups(jobs(spark, sf_dir), F.col("keep")).select("schedule", "name", "keep")
+    return B.expired_backups(jobs(spark, sf_dir), F.col("keep"), width=event_width(spark, sf_dir)).select("schedule", "name", "keep")
 
 
 def schedules(spark, sf_dir):
@@ -105,7 +105,7 @@ def b05(spark, sf_dir):
         (micros("ts") - F.lit(12 * HOUR)).alias("target_at"),
         F.when(event % 40 == 0, F.concat(F.lit("pinned-"), event)).alias("wanted"),
     )
-    return B.base_backups(requests, jobs(spark, sf_dir))
+    return B.base_backups(requests, jobs(spark, sf_dir), width=event_width(spark, sf_dir))
 
 
 @query("b06_point_in_time", f"WITH {CHANGES_SQL}, {state_sql('commit_ts <= TIMESTAMP ' + chr(39) + '2024-01-15 12:00:00' + chr(39))}")

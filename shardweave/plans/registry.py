@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from shardweave.operators.scan import bucket_of, even_width, micros
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,3 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables.  Times are compared as UTC everywhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_widths: dict[tuple[str, str], int] = {}
+
+
+def event_width(spark: SparkSession, sf_dir: str) -> int:
+    """Bucket width for times of event-shaped rows, sized once from the events table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _widths:
+        _widths[key] = even_width(table(spark, sf_dir, "events").select(micros("ts").alias("at")), "at")
+    return _widths[key]
+
+
+def event_bucket(spark: SparkSession, sf_dir: str, at: str) -> Column:
+    return bucket_of(at, event_width(spark, sf_dir))

@@ -152,15 +152,22 @@ def m08(spark, sf_dir):
     return C.catch_up_gate(load_states(spark, sf_dir), target_lag(spark, sf_dir), "target", 2 << 20)
 
 
+def own_copy(spark, sf_dir, name, key):
+    """A table written by shard for one query alone, because the query adds shards to it."""
+    path = fresh_path(spark, name)
+    write_sharded(assign_shard(table(spark, sf_dir, name), equal_hash_topology(key, 4), strict=True), path)
+    return path
+
+
 @query(
     "m09_split_run",
     f"WITH {AFTER_SQL} SELECT o_orderkey, o_custkey, new_shard AS __shard, "
     "(SELECT count(*) FROM moved WHERE shard = 'shard-3') AS copied FROM moved",
 )
 def m09(spark, sf_dir):
-    path = fresh_path(spark, "split")
-    _, report = R.run_move(spark, sharded_orders(spark, sf_dir), FOUR, SPLIT, path)
-    rows = read_sharded(spark, path).select("o_orderkey", "o_custkey", SHARD)
+    path = own_copy(spark, sf_dir, "orders", "o_orderkey")
+    after, report = R.run_move(spark, path, FOUR, SPLIT)
+    rows = R.active_rows(read_sharded(spark, path), after).select("o_orderkey", "o_custkey", SHARD)
     return rows.withColumn("copied", F.lit(report["copied"]).cast("long"))
 
 
@@ -169,29 +176,25 @@ def m09(spark, sf_dir):
     f"WITH {ORDER_SHARDS_SQL} SELECT o_orderkey, o_custkey, CASE WHEN shard IN ('shard-2', 'shard-3') THEN 'shard-23' ELSE shard END AS __shard FROM placed",
 )
 def m10(spark, sf_dir):
-    path = fresh_path(spark, "merge")
-    R.run_move(spark, sharded_orders(spark, sf_dir), FOUR, MERGE, path)
-    return read_sharded(spark, path).select("o_orderkey", "o_custkey", SHARD)
+    path = own_copy(spark, sf_dir, "orders", "o_orderkey")
+    after, _ = R.run_move(spark, path, FOUR, MERGE)
+    return R.active_rows(read_sharded(spark, path), after).select("o_orderkey", "o_custkey", SHARD)
+
+
+MOVED = (("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("customer", "c_custkey"))
 
 
 def _moved_sql(name: str, key: str) -> str:
     return (
-        f"SELECT '{name}' AS name, count(*) FILTER (h >= 3221225472) AS copied, count(*) FILTER (h < 3221225472) AS kept, "
-        f"count(*) AS total FROM (SELECT {murmur3_sql(key + '::VARCHAR')} AS h FROM {name})"
+        f"SELECT '{name}' AS name, count(*) FILTER (h >= 3221225472) AS copied, "
+        f"count(*) FILTER (h >= 3221225472) AS scanned FROM (SELECT {murmur3_sql(key + '::VARCHAR')} AS h FROM {name})"
     )
 
 
-@query(
-    "m11_multi_table_move",
-    " UNION ALL ".join(_moved_sql(n, k) for n, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("customer", "c_custkey"))),
-)
+@query("m11_multi_table_move", " UNION ALL ".join(_moved_sql(n, k) for n, k in MOVED))
 def m11(spark, sf_dir):
-    tables = {"orders": (sharded_orders(spark, sf_dir), "o_orderkey")}
-    for name, key in (("lineitem", "l_orderkey"), ("customer", "c_custkey")):
-        path = fresh_path(spark, name)
-        write_sharded(assign_shard(table(spark, sf_dir, name), equal_hash_topology(key, 4), strict=True), path)
-        tables[name] = (path, key)
-    return R.move_tables(spark, tables, FOUR, SPLIT, fresh_path(spark, "moved"))[1]
+    tables = {name: (own_copy(spark, sf_dir, name, key), key) for name, key in MOVED}
+    return R.move_tables(spark, tables, FOUR, SPLIT)[1]
 
 
 @query(

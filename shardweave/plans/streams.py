@@ -37,9 +37,9 @@ def f01_stream(spark, sf_dir):
 
 @query(
     "f02_stream_staleness",
-    "WITH b AS (SELECT user_id, epoch_ms(ts) AS ms, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM events) "
+    "WITH b AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM events) "
     f"SELECT user_id, ms AS last_at, ms + {SILENCE // 1000} AS stale_at FROM b WHERE following - ms > {SILENCE // 1000} "
-    f"OR following IS NULL AND ms + {SILENCE // 1000} < (SELECT max(epoch_ms(ts)) - 30000 FROM events)",
+    f"OR following IS NULL AND ms + {SILENCE // 1000} < (SELECT max(epoch_us(ts)) // 1000 - 30000 FROM events)",
 )
 def f02_stream(spark, sf_dir):
     beats = event_stream(spark, sf_dir).withWatermark("ts", "30 seconds").select(
@@ -91,7 +91,7 @@ def m05_stream(spark, sf_dir):
     "p12_stream_sliding_average",
     "WITH w AS (SELECT event_type AS kind, value, unnest([epoch_us(ts) // 3600000000 * 3600000000 - i * 3600000000 for i in range(4)]) AS start FROM events) "
     "SELECT kind, start, round(sum(value::DECIMAL(18, 2))::DOUBLE / count(*), 6) AS mean FROM w "
-    "WHERE start + 14400000000 <= (SELECT max(epoch_ms(ts)) * 1000 - 30000000 FROM events) GROUP BY kind, start",
+    "WHERE start + 14400000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 30000000 FROM events) GROUP BY kind, start",
 )
 def p12_stream(spark, sf_dir):
     value = F.col("value").cast("decimal(18,2)")

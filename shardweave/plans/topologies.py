@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shardweave.operators import topologies as T
 from shardweave.operators.scan import DAY, bucket_of, micros
 from shardweave.plans.oracle import crc32_sql
-from shardweave.plans.registry import query, table
+from shardweave.plans.registry import event_bucket, query, table
 from shardweave.sources.topology import bound_text
 
 RANGES_SQL = """ranges AS (
@@ -276,7 +276,7 @@ def t13(spark, sf_dir):
 )
 def t14(spark, sf_dir):
     versions = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", micros("ts").alias("at"))
-    return T.with_generation(versions, ["user_id"], ["at", "event_id"], bucket_of("at", DAY), ["event_type"]).drop("at")
+    return T.with_generation(versions, ["user_id"], ["at", "event_id"], event_bucket(spark, sf_dir, "at"), ["event_type"]).drop("at")
 
 
 @query(

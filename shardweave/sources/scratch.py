@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -30,9 +30,3 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
-
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it read back."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ cannot be read is NULL.  The log has columns stmt_id (unique) and sql.
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,37 +137,40 @@ def statement_keys(log: DataFrame, column: str) -> DataFrame:
     return parts.withColumn("keys", keys).drop("__names", "__tuples", "__found", "__many", "__first")
 
 
-def placed_keys(log: DataFrame, topology: Topology) -> DataFrame:
-    """One row (stmt_id, …, key, shard) per distinct shard key of every statement."""
+def _with_key_shards(log: DataFrame, topology: Topology) -> DataFrame:
+    """One row per shard key of every statement, with its shard; one row without key if there is none."""
     # The outer form, because Spark would evaluate ``keys`` again to skip empty arrays.
     keyed = statement_keys(log, topology.column).withColumn("key", F.explode_outer("keys")).drop("keys", "sql")
-    keyed = keyed.filter(F.col("key").isNotNull())
-    by_text = Topology(
-        "key", topology.ranges, vindex_type=topology.vindex_type, function=topology.function,
-        virtual_nodes=topology.virtual_nodes,
-    )
-    return assign_shard(keyed, by_text, "shard")
+    placed = assign_shard(keyed, replace(topology, column="key"), "shard")
+    return placed.withColumn("shard", F.when(F.col("key").isNotNull(), F.col("shard")))
+
+
+def placed_keys(log: DataFrame, topology: Topology) -> DataFrame:
+    """One row (stmt_id, …, key, shard) per distinct shard key of every statement."""
+    return _with_key_shards(log, topology).filter(F.col("key").isNotNull())
 
 
 def route(log: DataFrame, topology: Topology) -> DataFrame:
     """Decision and shard of every statement.
 
     In order: blocked write, reference-only read, insert over several shards, one shard,
-    read of all shards, write without a key.
+    read of all shards, write without a key.  One pass over the log and one shuffle by
+    statement.
     """
     sql = F.col("sql")
     known = F.array(*[F.lit(t.lower()) for t in topology.reference_tables]).cast("array<string>")
     features = (
-        log.select("stmt_id", is_read_only(sql).alias("read"), tables_touched(sql).alias("tables"))
+        log.select("stmt_id", "sql", is_read_only(sql).alias("read"), tables_touched(sql).alias("tables"))
         .withColumn("ref_only", F.col("read") & only_known("tables", known))
         .drop("tables")
     )
-    spans = placed_keys(log.select("stmt_id", "sql"), topology).groupBy("stmt_id").agg(
+    both = _with_key_shards(features, topology).groupBy("stmt_id").agg(
+        F.bool_or("read").alias("read"),
+        F.bool_or("ref_only").alias("ref_only"),
         F.min("shard").alias("first_shard"),
         F.max("shard").alias("last_shard"),
-        F.count_if(F.col("shard").isNull()).alias("unplaced"),
+        F.count_if(F.col("key").isNotNull() & F.col("shard").isNull()).alias("unplaced"),
     )
-    both = features.join(spans, "stmt_id", "left")
     decision = (
         F.when(~F.col("read") & F.lit(topology.write_blocked), "reject: write blocked")
         .when(F.col("ref_only"), "any shard")

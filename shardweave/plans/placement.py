@@ -8,7 +8,7 @@ from shardweave.functions.hashing import key_text, with_key_hash
 from shardweave.operators import placement as P
 from shardweave.operators.intervals import interval_join
 from shardweave.plans.oracle import crc32_sql, fnv1a_sql, murmur3_sql, quarter_shard_sql
-from shardweave.plans.registry import query, table
+from shardweave.plans.registry import query, spread, table
 from shardweave.sources.topology import Range, Topology, equal_hash_topology
 
 FOUR = equal_hash_topology("o_orderkey", 4)
@@ -97,7 +97,7 @@ def v06(spark, sf_dir):
     f"SELECT key AS o_orderkey, shard FROM ({ring_owner_sql('ring', 'hashed')})",
 )
 def v07(spark, sf_dir):
-    return P.assign_shard(table(spark, sf_dir, "orders").select("o_orderkey"), RING_4, "shard")
+    return P.assign_shard(spread(table(spark, sf_dir, "orders").select("o_orderkey")), RING_4, "shard")
 
 
 @query(
@@ -151,7 +151,7 @@ def v09(spark, sf_dir):
     f"{murmur3_sql('l_orderkey::VARCHAR')} AS h FROM lineitem) GROUP BY ALL",
 )
 def v10(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
     placed = P.assign_shard(lines, equal_hash_topology("L_ORDERKEY", 4), "shard")
     return placed.groupBy("shard", "l_linenumber").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").cast("long").alias("quantity")
@@ -187,7 +187,7 @@ def v12(spark, sf_dir):
     "from_shard <> to_shard AS moved FROM pairs",
 )
 def v13(spark, sf_dir):
-    return P.movement(table(spark, sf_dir, "orders").select("o_orderkey"), RING_3, RING_4)
+    return P.movement(spread(table(spark, sf_dir, "orders").select("o_orderkey")), RING_3, RING_4)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shardweave.operators import workload as W
 from shardweave.operators.scan import DAY, micros
 from shardweave.plans.oracle import murmur3_sql, quarter_shard_sql
-from shardweave.plans.registry import query, table
+from shardweave.plans.registry import query, spread, table
 from shardweave.sources.topology import equal_hash_topology
 
 RULE = equal_hash_topology("o_orderkey", 4, reference_tables=("nation", "region"))
@@ -36,7 +36,8 @@ def statement_log(spark, sf_dir):
         for mark, value in (("{k}", key), ("{n}", key + 1), ("{c}", customer)):
             filled = F.replace(filled, F.lit(mark), value.cast("string"))
         sql = F.when(pick == i, filled) if sql is None else sql.when(pick == i, filled)
-    return table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    return orders.select(
         key.alias("stmt_id"),
         F.expr("o_orderkey div 4").alias("tx_id"),
         F.concat(F.lit("ks"), customer % 25).alias("keyspace"),

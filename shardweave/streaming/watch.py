@@ -41,12 +41,14 @@ def watch_held(stream: DataFrame, key: str, hold: int) -> DataFrame:
         # Runs are numbered by the breaks before them; run 0 continues the stored clock.
         run = np.cumsum(~holds)
         clock = np.full(run[-1] + 1, NONE, np.int64)
-        first = pd.Series(at[begins]).groupby(run[begins]).first()
-        clock[first.index] = first.to_numpy()
+        opener = np.full(run[-1] + 1, len(at), np.int64)
+        position = np.flatnonzero(begins)
+        runs, first = np.unique(run[position], return_index=True)
+        opener[runs], clock[runs] = position[first], at[position[first]]
         if since != NONE:
-            clock[0] = since
+            opener[0], clock[0] = 0, since
         started = clock[run]
-        running = holds & (started != NONE) & (started <= at)
+        running = holds & (np.arange(len(at)) >= opener[run])
         now = np.where(running, started, -1)
         state.update((int(started[-1]) if running[-1] else NONE, int(at[-1]), int(rows["seq"].iloc[-1])))
         yield pd.DataFrame(

@@ -9,13 +9,16 @@ never holds more than one bucket of a key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardweave.operators.scan import BUCKET, even_width
+from shardweave.operators.scan import BUCKET, bucket_of, even_width
 
+NAME = "__name"
 PART = "__part"
 NEVER = np.iinfo(np.int64).min // 4
 
@@ -63,17 +66,17 @@ def coalesce_signals(df: DataFrame, key: str, at: str, width: int, rows_per_grou
     """
     span = max(width, even_width(df, at, rows_per_group, longest=1000 * width))
     parts = max(1, -(-df.count() // rows_per_group))
-    key_type = df.schema[key].dataType.simpleString()
     signals = df.select(
-        key,
+        # Keys travel as text, marked so that NULL is a key like any other.
+        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias(NAME),
         F.col(at).alias("at"),
-        F.floor(F.col(at) / span).cast("long").alias(BUCKET),
+        bucket_of(at, span).alias(BUCKET),
         F.pmod(F.xxhash64(key), F.lit(parts)).alias(PART),
     )
 
     def timeline(rows: pd.DataFrame) -> _Timeline:
         base = int(rows[BUCKET].iloc[0]) * span
-        return _Timeline(rows[key], rows["at"].to_numpy(), base, span, width)
+        return _Timeline(rows[NAME], rows["at"].to_numpy(), base, span, width)
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
         line, base = timeline(rows), int(rows[BUCKET].iloc[0]) * span
@@ -86,7 +89,7 @@ def coalesce_signals(df: DataFrame, key: str, at: str, width: int, rows_per_grou
         last = np.append((end[1:] != end[:-1]) | (code[1:] != code[:-1]), True)
         return pd.DataFrame(
             {
-                key: line.names.take(code[last]),
+                NAME: line.names.take(code[last]),
                 BUCKET: rows[BUCKET].iloc[0],
                 PART: rows[PART].iloc[0],
                 "upto": line.at[opener][last],
@@ -94,26 +97,32 @@ def coalesce_signals(df: DataFrame, key: str, at: str, width: int, rows_per_grou
             }
         )
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        codes, names = pd.factorize(rows[key])
-        buckets, upto, end = (rows[c].to_numpy() for c in (BUCKET, "upto", "end"))
-        order = np.lexsort((upto, buckets, codes))
-        codes, buckets, upto, end = codes[order], buckets[order], upto[order], end[order]
-        cut = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (buckets[1:] != buckets[:-1])))
-        entries = np.empty(len(cut), np.int64)
-        busy, before = NEVER, -1
-        for i, (a, b) in enumerate(zip(cut, np.append(cut[1:], len(codes)))):
-            if codes[a] != before:
-                busy, before = NEVER, codes[a]
-            entries[i] = busy
-            hit = a + int(np.searchsorted(upto[a:b], busy, side="left"))
-            if hit < b:
-                busy = int(end[hit])
-        return pd.DataFrame({key: names.take(codes[cut]), BUCKET: buckets[cut], PART: rows[PART].iloc[0], "busy": entries})
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Walk the tables in order of (key, bucket, upto); a bucket may span several batches."""
+        name, bucket, busy, after = None, None, NEVER, None
+        for rows in batches:
+            keys, buckets = rows[NAME].to_numpy(dtype=object), rows[BUCKET].to_numpy()
+            upto, end = rows["upto"].to_numpy(), rows["end"].to_numpy()
+            cut = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1])))
+            opened, entries = [], []
+            for a, b in zip(cut, np.append(cut[1:], len(keys))):
+                if a > 0 or (keys[a], buckets[a]) != (name, bucket):
+                    if keys[a] != name:
+                        busy = NEVER
+                    elif after is not None:
+                        busy = after
+                    name, bucket, after = keys[a], buckets[a], None
+                    opened.append(a)
+                    entries.append(busy)
+                if after is None:
+                    hit = a + int(np.searchsorted(upto[a:b], busy, side="left"))
+                    after = int(end[hit]) if hit < b else None
+            first = rows.iloc[opened]
+            yield pd.DataFrame({NAME: first[NAME], BUCKET: first[BUCKET], PART: first[PART], "busy": entries})
 
     def windows(rows: pd.DataFrame) -> pd.DataFrame:
         line = timeline(rows)
-        busy = rows.groupby(key, sort=False)["busy"].first().reindex(line.names).to_numpy()
+        busy = rows.groupby(NAME, sort=False)["busy"].first().reindex(line.names).to_numpy()
         at = line.first_after(np.arange(len(line.names)), busy)
         found = []
         while (at < line.size).any():
@@ -122,10 +131,14 @@ def coalesce_signals(df: DataFrame, key: str, at: str, width: int, rows_per_grou
             at = line.hop[at]
         opened = np.concatenate(found) if found else np.empty(0, np.int64)
         start = line.at[opened]
-        return pd.DataFrame({key: line.names.take(line.code[opened]), "start": start, "emit_at": start + width})
+        return pd.DataFrame({NAME: line.names.take(line.code[opened]), "start": start, "emit_at": start + width})
 
-    named = f"`{key}` {key_type}, `{BUCKET}` long, `{PART}` long"
+    named = f"`{NAME}` string, `{BUCKET}` long, `{PART}` long"
     tables = signals.groupBy(PART, BUCKET).applyInPandas(summarise, f"{named}, upto long, end long")
-    entries = tables.groupBy(PART).applyInPandas(chain, f"{named}, busy long")
-    joined = signals.join(entries, [key, BUCKET, PART])
-    return joined.groupBy(PART, BUCKET).applyInPandas(windows, f"`{key}` {key_type}, start long, emit_at long")
+    # Whole keys per task, walked in order batch by batch: no key has to fit into memory.
+    walked = tables.repartition(NAME).sortWithinPartitions(NAME, BUCKET, "upto")
+    entries = walked.mapInPandas(chain, f"{named}, busy long")
+    joined = signals.join(entries, [NAME, BUCKET, PART])
+    opened = joined.groupBy(PART, BUCKET).applyInPandas(windows, f"`{NAME}` string, start long, emit_at long")
+    value = F.when(F.col(NAME) != "", F.expr(f"substr({NAME}, 2)")).cast(df.schema[key].dataType)
+    return opened.select(value.alias(key), "start", "emit_at")

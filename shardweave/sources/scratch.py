@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,9 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="shardweave-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="shardweave-")
+    return _local[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -65,11 +65,16 @@ def test_bursts(spark, events, width, group):
 
 def test_dense_bursts(spark):
     rnd = random.Random(9)
-    rows = [("hot" if rnd.random() < 0.8 else f"k{rnd.randint(0, 5)}", rnd.randint(0, 3000)) for _ in range(3000)]
+    rows = [("hot" if rnd.random() < 0.8 else f"k{rnd.randint(0, 5)}", rnd.randint(-1500, 1500)) for _ in range(3000)]
+    rows = [(None if k == "k0" else k, at) for k, at in rows]
     df = spark.createDataFrame(rows, "k string, at long")
-    for width, group in ((7, 40), (50, 100), (300, 100)):
-        got = {tuple(r) for r in coalesce_signals(df, "k", "at", width, rows_per_group=group).collect()}
-        assert got == bursts_of(rows, width)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for width, group in ((7, 40), (50, 100), (300, 100)):
+            got = {tuple(r) for r in coalesce_signals(df, "k", "at", width, rows_per_group=group).collect()}
+            assert got == {(k or None, a, b) for k, a, b in bursts_of([(k or "", at) for k, at in rows], width)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_silence(spark, events):

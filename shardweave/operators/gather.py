@@ -59,6 +59,8 @@ def _partial(name: str, agg: Aggregate) -> list[Column]:
         return [getattr(F, agg.function)(col).alias(name)]
     if agg.function == "avg":
         return [F.sum(col).alias(f"{name}__sum"), F.count(col).alias(f"{name}__count")]
+    if agg.function == "approx_distinct":
+        return [F.hll_sketch_agg(col).alias(name)]
     raise NotMergeable(f"{agg.function} has no mergeable partial form")
 
 
@@ -70,6 +72,8 @@ def _final(name: str, agg: Aggregate) -> Column:
     if agg.function == "avg":
         n = F.nullif(F.sum(f"{name}__count"), F.lit(0))
         return (F.sum(f"{name}__sum").cast("double") / n).alias(name)
+    if agg.function == "approx_distinct":
+        return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(name)), F.lit(0)).alias(name)
     raise NotMergeable(f"{agg.function} has no mergeable partial form")
 
 

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardweave.operators.scan import DAY, MICROS, as_of_join, bucket_of, ordered_scan
+from shardweave.operators.scan import DAY, MICROS, as_of_join, bucket_of, ordered_scan, split_hot
 
 ACTIVE_PHASES = ("", "Pending", "Running")
 MAX_NAME = 63
 _NEVER = 1 << 62
 
 
-def expired_backups(jobs: DataFrame, keep: Column, by: tuple[str, ...] = ("schedule",), width: int = DAY) -> DataFrame:
+def expired_backups(
+    jobs: DataFrame, keep: Column, by: tuple[str, ...] = ("schedule",), width: int = DAY, hot_rows: int = 1_000_000
+) -> DataFrame:
     """Succeeded jobs beyond the newest ``keep`` of their schedule; 0 keeps all.
 
-    A missing end time sorts oldest.  Jobs are counted newest first by an ordered scan.
+    A missing end time sorts oldest.  Jobs are counted newest first by an ordered scan that
+    cuts schedules of more than ``hot_rows`` jobs into buckets of ``width``.
     """
     done = jobs.filter("phase = 'Succeeded'").withColumn("__age", F.coalesce(-F.col("ended_at"), F.lit(_NEVER)))
-    counted = ordered_scan(
-        done, by, ["__age", "name"], bucket_of("__age", width), sums={"__nth": F.lit(1).cast("long")}
-    )
+    bucket = split_hot(done, by, bucket_of("__age", width), hot_rows)
+    counted = ordered_scan(done, by, ["__age", "name"], bucket, sums={"__nth": F.lit(1).cast("long")})
     return counted.filter((keep > 0) & (F.col("__nth") > keep)).drop("__age", "__nth")
 
 

@@ -71,18 +71,20 @@ def row_digest(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def table_diff(left: DataFrame, right: DataFrame, key: str, percent: int = 100) -> DataFrame:
-    """Keys that exist on one side only or whose rows differ.
+def table_diff(left: DataFrame, right: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+    """Keys that exist on one side only or whose rows differ, among a share of all keys.
 
-    A sample below 100 percent is chosen by a hash of the key, so both sides pick the same
-    keys.  Keys are unique on each side.
+    The sample is chosen by a hash of the key, so both sides pick the same keys; a share of 1
+    compares everything.  Keys are unique on each side.
     """
+    if not 0.001 <= share <= 1:
+        raise ValueError("share must lie between 0.001 and 1")
     columns = sorted(left.columns)
     if sorted(right.columns) != columns:
         raise ValueError("both sides must have the same columns")
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        picked = df if percent >= 100 else df.filter(F.pmod(F.xxhash64(key), F.lit(100)) < percent)
+        picked = df if share == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))
         return picked.select(key, row_digest(columns).alias(name))
 
     both = side(left, "__left").join(side(right, "__right"), key, "full_outer")

@@ -21,6 +21,7 @@ MINUTE = 60 * MICROS
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 _STRETCHES = 4096
+MAX_HOT = 10_000
 
 
 def micros(ts: Column | str) -> Column:
@@ -51,6 +52,21 @@ def even_width(df: DataFrame, order: str, rows_per_bucket: int = 1_000_000, long
     return max(1, min(longest, stretch * rows_per_bucket // fullest))
 
 
+def split_hot(df: DataFrame, keys: Sequence[str], bucket: Column, hot_rows: int = 1_000_000) -> Column:
+    """``bucket`` for keys with more than ``hot_rows`` rows, one bucket for every other key.
+
+    Runs one count per key, combined before its shuffle.  Only hashes of hot keys come to the
+    driver, at most ``MAX_HOT`` of them; with more hot keys than that all keys are bucketed.
+    A key that shares its hash with a hot one is bucketed too, which changes no result.
+    """
+    counts = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
+    hot = [r[0] for r in counts.select(F.xxhash64(*keys)).limit(MAX_HOT + 1).collect()]
+    if len(hot) > MAX_HOT:
+        return bucket
+    whole = F.lit(0).cast("long")
+    return F.when(F.xxhash64(*keys).isin(hot), bucket).otherwise(whole) if hot else whole
+
+
 def scan_ready(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
     """Append the scan columns: the keys as one struct, and the bucket.
 

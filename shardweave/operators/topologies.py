@@ -11,51 +11,59 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardweave.operators.scan import bucket_of, ordered_scan, scan_done, scan_ready, scan_step
+from shardweave.operators.scan import bucket_of, even_width, ordered_scan, scan_done, scan_ready, scan_step, split_hot
 from shardweave.sources.topology import bound_text
 
 KEYSPACE = ("cluster", "keyspace")
 LO_BUCKET = 1 << 24
 
 
-def _with_reach(ranges: DataFrame, by: Sequence[str]) -> DataFrame:
+def _with_reach(ranges: DataFrame, by: Sequence[str], bucket: Column | None) -> DataFrame:
     """Append ``reach``: the largest hi of all earlier ranges of the keyspace."""
-    return ordered_scan(
-        ranges, by, ["lo", "pos"], bucket_of("lo", LO_BUCKET), maxes={"reach": F.col("hi")}, exclusive=True
-    )
+    cut = bucket_of("lo", LO_BUCKET) if bucket is None else bucket
+    return ordered_scan(ranges, by, ["lo", "pos"], cut, maxes={"reach": F.col("hi")}, exclusive=True)
+
+
+def hot_keyspaces(ranges: DataFrame, by: Sequence[str] = KEYSPACE, hot_rows: int = 1_000_000) -> Column:
+    """Buckets that cut only the keyspaces with very many ranges."""
+    return split_hot(ranges, by, bucket_of("lo", even_width(ranges, "lo", hot_rows, longest=LO_BUCKET)), hot_rows)
 
 
-def find_overlaps(ranges: DataFrame, by: Sequence[str] = KEYSPACE) -> DataFrame:
+def find_overlaps(ranges: DataFrame, by: Sequence[str] = KEYSPACE, bucket: Column | None = None) -> DataFrame:
     """Ranges that are inverted or start inside an earlier range, with the problem named."""
-    checked = _with_reach(ranges, by).withColumn(
+    checked = _with_reach(ranges, by, bucket).withColumn(
         "problem",
         F.when(F.col("lo") > F.col("hi"), "inverted").when(F.col("lo") <= F.col("reach"), "overlap"),
     )
     return checked.filter(F.col("problem").isNotNull())
 
 
-def find_gaps(ranges: DataFrame, by: Sequence[str] = KEYSPACE) -> DataFrame:
+def find_gaps(ranges: DataFrame, by: Sequence[str] = KEYSPACE, bucket: Column | None = None) -> DataFrame:
     """Uncovered stretches between the first and the last range of each keyspace."""
-    behind = _with_reach(ranges, by).filter(F.col("lo") > F.col("reach") + 1)
+    behind = _with_reach(ranges, by, bucket).filter(F.col("lo") > F.col("reach") + 1)
     return behind.select(*by, (F.col("reach") + 1).alias("gap_lo"), (F.col("lo") - 1).alias("gap_hi"))
 
 
-def _plan_side(ranges: DataFrame, by: Sequence[str], side: str) -> DataFrame:
-    def count(condition: Column) -> Column:
-        return F.count_if(condition)
-
-    return _with_reach(ranges, by).groupBy(*by).agg(
+def _plan_side(ranges: DataFrame, by: Sequence[str], side: str, bucket: Column | None) -> DataFrame:
+    return _with_reach(ranges, by, bucket).groupBy(*by).agg(
         F.min("lo").alias(f"{side}_lo"),
         F.max("hi").alias(f"{side}_hi"),
-        count(F.col("lo") > F.col("hi")).alias(f"{side}_inverted"),
-        count(F.col("lo") <= F.col("reach")).alias(f"{side}_overlaps"),
-        count(F.col("lo") > F.col("reach") + 1).alias(f"{side}_gaps"),
+        F.count_if(F.col("lo") > F.col("hi")).alias(f"{side}_inverted"),
+        F.count_if(F.col("lo") <= F.col("reach")).alias(f"{side}_overlaps"),
+        F.count_if(F.col("lo") > F.col("reach") + 1).alias(f"{side}_gaps"),
     )
 
 
-def check_split_plans(sources: DataFrame, targets: DataFrame, by: Sequence[str] = KEYSPACE) -> DataFrame:
+def check_split_plans(
+    sources: DataFrame,
+    targets: DataFrame,
+    by: Sequence[str] = KEYSPACE,
+    source_bucket: Column | None = None,
+    target_bucket: Column | None = None,
+) -> DataFrame:
     """Per plan: both sides must be contiguous and span exactly the same keys."""
-    both = _plan_side(sources, by, "source").join(_plan_side(targets, by, "target"), list(by), "full_outer")
+    left = _plan_side(sources, by, "source", source_bucket)
+    both = left.join(_plan_side(targets, by, "target", target_bucket), list(by), "full_outer")
     defects = [f"{s}_{d}" for s in ("source", "target") for d in ("inverted", "overlaps", "gaps")]
     clean = sum((F.col(d) for d in defects), F.lit(0)) == 0
     covered = (F.col("source_lo") == F.col("target_lo")) & (F.col("source_hi") == F.col("target_hi"))
@@ -145,7 +153,7 @@ def placement_drift(spec: DataFrame, observed: DataFrame, ranges: DataFrame) ->
     uncovered = named.join(spec.select("shard_id"), "shard_id", "left_anti").select(
         "shard_id", F.lit("RangeUncovered").alias("reason"), F.lit("a range names this shard").alias("detail")
     )
-    return drift.unionByName(uncovered)
+    return drift.unionByName(uncovered).orderBy("shard_id", "reason")
 
 
 def placement_violations(spec: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shardweave.operators import gather as G
 from shardweave.operators.placement import SHARD, assign_shard
-from shardweave.operators.scan import DAY, bucket_of, micros
+from shardweave.operators.scan import micros, split_hot
 from shardweave.plans.layouts import sharded_orders
 from shardweave.plans.oracle import murmur3_sql, quarter_shard_sql
 from shardweave.plans.placement import FOUR, ORDER_SHARDS_SQL
@@ -241,4 +241,5 @@ def g18(spark, sf_dir):
     requests = table(spark, sf_dir, "events").select(
         "event_id", F.concat(F.lit("shard-"), F.expr("user_id div 5")).alias("shard"), micros("ts").alias("at")
     )
-    return G.choose_read_endpoint(requests, ["at", "event_id"], event_bucket(spark, sf_dir, "at"), members, 7000).drop("at")
+    bucket = split_hot(requests, ["shard"], event_bucket(spark, sf_dir, "at"))
+    return G.choose_read_endpoint(requests, ["at", "event_id"], bucket, members, 7000).drop("at")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardweave.operators import topologies as T
-from shardweave.operators.scan import DAY, bucket_of, micros
+from shardweave.operators.scan import micros, split_hot
 from shardweave.plans.oracle import crc32_sql
 from shardweave.plans.registry import event_bucket, query, table
 from shardweave.sources.topology import bound_text
@@ -54,7 +54,8 @@ REACH_SQL = (
     "WHEN lo <= reach THEN 'overlap' END AS problem FROM reach) WHERE problem IS NOT NULL",
 )
 def t01(spark, sf_dir):
-    return T.find_overlaps(ranges(spark, sf_dir))
+    tables = ranges(spark, sf_dir)
+    return T.find_overlaps(tables, bucket=T.hot_keyspaces(tables))
 
 
 @query(
@@ -63,7 +64,8 @@ def t01(spark, sf_dir):
     "FROM reach WHERE lo > reach + 1",
 )
 def t02(spark, sf_dir):
-    return T.find_gaps(ranges(spark, sf_dir))
+    tables = ranges(spark, sf_dir)
+    return T.find_gaps(tables, bucket=T.hot_keyspaces(tables))
 
 
 SPAN_SQL = """
@@ -103,7 +105,10 @@ def t03(spark, sf_dir):
         (F.col("hi") - F.when(last == "7", 1).otherwise(0)).alias("hi"),
     )
     targets = span.select("cluster", "keyspace", F.explode(F.array(first, second)).alias("x"))
-    return T.check_split_plans(span.withColumn("pos", F.lit(0)), targets.select("cluster", "keyspace", "x.*"))
+    one = F.lit(0).cast("long")  # a plan has one source and two targets here
+    return T.check_split_plans(
+        span.withColumn("pos", F.lit(0)), targets.select("cluster", "keyspace", "x.*"), source_bucket=one, target_bucket=one
+    )
 
 
 @query(
@@ -276,7 +281,8 @@ def t13(spark, sf_dir):
 )
 def t14(spark, sf_dir):
     versions = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", micros("ts").alias("at"))
-    return T.with_generation(versions, ["user_id"], ["at", "event_id"], event_bucket(spark, sf_dir, "at"), ["event_type"]).drop("at")
+    bucket = split_hot(versions, ["user_id"], event_bucket(spark, sf_dir, "at"))
+    return T.with_generation(versions, ["user_id"], ["at", "event_id"], bucket, ["event_type"]).drop("at")
 
 
 @query(

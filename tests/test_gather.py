@@ -39,6 +39,13 @@ def test_round_trip_equals_direct_aggregation(spark):
         G.shard_partials(df, [], {"x": G.Aggregate("median", "v")})
 
 
+def test_distinct_sketches_merge(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("s"), F.col("id") % 4).alias("__shard"), (F.col("id") % 5000).alias("v"))
+    aggs = {"d": G.Aggregate("approx_distinct", "v")}
+    estimate = G.merge_partials(G.shard_partials(df, [], aggs), [], aggs).first().d
+    assert abs(estimate - 5000) < 250
+
+
 def test_order_puts_null_last_and_numbers_by_value(spark):
     df = spark.createDataFrame([("b", 100), ("a", 9), ("b", None), ("a", 10), ("a", 100)], "__shard string, v long")
     assert [r.v for r in G.merge_ordered(df, ["V"]).collect()] == [9, 10, 100, 100, None]

@@ -121,9 +121,9 @@ def test_constraints(spark):
 def test_diff_samples_the_same_keys_on_both_sides(spark):
     left = table(spark)
     right = left.filter("id <> 7").withColumn("val", F.when(F.col("id") == 8, None).otherwise(F.col("val")))
-    found = {r.id: r.problem for r in R.table_diff(left, right, "id").collect()}
+    found = {r.id: r.problem for r in R.table_diff(left, right, "id", share=1).collect()}
     assert found == {7: "missing in target", 8: "different"}
-    assert R.table_diff(left, left.select("val", "id"), "id", percent=10).count() == 0
+    assert R.table_diff(left, left.select("val", "id"), "id", share=0.1).count() == 0
 
 
 def test_bucketed_join_needs_no_exchange(spark, tmp_path):

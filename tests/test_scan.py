@@ -45,6 +45,18 @@ def test_ordered_scan_equals_plain_loop(spark, width, exclusive):
     assert len(got) == len(data)
 
 
+def test_only_hot_keys_are_cut(spark):
+    data = rows(11)
+    df = spark.createDataFrame(data, "k string, at long, seq long, v long")
+    cut = S.split_hot(df, ["k"], S.bucket_of("at", 20), hot_rows=100)
+    buckets = {r.k: r.n for r in df.groupBy("k").agg(F.count_distinct(cut).alias("n")).collect()}
+    assert buckets["hot"] > 40 and buckets["a"] == buckets["b"] == buckets[None] == 1
+    plain = S.ordered_scan(df, ["k"], ["at", "seq"], S.bucket_of("at", 7), sums={"t": F.col("v")})
+    mixed = S.ordered_scan(df, ["k"], ["at", "seq"], cut, sums={"t": F.col("v")})
+    assert {tuple(r) for r in mixed.collect()} == {tuple(r) for r in plain.collect()}
+    assert df.select(S.split_hot(df, ["k"], S.bucket_of("at", 20)).alias("b")).distinct().count() == 1
+
+
 def test_scan_without_keys(spark):
     df = spark.createDataFrame(rows(3), "k string, at long, seq long, v long")
     got = S.ordered_scan(df, [], ["at", "seq"], S.bucket_of("at", 50), sums={"n": F.lit(1).cast("long")}).collect()

@@ -16,7 +16,11 @@ from shardweave.sources.topology import bound_text
 
 BYTES_PER_GB = 1_000_000_000
 MAX_NAME = 63
+# Phases of a split job that has ended.
 FINISHED_PHASES = ("Completed", "Failed", "Aborted")
+# Why a cluster does or does not split.
+DISABLED, UNSUPPORTED, NO_METRICS = "Disabled", "UnsupportedVindex", "MetricsSourceMissing"
+NO_CANDIDATE, IN_PROGRESS, CANDIDATE = "NoCandidate", "SplitInProgress", "SplitCandidate"
 
 
 @dataclass(frozen=True)
@@ -131,11 +135,11 @@ def split_reason(clusters: DataFrame, ranges: DataFrame, candidates: DataFrame,
     busy = active_splits(jobs).withColumn("__busy", F.lit(True))
     joined = clusters.join(foreign, "cluster", "left").join(eligible, "cluster", "left").join(busy, "cluster", "left")
     reason = (
-        F.when(~F.col("enabled"), "Disabled")
-        .when(F.col("eligible").isNull() & F.col("__foreign").isNotNull(), "UnsupportedVindex")
-        .when(F.col("eligible").isNull() & F.lit(triggers.p99_ms > 0), "MetricsSourceMissing")
-        .when(F.col("eligible").isNull(), "NoCandidate")
-        .when(F.col("__busy").isNotNull(), "SplitInProgress")
-        .otherwise("SplitCandidate")
+        F.when(~F.col("enabled"), DISABLED)
+        .when(F.col("eligible").isNull() & F.col("__foreign").isNotNull(), UNSUPPORTED)
+        .when(F.col("eligible").isNull() & F.lit(triggers.p99_ms > 0), NO_METRICS)
+        .when(F.col("eligible").isNull(), NO_CANDIDATE)
+        .when(F.col("__busy").isNotNull(), IN_PROGRESS)
+        .otherwise(CANDIDATE)
     )
     return joined.select("cluster", F.coalesce("eligible", F.lit(0)).cast("long").alias("eligible"), reason.alias("reason"))

@@ -11,12 +11,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+# Types whose aggregation buffers Spark updates in place, so that it can hash instead of sort.
+_FIXED_WIDTH = (
+    T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+    T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType,
+)
+
+
+def last_rows(df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """The last row of every key by ``order``, combined before the shuffle.
+
+    With one order column and fixed-width fields every field is its own ``max_by``, which
+    Spark hashes.  All of them follow the same row, ties included.  Otherwise the row is one
+    struct and Spark sorts each task's rows by key.
+    """
+    fixed = all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in (*order, *fields))
+    if len(order) == 1 and fixed:
+        return df.groupBy(key).agg(*[F.max_by(f, order[0]).alias(f) for f in fields])
+    last = F.max_by(F.struct(*fields), F.struct(*order))
+    return df.groupBy(key).agg(last.alias("__last")).select(key, "__last.*")
 
 
 def net_changes(changes: DataFrame, key: str, order: Sequence[str], payload: Sequence[str]) -> DataFrame:
-    """The last change of every key.  Combined before the shuffle, so a hot key is one row per task."""
-    last = F.max_by(F.struct("op", *order, *payload), F.struct(*order))
-    return changes.groupBy(key).agg(last.alias("__last")).select(key, "__last.*")
+    """The last change of every key, as an update or a delete.  A hot key is one row per task."""
+    flagged = changes.withColumn("__gone", F.col("op") == "D")
+    last = last_rows(flagged, key, order, ["__gone", *order, *payload])
+    return last.withColumn("op", F.when(F.col("__gone"), "D").otherwise("U")).drop("__gone")
 
 
 def apply_net_changes(snapshot: DataFrame, net: DataFrame, key: str) -> DataFrame:

@@ -60,12 +60,12 @@ class _Timeline:
 def coalesce_signals(df: DataFrame, key: str, at: str, width: int, rows_per_group: int = 500_000) -> DataFrame:
     """One row (key, start, emit_at) per window of ``width`` LONG time units.
 
-    A window holds the signals in ``[start, start + width)``.  Buckets are made short enough,
-    and the keys of a bucket are spread over enough groups, that a group has about
-    ``rows_per_group`` signals; a bucket is never shorter than a window.
+    A window holds the signals in ``[start, start + width)``.  Buckets are made short enough
+    that the fullest has about ``rows_per_group`` signals.  A bucket is never shorter than a
+    window; where that makes buckets too full, their keys are spread over several groups.
     """
-    span = max(width, even_width(df, at, rows_per_group, longest=1000 * width))
-    parts = max(1, -(-df.count() // rows_per_group))
+    even = even_width(df, at, rows_per_group, longest=1000 * width)
+    span, parts = max(width, even), -(-max(width, even) // even)
     signals = df.select(
         # Keys travel as text, marked so that NULL is a key like any other.
         F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias(NAME),

@@ -17,8 +17,17 @@ RESEED_EVERY = 10 * MINUTE
 FAILOVER_DEBOUNCE = 8 * MICROS
 MAX_REPLICAS = 15
 
-# Reason texts of a member.
+# Reasons of a member that is not ready.
 POD_NOT_READY, FENCED, ROGUE = "pod-not-ready", "fenced", "rogue-primary"
+# Reasons of a failure decision.
+NO_FAILURE, NO_PRIMARY, NOT_READY, NO_REPLICA = "None", "NoPrimary", "PrimaryNotReady", "NoEligibleReplica"
+# Phases of a cluster.
+HIBERNATED, DEGRADED, READY, PROVISIONING = "Hibernated", "Degraded", "Ready", "Provisioning"
+# Reasons to fence a volume.
+MULTI_ATTACH, SPLIT_BRAIN, STALE_LEASE = "MultiAttach", "SplitBrain", "StaleLease"
+# Status of a managed role, and the names that are never managed.
+RESERVED, RECONCILED, PENDING = "reserved", "reconciled", "pending-reconciliation"
+RESERVED_ROLES = ("postgres", "streaming_replica")
 
 
 def latest_status(heartbeats: DataFrame, member: str = "pod", order: tuple[str, ...] = ("at", "seq")) -> DataFrame:
@@ -135,10 +144,10 @@ def failure_decision(shards: DataFrame) -> DataFrame:
     judged = shards.withColumn("__best", promotion_candidate())
     healthy = F.coalesce(F.col("primary.ready"), F.lit(False))
     reason = (
-        F.when(healthy, "None")
-        .when(F.col("__best").isNull(), "NoEligibleReplica")
-        .when(F.col("primary").isNull(), "NoPrimary")
-        .otherwise("PrimaryNotReady")
+        F.when(healthy, NO_FAILURE)
+        .when(F.col("__best").isNull(), NO_REPLICA)
+        .when(F.col("primary").isNull(), NO_PRIMARY)
+        .otherwise(NOT_READY)
     )
     return judged.select(
         "cluster", "shard", (~healthy).alias("failed"), reason.alias("reason"),
@@ -189,10 +198,10 @@ def cluster_phase(clusters: DataFrame, shards: DataFrame, decisions: DataFrame)
     joined = clusters.join(ready, "cluster", "left").join(failed, "cluster", "left")
     serving = F.coalesce("all_ready", F.lit(False)) & (~F.col("router_active") | F.col("router_ready"))
     phase = (
-        F.when(F.col("hibernated"), "Hibernated")
-        .when(F.col("was_ready") & F.coalesce("any_failed", F.lit(False)), "Degraded")
-        .when(serving, "Ready")
-        .otherwise("Provisioning")
+        F.when(F.col("hibernated"), HIBERNATED)
+        .when(F.col("was_ready") & F.coalesce("any_failed", F.lit(False)), DEGRADED)
+        .when(serving, READY)
+        .otherwise(PROVISIONING)
     )
     return joined.select("cluster", F.coalesce("n_shards", F.lit(0)).alias("n_shards"), phase.alias("phase"))
 
@@ -205,15 +214,14 @@ def managed_roles(users: DataFrame) -> DataFrame:
     applied = F.col("applied") & (F.col("generation") == F.col("observed"))
     named = users.filter(F.col("role") != "").select(
         "cluster", "role",
-        F.when(applied, "reconciled").otherwise("pending-reconciliation").alias("status"),
+        F.when(applied, RECONCILED).otherwise(PENDING).alias("status"),
         F.when(~F.col("applied"), F.nullif(F.col("message"), F.lit(""))).alias("error"),
         F.nullif(F.col("secret_version"), F.lit("")).alias("secret_version"),
     )
-    # Role names that are never managed.
-    reserved = F.explode(F.array(F.lit("postgres"), F.lit("streaming_replica")))
+    reserved = F.explode(F.array(*[F.lit(r) for r in RESERVED_ROLES]))
     none = F.lit(None).cast("string")
     fixed = users.select("cluster").distinct().select(
-        "cluster", reserved.alias("role"), F.lit("reserved").alias("status"), none.alias("error"), none.alias("secret_version")
+        "cluster", reserved.alias("role"), F.lit(RESERVED).alias("status"), none.alias("error"), none.alias("secret_version")
     )
     return named.unionByName(fixed)
 
@@ -248,13 +256,13 @@ def fence_decisions(mounts: DataFrame, as_of: int) -> DataFrame:
     foreign_claim = mounts.filter(claims & foreign).select("pvc").distinct().withColumn("__foreign", F.lit(True))
     joined = mounts.join(per_volume, "pvc").join(foreign_claim, "pvc", "left")
     rule = (
-        F.when(F.col("__multi"), "MultiAttach")
-        .when(F.col("__claims") >= 2, "SplitBrain")
-        .when(late & F.coalesce("__foreign", F.lit(False)), "StaleLease")
+        F.when(F.col("__multi"), MULTI_ATTACH)
+        .when(F.col("__claims") >= 2, SPLIT_BRAIN)
+        .when(late & F.coalesce("__foreign", F.lit(False)), STALE_LEASE)
         .otherwise("")
     )
-    fence = F.when(F.col("reason") == "MultiAttach", True).when(F.col("reason") == "", False).otherwise(foreign)
-    listed = joined.withColumn("reason", rule).filter(F.col("reason").isin("MultiAttach", "") | claims)
+    fence = F.when(F.col("reason") == MULTI_ATTACH, True).when(F.col("reason") == "", False).otherwise(foreign)
+    listed = joined.withColumn("reason", rule).filter(F.col("reason").isin(MULTI_ATTACH, "") | claims)
     return listed.select("pvc", "pod", fence.alias("fence"), "reason")
 
 

@@ -86,15 +86,15 @@ def ring_lookup(df: DataFrame, key: str, points: DataFrame, shard: str, function
     """Owner of every key on a ring that may be as large as the data.
 
     The first point at or after a hash is the last one before it on the negated axis, so
-    this is one as-of join over the hash order; keys beyond the last point wrap around.
+    this is one as-of join over the hash order.  The owner of the smallest point is listed
+    once more beyond the last point, where the ring wraps around.
     """
     owners = points.groupBy("hash").agg(F.min(shard).alias(shard)).select((-F.col("hash")).alias("__point"), shard)
+    beyond = F.lit(-(MASK32 + 1)).cast("long").alias("__point")
+    wrap = owners.agg(F.max_by(shard, "__point").alias(shard)).select(beyond, shard)
     hashed = with_key_hash(df, key, function).withColumn("__place", -F.col("__hash"))
-    found = as_of_join(hashed, owners, [], "__place", "__point", "__point", [shard], width)
-    # One row: the owner of the smallest point.
-    first = owners.agg(F.max_by(shard, "__point").alias("__first")).withColumn("__one", F.lit(1))
-    wrapped = found.withColumn("__one", F.lit(1)).join(first, "__one").withColumn(shard, F.coalesce(shard, "__first"))
-    return wrapped.select(*df.columns, shard)
+    found = as_of_join(hashed, owners.unionByName(wrap), [], "__place", "__point", "__point", [shard], width)
+    return found.select(*df.columns, shard)
 
 
 # --- assignment -----------------------------------------------------------------------

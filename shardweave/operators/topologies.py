@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from shardweave.operators.scan import bucket_of, even_width, ordered_scan, scan_done, scan_ready, scan_step, split_hot
 from shardweave.sources.topology import bound_text
 
+# Reasons of a placement drift.
+MISSING, EXTRA, ZONE_MISMATCH, NODE_MISMATCH = "Missing", "Extra", "ZoneMismatch", "NodeMismatch"
+NOT_READY, RANGE_UNCOVERED = "NotReady", "RangeUncovered"
+
 KEYSPACE = ("cluster", "keyspace")
 LO_BUCKET = 1 << 24
 
@@ -135,23 +139,23 @@ def placement_drift(spec: DataFrame, observed: DataFrame, ranges: DataFrame) ->
 
     findings = F.array_compact(
         F.array(
-            finding(in_spec & ~in_seen, "Missing", F.lit("wanted but not observed")),
-            finding(~in_spec & in_seen, "Extra", F.lit("observed but not wanted")),
+            finding(in_spec & ~in_seen, MISSING, F.lit("wanted but not observed")),
+            finding(~in_spec & in_seen, EXTRA, F.lit("observed but not wanted")),
             finding(
-                differs("preferred_zone", "zone"), "ZoneMismatch",
+                differs("preferred_zone", "zone"), ZONE_MISMATCH,
                 F.concat(F.lit("preferredZone="), "preferred_zone", F.lit(" observed="), "zone"),
             ),
             finding(
-                differs("preferred_node", "node"), "NodeMismatch",
+                differs("preferred_node", "node"), NODE_MISMATCH,
                 F.concat(F.lit("preferredNode="), "preferred_node", F.lit(" observed="), "node"),
             ),
-            finding(in_spec & in_seen & ~F.col("ready"), "NotReady", F.lit("observed but not ready")),
+            finding(in_spec & in_seen & ~F.col("ready"), NOT_READY, F.lit("observed but not ready")),
         )
     )
     drift = both.select("shard_id", F.explode(findings).alias("f")).select("shard_id", "f.reason", "f.detail")
     named = ranges.select(F.col("shard").alias("shard_id")).distinct()
     uncovered = named.join(spec.select("shard_id"), "shard_id", "left_anti").select(
-        "shard_id", F.lit("RangeUncovered").alias("reason"), F.lit("a range names this shard").alias("detail")
+        "shard_id", F.lit(RANGE_UNCOVERED).alias("reason"), F.lit("a range names this shard").alias("detail")
     )
     return drift.unionByName(uncovered).orderBy("shard_id", "reason")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardweave.operators.scan import HOUR, micros
+from shardweave.plans import alerting, fleets  # noqa: F401  (their oracles are shared)
 from shardweave.plans.fleets import BURST, HEARTBEATS_SQL
 from shardweave.plans.registry import ORACLE, query, table
 from shardweave.plans.reshards import CHANGES_SQL, state_sql
@@ -64,6 +65,20 @@ def f13_stream(spark, sf_dir):
     return held.select("cluster", "seq", "since", F.col("held").alias("promote"))
 
 
+@query("p05_stream_hold_time", ORACLE["p05_hold_time"])
+def p05_stream(spark, sf_dir):
+    gauges = event_stream(spark, sf_dir).select(
+        F.col("event_type").alias("kind"),
+        micros("ts").alias("at"),
+        F.col("event_id").alias("seq"),
+        (F.col("value") > 20).alias("holds"),
+        F.lit(True).alias("may_start"),
+    )
+    watched = drain_to_parquet(watch_held(gauges, "kind", 2 * HOUR), "hold")
+    state = F.when(F.col("since") < 0, "inactive").when(F.col("held"), "firing").otherwise("pending")
+    return watched.select("kind", "seq", state.alias("state"))
+
+
 @query("f19_stream_signal_coalescing", ORACLE["f19_signal_coalescing"])
 def f19_stream(spark, sf_dir):
     signals = event_stream(spark, sf_dir).select("user_id", micros("ts").alias("at"))

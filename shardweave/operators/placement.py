@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +63,7 @@ def ring_intervals(points: DataFrame, shard: str) -> DataFrame:
     return arcs.unionByName(wrap)
 
 
+@lru_cache(maxsize=16)
 def _topology_points(topology: Topology) -> list[tuple[int, str]]:
     """Sorted (hash, shard) points of one keyspace, computed without a job."""
     owners = [s for s in topology.shards for _ in range(topology.vnodes)]
@@ -158,7 +162,8 @@ def resolve_key(topology: Topology, key: object) -> str:
             found = next((s for lo, hi, s in topology.hash_intervals() if lo <= h <= hi), None)
         elif topology.vindex_type == "consistent-hash":
             points = _topology_points(topology)
-            found = next((s for point, s in points if point >= h), points[0][1])
+            at = bisect_left(points, (h, ""))
+            found = points[at % len(points)][1]
         else:
             raise TopologyError("a lookup key is resolved by joining its mapping table")
     if found is None:

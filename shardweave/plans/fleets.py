@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shardweave.operators import fleet as M
 from shardweave.operators.coalesce import coalesce_signals
 from shardweave.operators.held import sustained, with_held_since
-from shardweave.operators.scan import DAY, HOUR, MINUTE, bucket_of, micros
+from shardweave.operators.scan import HOUR, MINUTE, micros
 from shardweave.plans.registry import event_bucket, query, table
 
 AS_OF = 1706659200 * 1_000_000  # 2024-01-31 00:00:00 UTC, after the last heartbeat

@@ -56,14 +56,16 @@ def delete_foreign(target: DataFrame, topology: Topology, keep: str) -> DataFram
 
 def conservation(source: DataFrame, kept: DataFrame, moved: DataFrame, topology: Topology) -> DataFrame:
     """One row: totals before and after, and rows that are not on the shard of their key."""
-    one = F.count(F.lit(1))
     after = assign_shard(kept.unionByName(moved), topology, "__now", strict=True)
-    misplaced = F.count_if(F.col("__now") != F.col(SHARD))
-    sums = after.agg(one.alias("n_after"), misplaced.alias("n_misplaced"))
-    before = source.agg(one.alias("n_before"))
-    # Both sides are one-row aggregates.
-    both = before.withColumn("__one", F.lit(1)).join(sums.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    return both.withColumn("conserved", (F.col("n_before") == F.col("n_after")) & (F.col("n_misplaced") == 0))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    misplaced = (F.col("__now") != F.col(SHARD)).cast("long")
+    # Both sides as counts to add up, so that one aggregate compares them.
+    counts = source.select(one.alias("n_before"), none.alias("n_after"), none.alias("n_misplaced")).unionByName(
+        after.select(none.alias("n_before"), one.alias("n_after"), misplaced.alias("n_misplaced"))
+    )
+    names = ("n_before", "n_after", "n_misplaced")
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return sums.withColumn("conserved", (F.col("n_before") == F.col("n_after")) & (F.col("n_misplaced") == 0))
 
 
 def row_digest(columns: Sequence[str]) -> Column:

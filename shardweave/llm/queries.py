@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardweave.llm import overlap, quality
+from shardweave.llm import mixing, overlap, packing, quality, transform
 from shardweave.llm.shared import table
 
+#: The bulk source is a domain of its own beside the curated ones.
+DOMAIN = F.when(F.col("source") == "src0", "bulk").otherwise("curated")
+#: Target weights by path in the tree domain, language, source; 1 where nothing is said.
+WEIGHTS = {
+    ("bulk",): 0.35, ("curated",): 0.65,
+    ("bulk", "en"): 0.6, ("bulk", "de"): 0.15, ("bulk", "fr"): 0.15, ("bulk", "es"): 0.1,
+    ("curated", "en"): 0.55, ("curated", "de"): 0.17, ("curated", "fr"): 0.17, ("curated", "es"): 0.11,
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -26,6 +41,23 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long"), "n_shingles", F.col("component_id").cast("long"))
 
 
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform.removal_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"), DOMAIN, WEIGHTS)
+    return rows.select(F.col("doc_id").cast("long"), "lang", "source", "mix__.*")
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

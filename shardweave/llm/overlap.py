@@ -35,11 +35,11 @@ from shardweave.llm.shared import Batch, components, pieces, row_key, share_filt
 #: Texts in one chunk of a bucket; bounds the memory and time of a task's index, not its partners.
 CHUNK = 256
 #: Rows of the sample that orders shingles.  The order decides speed only, never the result.
-ORDER_SAMPLE = 4000
+ORDER_SAMPLE = 8000
 FREQUENT_WORDS = 50_000
 FREQUENT_SHINGLES = 100_000
 #: Weight of the long lists in DivideSkip.
-MU = 0.01
+MU = 0.001
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -68,7 +68,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
     sample = share_filter(docs, ORDER_SAMPLE, "text").select("text")
     counts = sample.mapInArrow(run, "gram boolean, h long, n long").groupBy("gram", "h").agg(F.sum("n").alias("n"))
-    counts = stored(counts.where("n > 2"), "frequent")
+    counts = stored(counts.where("n > 1"), "frequent")
     out = []
     for gram, most in ((False, FREQUENT_WORDS), (True, FREQUENT_SHINGLES)):
         top = counts.where(F.col("gram") == gram).orderBy(F.desc("n"), "h").limit(most).toPandas().sort_values("h")
@@ -117,27 +117,30 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return stored(rows.mapInArrow(run, f"doc_id {kind}, rk long, n long, cls long, keys array<long>"), "signatures")
 
 
-def buckets(signed: DataFrame) -> DataFrame:
-    """(hub, cls): classes that share a prefix shingle, under the smallest of them.  Streams over sorted keys."""
+def buckets(signed: DataFrame, percent: int) -> DataFrame:
+    """(hub, cls): classes that share a prefix shingle and may be near in size, under the first of them.
+
+    Streams over rows sorted by shingle and set size.  A step in size too large for a link ends a bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_now, hub_now = None, 0
+        key_now, n_now, hub_now = None, 0, 0
         for batch in batches:
-            key, cls = (np.asarray(batch.column(c)) for c in ("key", "cls"))
+            key, n, cls = (np.asarray(batch.column(c)) for c in ("key", "n", "cls"))
             if not len(key):
                 continue
             new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            new[0] = key_now is None or key[0] != key_now
+            new[1:] = (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])
+            new[0] = key_now is None or key[0] != key_now or 100 * n_now < percent * n[0]
             heads = np.flatnonzero(new)
             hub = np.concatenate([[hub_now], cls[heads]])[np.cumsum(new)]
-            key_now, hub_now = key[-1], hub[-1]
+            key_now, n_now, hub_now = key[-1], n[-1], hub[-1]
             other = hub != cls
             pairs = np.unique(np.stack([hub[other], cls[other]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["hub", "cls"])
 
-    rows = signed.where("n > 0").select(F.explode("keys").alias("key"), "cls")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "hub long, cls long").distinct()
+    rows = signed.where("n > 0").select(F.explode("keys").alias("key"), "n", "cls")
+    pairs = rows.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(run, "hub long, cls long").distinct()
     pairs = stored(pairs, "bucket-pairs")
     return pairs.union(pairs.select("hub", F.col("hub").alias("cls")).distinct())
 
@@ -155,9 +158,11 @@ class ShingleIndex:
         self.begin = np.append(begin, len(tokens))
         self.ids = ids[by].tolist()
 
-    def search(self, query: np.ndarray, percent: int, skip) -> Iterator[int]:
+    def search(self, query: np.ndarray, percent: int, skip, own: bool = False) -> Iterator[int]:
         """Members whose Jaccard similarity with ``query`` reaches ``percent``; ``skip(i)`` leaves one out.
 
+        ``own``: the query is a member too, so lists that hold it alone are of no use.
+
         DivideSkip over the lists of the query's shingles, cut to the members whose size can qualify.
         """
         n, need = len(query), least_overlap(len(query), percent)
@@ -165,11 +170,15 @@ class ShingleIndex:
         if first >= last or not len(self.tokens):
             return
         at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        at = at[self.tokens[at] == query]
+        at = at[self.begin[at + 1] - self.begin[at] > own]
+        if len(at) < need:
+            return
         lists = []
-        for k in at[self.tokens[at] == query]:
+        for k in at.tolist():
             a = bisect_left(self.ids, first, self.begin[k], self.begin[k + 1])
             b = bisect_left(self.ids, last, a, self.begin[k + 1])
-            if a < b:
+            if b - a > own:
                 lists.append((a, b))
         if len(lists) < need:
             return
@@ -231,11 +240,11 @@ def _search(tasks: DataFrame, width: int, percent: int) -> DataFrame:
         for i, comp in enumerate(group["comp"]):
             if comp is not None and not pd.isna(comp):
                 root[top(i)] = top(seen.setdefault(comp, i))
-        cls, a, b = group["cls"].to_numpy(), [], []
+        cls, a, b, members = group["cls"].to_numpy(), [], [], set(keep)
         for i in np.flatnonzero(group["query"]):
             if not len(sets[i]):
                 continue
-            for j in index.search(sets[i], percent, lambda j, i=i: top(keep[j]) == top(i)):
+            for j in index.search(sets[i], percent, lambda j, i=i: top(keep[j]) == top(i), i in members):
                 root[top(keep[j])] = top(i)
                 a.append(cls[i])
                 b.append(cls[keep[j]])
@@ -246,31 +255,30 @@ def _search(tasks: DataFrame, width: int, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) links between classes that connect every pair of linked classes."""
-    members = buckets(signed)
+    members = buckets(signed, percent)
     sizes = members.groupBy("hub").agg(F.count("*").alias("size"))
+    one = signed.where("n > 0").groupBy("cls").agg(F.min("rk").alias("rk"))
     members = stored(
         members.join(sizes, "hub")
         .withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
         .withColumn("i", F.pmod(F.xxhash64("cls", "hub"), F.col("chunks")).cast("int"))
-        .select("hub", "cls", "i", "chunks"),
+        .join(one, "cls")
+        .select("hub", "cls", "rk", "i", "chunks"),
         "bucket-members",
     )
-    one = signed.where("n > 0").groupBy("cls").agg(F.min("rk").alias("rk"))
-    wanted = members.select("cls").distinct().join(one, "cls")
-    texts = docs.select(row_key("doc_id", "text").alias("rk"), "text").join(wanted, "rk")
-    texts = stored(texts.dropDuplicates(["cls"]).select("cls", "text"), "bucket-texts")
+    texts = docs.select(row_key("doc_id", "text").alias("rk"), "text")
 
     none = F.lit(None).cast("long")
-    hubs = members.where("hub = cls and chunks > 1").select("hub", "cls", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
-    first = members.where("hub <> cls or chunks = 1").select("hub", "cls", "i").union(hubs.select("hub", "cls", "i"))
+    hubs = members.where("hub = cls and chunks > 1").select("hub", "cls", "rk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
+    first = members.where("hub <> cls or chunks = 1").select("hub", "cls", "rk", "i").union(hubs)
     flags = [F.lit(True).alias("query"), F.lit(True).alias("indexed"), none.alias("comp")]
-    found = stored(_search(first.join(texts, "cls").select("hub", "i", F.col("i").alias("j"), "cls", "text", *flags), width, percent), "links-1")
+    found = stored(_search(first.join(texts, "rk").select("hub", "i", F.col("i").alias("j"), "cls", "text", *flags), width, percent), "links-1")
     hot = stored(members.where("chunks > 1"), "hot-buckets")
     if hot.isEmpty():
         return found
     comps = components(found)
-    hot = hot.join(comps, hot["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "cls")).select("hub", "cls", "i", "chunks", "comp")
-    hot = stored(hot, "hot-components")
+    hot = hot.join(comps, hot["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "cls"))
+    hot = stored(hot.select("hub", "cls", "rk", "i", "chunks", "comp"), "hot-components")
     per = hot.groupBy("hub", "comp").agg(F.count("*").alias("n"))
     main = per.groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
     hot = stored(hot.join(main, "hub"), "hot-main")
@@ -278,13 +286,13 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     if loose.isEmpty():
         return found
     # every loose text meets each other chunk of its bucket once: as query there, with the chunk as index
-    asked = loose.select("hub", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "cls", "comp").where("i <> j")
+    asked = loose.select("hub", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "cls", "rk", "comp").where("i <> j")
     where = asked.select("hub", "i", "j").distinct()
-    index = where.join(hot.select("hub", F.col("i").alias("j"), "cls", "comp"), ["hub", "j"])
-    rows = asked.select("hub", "i", "j", "cls", "comp", F.lit(True).alias("query"), F.lit(False).alias("indexed")).union(
-        index.select("hub", "i", "j", "cls", "comp", F.lit(False).alias("query"), F.lit(True).alias("indexed"))
+    index = where.join(hot.select("hub", F.col("i").alias("j"), "cls", "rk", "comp"), ["hub", "j"])
+    rows = asked.select("hub", "i", "j", "cls", "rk", "comp", F.lit(True).alias("query"), F.lit(False).alias("indexed")).union(
+        index.select("hub", "i", "j", "cls", "rk", "comp", F.lit(False).alias("query"), F.lit(True).alias("indexed"))
     )
-    rest = _search(rows.join(texts, "cls").select("hub", "i", "j", "cls", "text", "query", "indexed", "comp"), width, percent)
+    rest = _search(rows.join(texts, "rk").select("hub", "i", "j", "cls", "text", "query", "indexed", "comp"), width, percent)
     return found.union(stored(rest, "links-2"))
 
 

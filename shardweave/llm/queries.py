@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardweave.llm import mixing, overlap, packing, quality, transform
+from shardweave.llm import language, mixing, overlap, packing, quality, toxic, transform
 from shardweave.llm.shared import table
 
 #: The bulk source is a domain of its own beside the curated ones.
@@ -58,6 +58,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long"), "lang", "source", "mix__.*")
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic.toxicity(docs, toxic.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.languages(docs, language.fit(docs))
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

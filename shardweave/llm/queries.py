@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardweave.llm import language, mixing, overlap, packing, quality, toxic, transform
+from shardweave.llm import language, mixing, neighbours, overlap, packing, quality, quantise, toxic, transform, wrapper
 from shardweave.llm.shared import table
 
 #: The bulk source is a domain of its own beside the curated ones.
@@ -34,6 +34,23 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages")).withColumn("page_id", F.col("page_id").cast("long"))
+
+
+@query
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return rows.select(F.col("query_id").cast("long"), F.col("rank").cast("int"), F.col("vec_id").cast("long"), "score")
+
+
+@query
+def op3_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantise.near_copies(table(spark, sf_dir, "embeddings"), least=0.98)
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("vec_id", "component_id")})
+
+
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -19,9 +19,9 @@ all rows that can be reached.
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from math import log2
 
 import numpy as np
 import pandas as pd
@@ -185,7 +185,7 @@ class ShingleIndex:
         lists.sort(key=lambda x: x[1] - x[0])
         longest = lists[-1][1] - lists[-1][0]
         # the least overlap holds for every partner, so more than need - 1 long lists would miss some
-        n_long = min(max(int(need / (MU * log2(longest + 1) + 1)), 0), need - 1, len(lists))
+        n_long = min(max(int(need / (MU * math.log2(longest + 1) + 1)), 0), need - 1, len(lists))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
         merged = heapq.merge(*[self.ids[a:b] for a, b in short])
         found, count = -1, 0
@@ -253,25 +253,34 @@ def _search(tasks: DataFrame, width: int, percent: int) -> DataFrame:
     return tasks.groupBy("hub", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def _sized(members: DataFrame) -> DataFrame:
+    """Members with the first class of their bucket and the number of chunks it needs; lone members go."""
+    sizes = members.groupBy("hub").agg(F.count("*").alias("size"), F.min("cls").alias("head")).where("size > 1")
+    return members.join(sizes.select("hub", "head", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "hub")
+
+
 def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) links between classes that connect every pair of linked classes."""
-    members = buckets(signed, percent)
-    sizes = members.groupBy("hub").agg(F.count("*").alias("size"))
-    one = signed.where("n > 0").groupBy("cls").agg(F.min("rk").alias("rk"))
-    members = stored(
-        members.join(sizes, "hub")
-        .withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-        .withColumn("i", F.pmod(F.xxhash64("cls", "hub"), F.col("chunks")).cast("int"))
-        .join(one, "cls")
-        .select("hub", "cls", "rk", "i", "chunks"),
-        "bucket-members",
-    )
+    one = signed.where("n > 0").groupBy("cls").agg(F.min("rk").alias("rk"), F.min("n").alias("n"))
+    members = stored(_sized(buckets(signed, percent)).join(one, "cls"), "bucket-members")
+    # Sizes that link are at most one band apart, so a large bucket becomes one for each two neighbouring bands.
+    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
+    cut = members.where("chunks > 1").withColumn("band", F.explode(F.array(band, band + 1)))
+    cut = _sized(cut.select(F.xxhash64("hub", "band").alias("hub"), "cls", "rk", "n"))
+    columns = ["hub", "cls", "rk", "head", "chunks", F.pmod(F.xxhash64("cls", "hub"), F.col("chunks")).cast("int").alias("i")]
+    members = stored(members.where("chunks = 1").select(*columns).union(cut.select(*columns)), "bucket-chunks")
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        """The texts of these rows' classes, one of each."""
+        keys = stored(rows.select("rk", "cls").distinct(), "text-keys")
+        texts = docs.select(row_key("doc_id", "text").alias("rk"), "text")
+        return texts.join(keys, "rk").select("cls", "text")
+
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    heads = members.where("head = cls and chunks > 1").select("hub", "cls", "rk", every.alias("i"))
+    first = members.where("head <> cls or chunks = 1").select("hub", "cls", "rk", "i").union(heads)
+    flags = [F.lit(True).alias("query"), F.lit(True).alias("indexed"), F.lit(None).cast("long").alias("comp")]
     texts = docs.select(row_key("doc_id", "text").alias("rk"), "text")
-
-    none = F.lit(None).cast("long")
-    hubs = members.where("hub = cls and chunks > 1").select("hub", "cls", "rk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
-    first = members.where("hub <> cls or chunks = 1").select("hub", "cls", "rk", "i").union(hubs)
-    flags = [F.lit(True).alias("query"), F.lit(True).alias("indexed"), none.alias("comp")]
     found = stored(_search(first.join(texts, "rk").select("hub", "i", F.col("i").alias("j"), "cls", "text", *flags), width, percent), "links-1")
     hot = stored(members.where("chunks > 1"), "hot-buckets")
     if hot.isEmpty():
@@ -286,13 +295,13 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     if loose.isEmpty():
         return found
     # every loose text meets each other chunk of its bucket once: as query there, with the chunk as index
-    asked = loose.select("hub", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "cls", "rk", "comp").where("i <> j")
+    asked = loose.select("hub", "i", every.alias("j"), "cls", "rk", "comp").where("i <> j")
     where = asked.select("hub", "i", "j").distinct()
     index = where.join(hot.select("hub", F.col("i").alias("j"), "cls", "rk", "comp"), ["hub", "j"])
     rows = asked.select("hub", "i", "j", "cls", "rk", "comp", F.lit(True).alias("query"), F.lit(False).alias("indexed")).union(
         index.select("hub", "i", "j", "cls", "rk", "comp", F.lit(False).alias("query"), F.lit(True).alias("indexed"))
     )
-    rest = _search(rows.join(texts, "rk").select("hub", "i", "j", "cls", "text", "query", "indexed", "comp"), width, percent)
+    rest = _search(rows.join(with_texts(rows), "cls").select("hub", "i", "j", "cls", "text", "query", "indexed", "comp"), width, percent)
     return found.union(stored(rest, "links-2"))
 
 

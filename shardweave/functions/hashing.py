@@ -102,6 +102,8 @@ _BATCH = {"murmur3": _murmur3_batch, "fnv": _fnv1a_batch}
 
 def hash_batch(function: str, texts: pa.Array) -> np.ndarray:
     """Hashes of one Arrow batch of texts; NULL counts as the empty text."""
+    if function == "crc32":
+        return np.array([zlib.crc32(t or b"") for t in pc.cast(texts, pa.large_binary()).to_pylist()], np.int64)
     return _BATCH[function](*_split_text(texts)).astype(np.int64)
 
 
@@ -121,7 +123,7 @@ def hash_text(function: str, text: Column) -> Column:
     """32-bit hash of a text column of any length; NULL counts as the empty text."""
     check_function(function)
     if function == "crc32":
-        return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+        return F.crc32(F.coalesce(text.cast("binary"), F.lit(b"")))
 
     @F.arrow_udf("long")
     def hashed(texts: pa.Array) -> pa.Array:
@@ -152,4 +154,6 @@ def key_text(df: DataFrame, key: str) -> Column:
 
 def with_key_hash(df: DataFrame, key: str, function: str = "murmur3", out: str = "__hash") -> DataFrame:
     """Append the 32-bit hash of ``key`` as LONG column ``out``."""
-    return df.withColumn(out, hash_text(function, key_text(df, key)))
+    # raw bytes are hashed as they are: they need not be text
+    binary = isinstance(df.schema[key].dataType, T.BinaryType)
+    return df.withColumn(out, hash_text(function, F.col(f"`{key}`") if binary else key_text(df, key)))

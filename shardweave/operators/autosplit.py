@@ -36,7 +36,7 @@ class Triggers:
 
 def cpu_percent(used: Column, request: Column) -> Column:
     """Whole percent of the requested CPU; NULL if either side is not positive."""
-    return F.when((used > 0) & (request > 0), F.floor(used * 100 / request).cast("long"))
+    return F.when((used > 0) & (request > 0), F.call_function("div", used * 100, request))
 
 
 def observe_shards(status: DataFrame, cpu: DataFrame, capacity: DataFrame, on: Sequence[str], shard: str = "shard") -> DataFrame:

@@ -90,8 +90,10 @@ def merge_partials(partials: DataFrame, keys: Sequence[str], aggregates: Mapping
 
 def item_merge_kind(item: Column) -> Column:
     """How one select item of a logged statement is merged: group key, count, sum, min, max or not mergeable."""
-    text = F.lower(F.trim(item))
-    call = F.regexp_extract(text, r"^(count|sum|min|max)\s*\(", 1)
+    # quoted text may hold parentheses; what counts is one call with nothing but an alias behind it
+    text = F.regexp_replace(F.lower(F.trim(item)), r"'(?:''|[^'])*'", "''")
+    inner = r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))*"
+    call = F.regexp_extract(text, rf"^(count|sum|min|max)\s*\({inner}\)(?:\s+(?:as\s+)?(?!over\b|filter\b|within\b)[\p{{L}}_][\p{{L}}\p{{N}}_$]*)?$", 1)
     return (
         F.when(text.rlike(r"\(\s*distinct\b"), "not mergeable")
         .when(call != "", call)

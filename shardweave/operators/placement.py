@@ -5,10 +5,13 @@ from __future__ import annotations
 from bisect import bisect_left
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardweave.functions.hashing import MASK32, hash_text, hash_value, hash_values, key_text, with_key_hash
+from shardweave.functions.hashing import MASK32, hash_batch, hash_text, hash_value, hash_values, key_text, with_key_hash
 from shardweave.operators.intervals import HASH_BIN_BITS, first_match, interval_case, interval_join
 from shardweave.operators.scan import as_of_join, ordered_scan
 from shardweave.sources.topology import Topology, TopologyError
@@ -71,17 +74,22 @@ def _topology_points(topology: Topology) -> list[tuple[int, str]]:
     return sorted(zip(hash_values(topology.function, labels), owners))
 
 
+def _local_arcs(topology: Topology) -> list[tuple[int, int, str]]:
+    """Ring intervals (lo, hi, shard) of one keyspace, computed without a job."""
+    points: dict[int, str] = {}
+    for h, s in _topology_points(topology):
+        points.setdefault(h, s)
+    ends = list(points)
+    arcs = [(a + 1, b, points[b]) for a, b in zip([-1, *ends], ends)]
+    if ends[-1] < MASK32:
+        arcs.append((ends[-1] + 1, MASK32, points[ends[0]]))
+    return arcs
+
+
 def topology_ring(spark: SparkSession, topology: Topology) -> DataFrame:
     """Ring intervals (lo, hi, shard) of one keyspace; large rings are built as a job."""
     if len(topology.shards) * topology.vnodes <= MAX_LOCAL_POINTS:
-        points: dict[int, str] = {}
-        for h, s in _topology_points(topology):
-            points.setdefault(h, s)
-        ends = list(points)
-        arcs = [(a + 1, b, points[b]) for a, b in zip([-1, *ends], ends)]
-        if ends[-1] < MASK32:
-            arcs.append((ends[-1] + 1, MASK32, points[ends[0]]))
-        return spark.createDataFrame(arcs, "lo LONG, hi LONG, shard STRING")
+        return spark.createDataFrame(_local_arcs(topology), "lo LONG, hi LONG, shard STRING")
     shards = spark.createDataFrame([(s,) for s in topology.shards], "shard STRING")
     return ring_intervals(ring_points(shards, "shard", topology.vnodes, topology.function), "shard")
 
@@ -143,7 +151,10 @@ def assign_shard(
     else:
         if mapping is None:
             raise TopologyError("a lookup vindex needs its mapping table")
-        named = mapping.select(F.col("key").alias("__key"), F.col("shard").alias(out))
+        # a key may be listed more than once, but not for several shards
+        two = F.concat(F.lit("several shards for key "), F.col("__key").cast("string"))
+        listed = mapping.groupBy(F.col("key").alias("__key")).agg(F.min("shard").alias("__a"), F.max("shard").alias("__b"))
+        named = listed.select("__key", F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(F.raise_error(two)).alias(out))
         placed = df.join(named, F.col(f"`{key}`") == F.col("__key"), "left").drop("__key")
     if strict:
         message = F.concat(F.lit("no range for key "), key_text(placed, key))
@@ -151,6 +162,41 @@ def assign_shard(
     return placed
 
 
+def shards_of(keys: Column, topology: Topology) -> Column:
+    """Shard of every text of an array column, NULL where no range holds it.  Narrow: one Arrow call a batch."""
+    kind, function = topology.vindex_type, topology.function
+    if kind == "hash":
+        arcs = first_match(topology.hash_intervals())
+    elif kind == "consistent-hash":
+        arcs = _local_arcs(topology)
+    elif kind == "range":
+        arcs = [(r.lo, r.hi, r.shard) for r in topology.ranges]
+    else:
+        raise TopologyError("a lookup key is resolved by joining its mapping table")
+
+    @F.arrow_udf("array<string>")
+    def placed(lists: pa.Array) -> pa.Array:
+        texts = lists.flatten()
+        if kind == "range":
+            found = pa.nulls(len(texts), pa.string())
+            for lo, hi, shard in reversed(arcs):
+                inside = pc.and_(pc.greater_equal(texts, lo), pc.less_equal(texts, hi))
+                found = pc.if_else(pc.fill_null(inside, False), shard, found)
+        else:
+            ordered = sorted(arcs)
+            starts, ends = (np.array([a[k] for a in ordered], np.int64) for k in (0, 1))
+            hashes = hash_batch(function, texts)
+            at = np.searchsorted(starts, hashes, side="right") - 1
+            inside = (at >= 0) & (hashes <= ends[np.maximum(at, 0)]) if len(starts) else np.zeros(len(texts), bool)
+            names = pa.array([a[2] for a in ordered], pa.string())
+            found = names.take(pa.array(np.where(inside, at, 0), mask=~inside))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0)
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(sizes))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), found)
+
+    return placed(keys)
+
+
 def resolve_key(topology: Topology, key: object) -> str:
     """Shard of one literal key, for pruning.  No Spark job."""
     text = "" if key is None else str(key)

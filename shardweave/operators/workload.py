@@ -1,57 +1,77 @@
 """How a log of SQL statements would land on a topology.
 
-Features are read from the statement text with regular expressions only; a feature that
-cannot be read is NULL.  The log has columns stmt_id (unique) and sql.
+A statement is cut into tokens once; everything else is read from the list of tokens, so the inside of
+quoted text and of comments is never mistaken for SQL.  A feature that cannot be read is NULL.  The log has
+columns stmt_id (unique) and sql.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardweave.operators.placement import assign_shard
+from shardweave.operators.placement import shards_of
 from shardweave.operators.scan import DAY, bucket_of, ordered_scan
 from shardweave.sources.topology import Topology
 
-# The patterns of key literals, inserts and table names.
-NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
-FIRST_LITERAL = r"(?i)(?:values\s*\(\s*|where\s+[a-z_][a-z0-9_]*\s*=\s*)'([^']*)'"
-INSERT = r"(?is)insert\s+into\s+[^\s(]+\s*\(([^)]*)\)\s*values\s*(.+?)(?:\s+on\s+conflict|\s+returning|;|\s*$)"
-TABLE = r"(?i)\b(?:from|join|into|update)\s+(?:[a-z_][a-z0-9_$]*\.)?([a-z_][a-z0-9_$]*)"
+# Quoted text, quoted name, comments, word, number, any other sign: one alternative per kind of token.
+_TOKEN = r"""'(?:''|[^'])*'|"(?:""|[^"])*"|--[^\n]*|/\*(?s:.)*?\*/|\p{L}[\p{L}\p{N}_$]*|_[\p{L}\p{N}_$]*|\p{N}+(?:\.\p{N}+)?|\S"""
+# In the plain form of a statement tokens are separated by one blank and quoted text is 'its number.
+_VALUE = r"'\d+|(?:- )?[0-9]+(?:\.[0-9]+)?"
+_NESTED = r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))*"
 
 
-def _text(value: Column) -> Column:
-    return F.nullif(value, F.lit(""))
+def _tokens(sql: Column) -> Column:
+    """The tokens of a statement without its comments."""
+    found = F.regexp_extract_all(sql, F.lit(_TOKEN), 0)
+    return F.filter(found, lambda t: ~(t.startswith("--") | t.startswith("/*")))
 
 
-def _equals(column: str) -> str:
-    return rf"(?i)\b{re.escape(column)}\s*=\s*(?:'([^']*)'|({NUMBER}))"
+def _plain(tokens: Column) -> Column:
+    """Lower-case tokens in one line; quoted text is replaced by its place in the list, quoted names are bare."""
 
+    def shown(token: Column, at: Column) -> Column:
+        return (
+            F.when(token.startswith("'"), F.concat(F.lit("'"), at.cast("string")))
+            .when(token.startswith('"'), F.regexp_replace(F.lower(F.substring(token, F.lit(2), F.length(token) - 2)), r"[^\p{L}\p{N}_$]", "_"))
+            .otherwise(F.lower(token))
+        )
 
-def _unquoted(sql: Column) -> Column:
-    """The statement with the inside of its quoted literals removed."""
-    return F.regexp_replace(sql, "'[^']*'", "''")
+    return F.array_join(F.transform(tokens, shown), " ")
+
+
+def _value(shown: Column, tokens: Column) -> Column:
+    """The literal behind a value of the plain form; NULL if it is none, or empty text."""
+    quoted = F.get(tokens, F.substring(shown, F.lit(2), F.length(shown)).try_cast("int"))
+    inner = F.replace(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit("''"), F.lit("'"))
+    number = F.when(shown.rlike(rf"^(?:{_VALUE})$"), F.replace(shown, F.lit(" "), F.lit("")))
+    return F.when(shown.rlike(r"^'\d+$"), F.nullif(inner, F.lit(""))).otherwise(number)
+
+
+def _compared(plain: Column, tokens: Column, column: str) -> Column:
+    """Literals compared with ``column``, in order."""
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<![^ ]){re.escape(column.lower())} = ({_VALUE})(?![^ ])"), 1)
+    return F.filter(F.transform(found, lambda v: _value(v, tokens)), lambda v: v.isNotNull())
 
 
 def key_by_column(sql: Column, column: str) -> Column:
     """First ``column = literal``."""
-    pattern = _equals(column)
-    return F.coalesce(_text(F.regexp_extract(sql, pattern, 1)), _text(F.regexp_extract(sql, pattern, 2)))
+    tokens = _tokens(sql)
+    return F.get(_compared(_plain(tokens), tokens, column), 0)
 
 
 def first_literal(sql: Column) -> Column:
-    """First quoted literal after ``VALUES (`` or ``WHERE c =``."""
-    return _text(F.regexp_extract(sql, FIRST_LITERAL, 1))
+    """First quoted literal that opens a list of values or is compared first in a WHERE."""
+    tokens = _tokens(sql)
+    return _value(F.regexp_extract(_plain(tokens), r"(?<![^ ])(?:values \(|where [^ ]+ =) ('\d+)(?![^ ])", 1), tokens)
 
 
 def column_literals(sql: Column, column: str) -> Column:
     """Distinct literals compared with the shard column."""
-    pattern = F.lit(_equals(column))
-    found = F.concat(F.regexp_extract_all(sql, pattern, 1), F.regexp_extract_all(sql, pattern, 2))
-    return F.array_distinct(F.filter(found, lambda x: x != ""))
+    tokens = _tokens(sql)
+    return F.array_distinct(_compared(_plain(tokens), tokens, column))
 
 
 def unambiguous_key(sql: Column, column: str) -> Column:
@@ -60,58 +80,63 @@ def unambiguous_key(sql: Column, column: str) -> Column:
     return F.when(F.size(literals) == 1, F.get(literals, 0))
 
 
-def _items(text: Column) -> Column:
-    return F.transform(F.split(text, ","), lambda x: F.trim(x))
-
-
-def _literal(value: Column) -> Column:
-    quoted = _text(F.regexp_extract(value, r"^'(.*)'$", 1))
-    return F.when(value.rlike("^'.*'$"), quoted).when(value.rlike(rf"^{NUMBER}$"), value)
-
+def _insert(plain: Column) -> tuple[Column, Column]:
+    """Column names and tuples of an INSERT with a column list; both empty for anything else."""
+    shape = r"^insert into [^(]+\( ([^()]*) \) values (.*)$"
+    names = F.split(F.regexp_extract(plain, shape, 1), " , ")
+    rows = F.regexp_replace(F.regexp_extract(plain, shape, 2), r" (?:on conflict|returning|;)(?: .*)?$", "")
+    tuples = F.regexp_extract_all(rows, F.lit(rf"\( ({_NESTED}) \)"), 1)
+    # anything beside the tuples means that they were not all understood
+    whole = F.regexp_replace(rows, rf"\( {_NESTED} \)", "").rlike(r"^[ ,]*$")
+    return names, F.when(whole, tuples).otherwise(F.array().cast("array<string>"))
 
-def _insert_names(sql: Column) -> Column:
-    return F.transform(_items(F.regexp_extract(sql, INSERT, 1)), F.lower)
 
+def _items(values: Column) -> Column:
+    """The items of a tuple: split at the commas outside parentheses."""
+    return F.transform(F.regexp_extract_all(values, F.lit(r"(?:[^,()]|\((?:[^()]|\([^()]*\))*\))+"), 0), lambda x: F.trim(x))
 
-def _insert_tuples(sql: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_extract(sql, INSERT, 2), F.lit(r"\(([^)]*)\)"), 1)
 
-
-def _position(names: Column, column: str) -> Column:
-    return F.array_position(names, F.lit(column.lower())).cast("int")
-
-
-def _all_keys(names: Column, tuples: Column, column: str) -> Column:
-    at = _position(names, column)
-    keys = F.transform(tuples, lambda t: _literal(F.get(_items(t), at - 1)))
+def _all_keys(names: Column, tuples: Column, tokens: Column, column: str) -> Column:
+    at = F.array_position(names, F.lit(column.lower())).cast("int")
+    keys = F.transform(tuples, lambda t: _value(F.get(_items(t), at - 1), tokens))
     return F.when((at > 0) & (F.size(tuples) > 0) & ~F.exists(keys, lambda k: k.isNull()), keys)
 
 
-def _first_key(names: Column, tuples: Column, column: str) -> Column:
-    at, values = _position(names, column), _items(F.get(tuples, 0))
-    return F.when((at > 0) & (F.size(names) == F.size(values)), _literal(F.get(values, at - 1)))
+def _first_key(names: Column, tuples: Column, tokens: Column, column: str) -> Column:
+    at, items = F.array_position(names, F.lit(column.lower())).cast("int"), _items(F.get(tuples, 0))
+    return F.when((at > 0) & (F.size(names) == F.size(items)), _value(F.get(items, at - 1), tokens))
 
 
 def insert_keys(sql: Column, column: str) -> Column:
     """Shard keys of all tuples of an INSERT, in order; NULL if any of them cannot be read."""
-    return _all_keys(_insert_names(sql), _insert_tuples(sql), column)
+    tokens = _tokens(sql)
+    return _all_keys(*_insert(_plain(tokens)), tokens, column)
 
 
 def insert_key(sql: Column, column: str) -> Column:
     """Shard key of the first tuple of an INSERT whose column and value lists have equal length."""
-    return _first_key(_insert_names(sql), _insert_tuples(sql), column)
+    tokens = _tokens(sql)
+    return _first_key(*_insert(_plain(tokens)), tokens, column)
+
+
+def _reads(plain: Column) -> Column:
+    return plain.rlike(r"^(?:select|show|values|table)(?: |$)") & ~plain.rlike(r"(?: |^)for(?: |$)")
+
+
+def _names(plain: Column) -> Column:
+    name = r"[\p{L}_][\p{L}\p{N}_$]*"
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<![^ ])(?:from|join|into|update) (?:{name} \. )?({name})(?![^ ])"), 1)
+    return F.array_distinct(found)
 
 
 def is_read_only(sql: Column) -> Column:
     """Surely a read: select, show, values or table, and no locking FOR clause."""
-    plain = _unquoted(sql)
-    return plain.rlike(r"(?i)^\s*(?:select|show|values|table)\b") & ~plain.rlike(r"(?i)\bfor\b")
+    return _reads(_plain(_tokens(sql)))
 
 
 def tables_touched(sql: Column) -> Column:
     """Distinct lower-case table names in order of first appearance, schemas removed."""
-    names = F.regexp_extract_all(_unquoted(sql), F.lit(TABLE), 1)
-    return F.array_distinct(F.transform(names, F.lower))
+    return _names(_plain(_tokens(sql)))
 
 
 def only_known(tables: str, known: Column) -> Column:
@@ -122,66 +147,68 @@ def only_known(tables: str, known: Column) -> Column:
 # --- decisions ------------------------------------------------------------------------
 
 
-def statement_keys(log: DataFrame, column: str) -> DataFrame:
-    """Append ``keys``: the shard keys a statement names; empty when it names none."""
-    sql = F.col("sql")
-    # One projection per step: every regular expression is evaluated once per statement.
-    parts = log.withColumns(
-        {"__names": _insert_names(sql), "__tuples": _insert_tuples(sql), "__found": column_literals(sql, column)}
-    )
+def _read(log: DataFrame) -> DataFrame:
+    """Append the tokens and the plain form, each worked out once."""
+    return log.withColumn("__tokens", _tokens(F.col("sql"))).withColumn("__plain", _plain(F.col("__tokens")))
+
+
+def _with_keys(read: DataFrame, column: str) -> DataFrame:
+    tokens, plain = F.col("__tokens"), F.col("__plain")
+    names, tuples = _insert(plain)
+    parts = read.withColumns({"__names": names, "__tuples": tuples, "__found": F.array_distinct(_compared(plain, tokens, column))})
     names, tuples = F.col("__names"), F.col("__tuples")
-    parts = parts.withColumns({"__many": _all_keys(names, tuples, column), "__first": _first_key(names, tuples, column)})
+    parts = parts.withColumns(
+        {"__many": _all_keys(names, tuples, tokens, column), "__first": _first_key(names, tuples, tokens, column)}
+    )
     one = F.when(F.size("__found") == 1, F.get("__found", F.lit(0))).otherwise(F.col("__first"))
     single = F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
     keys = F.when(F.size("__many") > 1, F.array_distinct("__many")).otherwise(single)
     return parts.withColumn("keys", keys).drop("__names", "__tuples", "__found", "__many", "__first")
 
 
-def _with_key_shards(log: DataFrame, topology: Topology) -> DataFrame:
-    """One row per shard key of every statement, with its shard; one row without key if there is none."""
-    # The outer form, because Spark would evaluate ``keys`` again to skip empty arrays.
-    keyed = statement_keys(log, topology.column).withColumn("key", F.explode_outer("keys")).drop("keys", "sql")
-    placed = assign_shard(keyed, replace(topology, column="key"), "shard")
-    return placed.withColumn("shard", F.when(F.col("key").isNotNull(), F.col("shard")))
+def statement_keys(log: DataFrame, column: str) -> DataFrame:
+    """Append ``keys``: the shard keys a statement names; empty when it names none."""
+    return _with_keys(_read(log), column).drop("__tokens", "__plain")
+
+
+def _with_shards(log: DataFrame, topology: Topology) -> DataFrame:
+    """Append ``keys`` and ``shards``, the shard of each key.  A statement needs no other row."""
+    return _with_keys(_read(log), topology.column).withColumn("shards", shards_of(F.col("keys"), topology))
 
 
 def placed_keys(log: DataFrame, topology: Topology) -> DataFrame:
     """One row (stmt_id, …, key, shard) per distinct shard key of every statement."""
-    return _with_key_shards(log, topology).filter(F.col("key").isNotNull())
+    both = _with_shards(log, topology).withColumn("__key", F.explode(F.arrays_zip("keys", "shards")))
+    own = [c for c in log.columns if c != "sql"]
+    return both.select(*own, F.col("__key.keys").alias("key"), F.col("__key.shards").alias("shard"))
 
 
 def route(log: DataFrame, topology: Topology) -> DataFrame:
     """Decision and shard of every statement.
 
     In order: blocked write, reference-only read, insert over several shards, one shard,
-    read of all shards, write without a key.  One pass over the log and one shuffle by
-    statement.
+    read of all shards, write without a key.  One pass over the log, without a shuffle.
     """
-    sql = F.col("sql")
     known = F.array(*[F.lit(t.lower()) for t in topology.reference_tables]).cast("array<string>")
-    features = (
-        log.select("stmt_id", "sql", is_read_only(sql).alias("read"), tables_touched(sql).alias("tables"))
-        .withColumn("ref_only", F.col("read") & only_known("tables", known))
-        .drop("tables")
-    )
-    both = _with_key_shards(features, topology).groupBy("stmt_id").agg(
-        F.bool_or("read").alias("read"),
-        F.bool_or("ref_only").alias("ref_only"),
-        F.min("shard").alias("first_shard"),
-        F.max("shard").alias("last_shard"),
-        F.count_if(F.col("key").isNotNull() & F.col("shard").isNull()).alias("unplaced"),
+    placed = _with_shards(log.select("stmt_id", "sql"), topology)
+    features = placed.select(
+        "stmt_id",
+        _reads(F.col("__plain")).alias("read"),
+        _names(F.col("__plain")).alias("tables"),
+        F.exists("shards", lambda s: s.isNull()).alias("unplaced"),
+        F.array_distinct(F.filter("shards", lambda s: s.isNotNull())).alias("shards"),
     )
     decision = (
         F.when(~F.col("read") & F.lit(topology.write_blocked), "reject: write blocked")
-        .when(F.col("ref_only"), "any shard")
-        .when(F.col("unplaced") > 0, "reject: no range")
-        .when(F.col("first_shard") < F.col("last_shard"), "reject: several shards")
-        .when(F.col("first_shard").isNotNull(), "single")
+        .when(F.col("read") & only_known("tables", known), "any shard")
+        .when(F.col("unplaced"), "reject: no range")
+        .when(F.size("shards") > 1, "reject: several shards")
+        .when(F.size("shards") == 1, "single")
         .when(F.col("read"), "scatter")
         .otherwise("reject: write without key")
     )
-    routed = both.select("stmt_id", "read", "first_shard", decision.alias("decision"))
-    shard = F.when(F.col("decision") == "single", F.col("first_shard")).when(
+    routed = features.select("stmt_id", "read", "shards", decision.alias("decision"))
+    shard = F.when(F.col("decision") == "single", F.get("shards", F.lit(0))).when(
         F.col("decision") == "any shard", F.lit(topology.ranges[0].shard)
     )
     return routed.select("stmt_id", "read", "decision", shard.alias("shard"))
@@ -189,8 +216,8 @@ def route(log: DataFrame, topology: Topology) -> DataFrame:
 
 def cross_shard_inserts(log: DataFrame, topology: Topology) -> DataFrame:
     """Statements whose tuples land on more than one shard."""
-    spans = placed_keys(log, topology).groupBy("stmt_id").agg(F.count_distinct("shard").alias("n_shards"))
-    return spans.filter("n_shards > 1")
+    found = F.array_distinct(F.filter("shards", lambda s: s.isNotNull()))
+    return _with_shards(log, topology).select("stmt_id", F.size(found).cast("long").alias("n_shards")).filter("n_shards > 1")
 
 
 def workload_report(routed: DataFrame) -> DataFrame:
@@ -207,11 +234,8 @@ def hot_keys(log: DataFrame, topology: Topology, n: int) -> DataFrame:
 
 def transaction_span(log: DataFrame, topology: Topology) -> DataFrame:
     """Shards touched per transaction: empty, local or distributed."""
-    keys = placed_keys(log.select("tx_id", "stmt_id", "sql"), topology)
-    spans = keys.groupBy("tx_id").agg(F.count_distinct("shard").alias("n_shards"))
-    counted = log.select("tx_id").distinct().join(spans, "tx_id", "left").withColumn(
-        "n_shards", F.coalesce("n_shards", F.lit(0).cast("long"))
-    )
+    shards = _with_shards(log.select("tx_id", "sql"), topology).select("tx_id", F.explode_outer("shards").alias("shard"))
+    counted = shards.groupBy("tx_id").agg(F.count_distinct("shard").alias("n_shards"))
     kind = F.when(F.col("n_shards") == 0, "empty").when(F.col("n_shards") == 1, "local").otherwise("distributed")
     return counted.withColumn("span", kind)
 

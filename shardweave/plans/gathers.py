@@ -131,17 +131,20 @@ def g11(spark, sf_dir):
 
 
 ITEMS = ("count(*)", "SUM(o_totalprice)", "min(o_orderdate)", "Max (o_orderkey)", "avg(o_totalprice)",
-         "count(DISTINCT o_custkey)", " o_orderpriority ", "lower(o_orderstatus)")
-KINDS = ("count", "sum", "min", "max", "not mergeable", "not mergeable", "group key", "not mergeable")
+         "count(DISTINCT o_custkey)", " o_orderpriority ", "lower(o_orderstatus)", "sum(o_totalprice) + 1",
+         "max(o_totalprice) - min(o_totalprice)", "count(*) over (partition by o_custkey)", "sum(abs(o_totalprice)) AS total",
+         "max(o_clerk || ')') last_clerk")
+KINDS = ("count", "sum", "min", "max", "not mergeable", "not mergeable", "group key", "not mergeable", "not mergeable",
+         "not mergeable", "not mergeable", "sum", "max")
 
 
 @query(
     "g12_mergeability",
-    "SELECT o_orderkey, CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS))
+    f"SELECT o_orderkey, CASE o_orderkey % {len(KINDS)} " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS))
     + " END AS kind FROM orders",
 )
 def g12(spark, sf_dir):
-    item = F.element_at(F.array(*[F.lit(i) for i in ITEMS]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    item = F.element_at(F.array(*[F.lit(i) for i in ITEMS]), (F.col("o_orderkey") % len(ITEMS) + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", G.item_merge_kind(item).alias("kind"))
 
 

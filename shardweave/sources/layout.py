@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from shardweave.operators.placement import SHARD, find_column, resolve_key
 from shardweave.sources.topology import Topology
 
+# Fixed value: names that may become part of a path.
 NAME_PATTERN = r"[a-z_][a-z0-9_]*"
 
 
@@ -25,9 +26,11 @@ def check_name(name: str) -> str:
 # --- writing --------------------------------------------------------------------------
 
 
-def write_sharded(placed: DataFrame, path: str) -> None:
+def write_sharded(placed: DataFrame, path: str, whole: bool = False) -> None:
     """Replace the shards present in ``placed``; other shards of the dataset stay as they are.
 
+    ``whole`` is a full load: shards without rows in ``placed`` become empty.
+
     Running it again with the same rows gives the same dataset.  The rebalance hint lets
     adaptive execution merge small shards into few files and split a large shard over
     several tasks, so one shard never has to fit one writer.
@@ -35,7 +38,7 @@ def write_sharded(placed: DataFrame, path: str) -> None:
     (
         placed.hint("rebalance", SHARD)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy(SHARD)
         .parquet(path)
     )
@@ -101,7 +104,10 @@ def point_read(sharded: DataFrame, topology: Topology, keys: list[object]) -> Da
     """Rows with one of the given shard keys; only the shards of these keys are scanned."""
     column = find_column(sharded, topology.column)
     shards = sorted({resolve_key(topology, k) for k in keys})
-    return sharded.filter(F.col(SHARD).isin(shards) & F.col(column).isin(keys))
+    wanted = F.col(column).isin([k for k in keys if k is not None])
+    if any(k is None for k in keys):
+        wanted = wanted | F.col(column).isNull()
+    return sharded.filter(F.col(SHARD).isin(shards) & wanted)
 
 
 def key_range_read(sharded: DataFrame, topology: Topology, lo: str, hi: str) -> DataFrame:

@@ -24,6 +24,11 @@ def test_key_by_column(spark):
         "SELECT * FROM t WHERE other = 'x'": None,
         "SELECT * FROM t WHERE tenant_id = ''": None,
         "SELECT * FROM t WHERE my_tenant_id = 'x'": None,
+        "SELECT 1 FROM t WHERE note = 'tenant_id = 5'": None,
+        "UPDATE t SET note = 'tenant_id = 5' WHERE tenant_id = 9": "9",
+        "SELECT 1 FROM t /* tenant_id = 3 */ WHERE tenant_id = 4 -- tenant_id = 5": "4",
+        "SELECT 1 FROM t WHERE \"Tenant_Id\" = 'it''s'": "it's",
+        "SELECT 1 FROM t WHERE t.tenant_id = 1.5": "1.5",
     }
     assert feature(spark, list(cases), lambda s: W.key_by_column(s, "tenant_id")) == list(cases.values())
 
@@ -41,6 +46,8 @@ def test_insert_keys(spark):
         "INSERT INTO t (a) VALUES (1)": (None, None),
         "INSERT INTO t (a, tenant_id) VALUES (1)": (None, None),
         "INSERT INTO t (tenant_id) VALUES ('')": (None, None),
+        "INSERT INTO t (a, tenant_id) VALUES ('x, (y)', 'k,1'), (f(g(1, 2), 3), -2) RETURNING a": ("k,1", ["k,1", "-2"]),
+        "INSERT INTO t (a, tenant_id) VALUES (1, 'a') /* , (2, 'b') */ ON CONFLICT (a) DO UPDATE SET a = (3)": ("a", ["a"]),
         "SELECT 1": (None, None),
     }
     assert feature(spark, list(cases), lambda s: W.insert_key(s, "tenant_id")) == [c[0] for c in cases.values()]

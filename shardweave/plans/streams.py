@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardweave.operators.scan import HOUR, micros
+from shardweave.operators.scan import DAY, HOUR, micros
 from shardweave.plans import alerting, fleets  # noqa: F401  (their oracles are shared)
 from shardweave.plans.fleets import BURST, HEARTBEATS_SQL
-from shardweave.plans.registry import ORACLE, query, table
+from shardweave.plans.registry import ORACLE, event_width, query, table
 from shardweave.plans.reshards import CHANGES_SQL, state_sql
 from shardweave.sources.events import stream_table
 from shardweave.sources.scratch import fresh_path
 from shardweave.streaming.catchup import caught_up, follow_changes, latest_status_stream
-from shardweave.streaming.run import drain_to_parquet
-from shardweave.streaming.watch import watch_bursts, watch_held, watch_silence
+from shardweave.streaming.watch import watch_averages, watch_bursts, watch_held, watch_silence
 
 SILENCE = 30 * HOUR
+#: The event files are in no order of time, so a row may be as late as the table is long.
+LATENESS = 40_000 * DAY
 
 
 def event_stream(spark, sf_dir):
@@ -38,15 +39,13 @@ def f01_stream(spark, sf_dir):
 
 @query(
     "f02_stream_staleness",
-    "WITH b AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM events) "
-    f"SELECT user_id, ms AS last_at, ms + {SILENCE // 1000} AS stale_at FROM b WHERE following - ms > {SILENCE // 1000} "
-    f"OR following IS NULL AND ms + {SILENCE // 1000} < (SELECT max(epoch_us(ts)) // 1000 - 30000 FROM events)",
+    "WITH b AS (SELECT user_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM events) "
+    f"SELECT user_id, us AS last_at, us + {SILENCE} AS stale_at FROM b WHERE following - us > {SILENCE} "
+    f"OR following IS NULL AND us + {SILENCE} < (SELECT max(epoch_us(ts)) FROM events)",
 )
 def f02_stream(spark, sf_dir):
-    beats = event_stream(spark, sf_dir).withWatermark("ts", "30 seconds").select(
-        "user_id", "ts", F.floor(micros("ts") / 1000).cast("long").alias("at")
-    )
-    return drain_to_parquet(watch_silence(beats, "user_id", SILENCE // 1000), "silence")
+    beats = event_stream(spark, sf_dir).select("user_id", micros("ts").alias("at"))
+    return watch_silence(beats, "user_id", SILENCE, LATENESS).rows
 
 
 @query(
@@ -61,8 +60,8 @@ def f13_stream(spark, sf_dir):
         F.col("event_type").isin("error", "view", "click").alias("holds"),
         (F.col("value") > 50).alias("may_start"),
     )
-    held = drain_to_parquet(watch_held(reports, "cluster", 8 * HOUR), "debounce")
-    return held.select("cluster", "seq", "since", F.col("held").alias("promote"))
+    held = watch_held(reports, "cluster", 8 * HOUR, LATENESS, event_width(spark, sf_dir))
+    return held.rows.select("cluster", "seq", "since", F.col("held").alias("promote"))
 
 
 @query("p05_stream_hold_time", ORACLE["p05_hold_time"])
@@ -74,7 +73,7 @@ def p05_stream(spark, sf_dir):
         (F.col("value") > 20).alias("holds"),
         F.lit(True).alias("may_start"),
     )
-    watched = drain_to_parquet(watch_held(gauges, "kind", 2 * HOUR), "hold")
+    watched = watch_held(gauges, "kind", 2 * HOUR, LATENESS, event_width(spark, sf_dir)).rows
     state = F.when(F.col("since") < 0, "inactive").when(F.col("held"), "firing").otherwise("pending")
     return watched.select("kind", "seq", state.alias("state"))
 
@@ -82,7 +81,7 @@ def p05_stream(spark, sf_dir):
 @query("f19_stream_signal_coalescing", ORACLE["f19_signal_coalescing"])
 def f19_stream(spark, sf_dir):
     signals = event_stream(spark, sf_dir).select("user_id", micros("ts").alias("at"))
-    return drain_to_parquet(watch_bursts(signals, "user_id", BURST), "bursts")
+    return watch_bursts(signals, "user_id", BURST, LATENESS).rows
 
 
 @query("m05_stream_catch_up", f"WITH {CHANGES_SQL}, {state_sql('true')}")
@@ -106,17 +105,11 @@ def m05_stream(spark, sf_dir):
     "p12_stream_sliding_average",
     "WITH w AS (SELECT event_type AS kind, value, unnest([epoch_us(ts) // 3600000000 * 3600000000 - i * 3600000000 for i in range(4)]) AS start FROM events) "
     "SELECT kind, start, round(sum(value::DECIMAL(18, 2))::DOUBLE / count(*), 6) AS mean FROM w "
-    "WHERE start + 14400000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 30000000 FROM events) GROUP BY kind, start",
+    "GROUP BY kind, start",
 )
 def p12_stream(spark, sf_dir):
-    value = F.col("value").cast("decimal(18,2)")
-    windows = (
-        event_stream(spark, sf_dir)
-        .withWatermark("ts", "30 seconds")
-        .groupBy(F.col("event_type").alias("kind"), F.window("ts", "4 hours", "1 hour"))
-        .agg(F.round(F.sum(value).cast("double") / F.count(value), 6).alias("mean"))
-        .select("kind", micros(F.col("window.start")).alias("start"), "mean")
+    gauges = event_stream(spark, sf_dir).select(
+        F.col("event_type").alias("kind"), micros("ts").alias("at"), F.col("value").cast("decimal(18,2)").alias("value")
     )
-    return drain_to_parquet(windows, "sliding")
-
-
+    sums = watch_averages(gauges, ["kind"], "at", "value", 4 * HOUR, HOUR)
+    return sums.select("kind", "start", F.round(F.col("total").cast("double") / F.col("n"), 6).alias("mean"))

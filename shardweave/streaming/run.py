@@ -10,19 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from shardweave.sources.scratch import fresh_path
 
 
-def drain_to_parquet(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process everything available into a Parquet table and return it read back."""
-    spark = stream.sparkSession
-    out = fresh_path(spark, f"{label}-out")
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-        .option("checkpointLocation", fresh_path(spark, f"{label}-state"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
 def drain_batches(stream: DataFrame, label: str, write: Callable[[DataFrame, int], None], mode: str = "update") -> StreamingQuery:
     """Process everything available, handing every micro-batch and its number to ``write``.
 

@@ -1,127 +1,170 @@
-"""Stateful watches over event streams: held conditions, silent members, signal bursts.
+"""Watches over event streams: held conditions, silent members, signal bursts, window averages.
 
-State per key is a few numbers.  Rows of one key in one micro-batch are put in order of
-(at, seq) first; rows older than what the key has already seen are dropped as late.
+Files of a stream come in any order.  Every micro-batch is put aside until the watermark, the newest time
+seen less the allowed lateness, has passed its rows; settled rows then go through the batch operator
+together with a carry of a few values per key, so a hot key is cut into buckets as in a batch.  Rows behind
+the watermark are not lost: they are kept in a table of late rows beside the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-NONE = np.iinfo(np.int64).min
+from shardweave.operators.coalesce import coalesce_signals
+from shardweave.operators.held import sustained, with_held_since
+from shardweave.operators.scan import DAY, bucket_of, scan_done, scan_ready, scan_step
+from shardweave.sources.scratch import fresh_path
+from shardweave.streaming.run import drain_batches
 
+NONE = int(np.iinfo(np.int64).min)
+Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
-def _ordered(chunks: Iterable[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable")
 
+@dataclass(frozen=True)
+class Watched:
+    """What a watch found: its rows, the rows that came too late, the carry and the watermark at the end."""
 
-def watch_held(stream: DataFrame, key: str, hold: int) -> DataFrame:
+    rows: DataFrame
+    late: DataFrame
+    carry: DataFrame
+    newest: int
+
+
+def _drain(stream: DataFrame, at: str, lateness: int, label: str, step: Step) -> Watched:
+    """Run a stream to the end of its data through ``step(settled rows, carry)``.
+
+    Each batch has its own folders and starts from those of the one before, so a batch that is
+    delivered again replaces what it left.  At the end of the data the rows still put aside
+    are settled too.
+    """
+    spark = stream.sparkSession
+    base = fresh_path(spark, label)
+    # batch number -> (watermark, newest time); tables lie under the number
+    marks: dict[int, tuple[int, int]] = {-1: (NONE, NONE)}
+    schemas = {"waiting": stream.schema, "late": stream.schema}
+
+    def read(name: str, number: int) -> DataFrame | None:
+        return spark.read.schema(schemas[name]).parquet(f"{base}/{name}/batch={number}") if number in marks and number >= 0 else None
+
+    def save(name: str, number: int, rows: DataFrame) -> None:
+        schemas[name] = rows.schema
+        rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
+
+    def settle(fresh: DataFrame, number: int, last: bool) -> None:
+        mark, newest = marks[number - 1]
+        top = fresh.agg(F.max(at)).first()[0]
+        newest = max(newest, NONE if top is None else top)
+        reached = newest if last else max(mark, newest - lateness if newest > NONE else NONE)
+        save("late", number, fresh.where(F.col(at) <= mark))
+        waiting = read("waiting", number - 1)
+        rows = fresh.where(F.col(at) > mark)
+        rows = rows if waiting is None else rows.unionByName(waiting)
+        save("waiting", number, rows.where(F.col(at) > reached))
+        found, carry = step(rows.where(F.col(at) <= reached), read("carry", number - 1))
+        save("rows", number, found)
+        save("carry", number, carry)
+        marks[number] = (reached, newest)
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        settle(held, number, False)
+        held.unpersist()
+
+    drain_batches(stream, label, write, mode="append")
+    number = max(marks) + 1
+    settle(spark.createDataFrame([], stream.schema), number, True)
+    whole = lambda name: spark.read.schema(schemas[name]).parquet(*[f"{base}/{name}/batch={n}" for n in range(number + 1)])
+    return Watched(whole("rows"), whole("late"), read("carry", number), marks[number][1])
+
+
+def watch_held(stream: DataFrame, key: str, hold: int, lateness: int, width: int = DAY) -> Watched:
     """Rows (key, at, seq, since, held) for every observation.
 
     ``stream`` has the key, LONG ``at`` and ``seq``, and booleans ``holds`` and ``may_start``.
-    ``since`` is -1 while no clock runs.
+    ``since`` is -1 while no clock runs.  The carry is the running clock of a key.
     """
-    key_type = stream.schema[key].dataType.simpleString()
-
-    def step(name: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, last_at, last_seq = state.get if state.exists else (NONE, NONE, NONE)
-        rows = _ordered(chunks, ["at", "seq"])
-        fresh = (rows["at"] > last_at) | ((rows["at"] == last_at) & (rows["seq"] > last_seq))
-        rows = rows[fresh]
-        if rows.empty:
-            return
-        at = rows["at"].to_numpy()
-        holds = rows["holds"].to_numpy(bool)
-        begins = holds & rows["may_start"].to_numpy(bool)
-        # Runs are numbered by the breaks before them; run 0 continues the stored clock.
-        run = np.cumsum(~holds)
-        clock = np.full(run[-1] + 1, NONE, np.int64)
-        opener = np.full(run[-1] + 1, len(at), np.int64)
-        position = np.flatnonzero(begins)
-        runs, first = np.unique(run[position], return_index=True)
-        opener[runs], clock[runs] = position[first], at[position[first]]
-        if since != NONE:
-            opener[0], clock[0] = 0, since
-        started = clock[run]
-        running = holds & (np.arange(len(at)) >= opener[run])
-        now = np.where(running, started, -1)
-        state.update((int(started[-1]) if running[-1] else NONE, int(at[-1]), int(rows["seq"].iloc[-1])))
-        yield pd.DataFrame(
-            {key: name[0], "at": at, "seq": rows["seq"], "since": now, "held": running & (at - started >= hold)}
-        )
-
-    return stream.groupBy(key).applyInPandasWithState(
-        step,
-        f"`{key}` {key_type}, at long, seq long, since long, held boolean",
-        "since long, at long, seq long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
 
+    def step(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = rows.select(key, "at", "seq", "holds", "may_start")
+        if carry is not None:
+            # a clock that runs on is one more row, at its beginning
+            rows = rows.unionByName(carry.select(key, F.col("since").alias("at"), F.lit(NONE).alias("seq"), F.lit(True).alias("holds"), F.lit(True).alias("may_start")))
+        scanned = with_held_since(rows, [key], "at", "seq", F.col("holds"), bucket_of("at", width), F.col("may_start"))
+        last = scanned.groupBy(key).agg(F.max_by("since", F.struct("at", "seq")).alias("since")).where("since IS NOT NULL")
+        own = scanned.where(F.col("seq") != NONE)
+        return own.select(
+            key, "at", "seq", F.coalesce("since", F.lit(-1).cast("long")).alias("since"), sustained(F.col("at"), F.col("since"), hold).alias("held")
+        ), last
 
-def watch_silence(stream: DataFrame, key: str, limit_ms: int) -> DataFrame:
+    return _drain(stream, "at", lateness, "held", step)
+
+
+def watch_silence(stream: DataFrame, key: str, limit: int, lateness: int, width: int = DAY) -> Watched:
     """Rows (key, last_at, stale_at) for every heartbeat not followed by another in time.
 
-    ``stream`` has a watermark on a TIMESTAMP column and the same time as LONG milliseconds
-    in ``at``.  The last heartbeat of a member counts as soon as the watermark has passed it.
+    ``stream`` has the key and LONG ``at``.  The carry is the last heartbeat of a member; the
+    last one of all counts once the newest time of the stream is beyond its limit.
     """
-    key_type = stream.schema[key].dataType.simpleString()
-
-    def step(name: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, told = state.get if state.exists else (NONE, False)
-        if state.hasTimedOut:
-            state.update((last, True))
-            yield pd.DataFrame({key: [name[0]], "last_at": [last], "stale_at": [last + limit_ms]})
-            return
-        at = np.sort(pd.concat([c["at"] for c in chunks]).to_numpy())
-        at = at[at > last]
-        if len(at) == 0:
-            return
-        beats = np.append(last, at) if last != NONE else at
-        silent = np.diff(beats) > limit_ms
-        if last != NONE and told:
-            silent[0] = False
-        state.update((int(at[-1]), False))
-        due = int(at[-1]) + limit_ms
-        # A timeout must lie after the watermark; one that has passed already fires next batch.
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        gaps = beats[:-1][silent]
-        if len(gaps):
-            yield pd.DataFrame({key: name[0], "last_at": gaps, "stale_at": gaps + limit_ms})
-
-    return stream.groupBy(key).applyInPandasWithState(
-        step,
-        f"`{key}` {key_type}, last_at long, stale_at long",
-        "last long, told boolean",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
 
+    def step(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        beats = rows.select(key, "at").distinct()
+        if carry is not None:
+            beats = beats.unionByName(carry)
+        scanned = scan_step(scan_ready(beats, [key], bucket_of("at", width)), ["at"], maxes={"last_at": F.col("at")}, exclusive=True)
+        gaps = scan_done(scanned).where(F.col("at") - F.col("last_at") > limit)
+        found = gaps.select(key, "last_at", (F.col("last_at") + limit).alias("stale_at"))
+        return found, beats.groupBy(key).agg(F.max("at").alias("at"))
+
+    seen = _drain(stream, "at", lateness, "silence", step)
+    still = seen.carry.where(F.col("at") + limit < seen.newest).select(key, F.col("at").alias("last_at"), (F.col("at") + limit).alias("stale_at"))
+    return Watched(seen.rows.unionByName(still), seen.late, seen.carry, seen.newest)
 
-def watch_bursts(stream: DataFrame, key: str, width: int) -> DataFrame:
+
+def watch_bursts(stream: DataFrame, key: str, width: int, lateness: int) -> Watched:
     """Rows (key, start, emit_at) for every fixed window opened by a first signal.
 
-    ``stream`` has the key and LONG ``at``.
+    ``stream`` has the key and LONG ``at``.  The carry is the last window of a key.
     """
-    key_type = stream.schema[key].dataType.simpleString()
-
-    def step(name: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        busy = state.get[0] if state.exists else NONE
-        at = np.sort(pd.concat([c["at"] for c in chunks]).to_numpy())
-        starts, i = [], int(np.searchsorted(at, busy))
-        while i < len(at):
-            starts.append(int(at[i]))
-            i = int(np.searchsorted(at, at[i] + width))
-        if starts:
-            state.update((starts[-1] + width,))
-            opened = np.array(starts, np.int64)
-            yield pd.DataFrame({key: name[0], "start": opened, "emit_at": opened + width})
-
-    return stream.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {key_type}, start long, emit_at long", "busy long", "append", GroupStateTimeout.NoTimeout
+
+    def step(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        signals = rows.select(key, "at")
+        if carry is not None:
+            signals = signals.unionByName(carry.select(key, F.col("start").alias("at")))
+        if signals.isEmpty():
+            found = signals.select(key, F.col("at").alias("start"), F.col("at").alias("emit_at"))
+        else:
+            found = coalesce_signals(signals, key, "at", width)
+        last = found.groupBy(key).agg(F.max("start").alias("start"))
+        if carry is not None:
+            known = carry.select(F.col(key).alias("__key"), F.col("start").alias("__start"))
+            found = found.join(known, found[key].eqNullSafe(known["__key"]) & (found["start"] == known["__start"]), "left_anti")
+        return found, last
+
+    return _drain(stream, "at", lateness, "bursts", step)
+
+
+def watch_averages(stream: DataFrame, keys: list[str], at: str, value: str, length: int, slide: int) -> DataFrame:
+    """(keys…, start, total, n) of every sliding window with a row, open ones included.
+
+    Sums and counts merge in any order, so no row is late: each batch leaves its partial sums.
+    """
+    spark, out = stream.sparkSession, fresh_path(stream.sparkSession, "averages")
+    latest = F.floor(F.col(at) / slide).cast("long") * slide
+    starts = F.explode(F.array(*[latest - i * slide for i in range(length // slide)])).alias("start")
+    partial = lambda rows: rows.select(*keys, starts, F.col(value).alias("value")).groupBy(*keys, "start").agg(
+        F.sum("value").alias("total"), F.count("value").alias("n")
     )
+
+    def write(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    empty = partial(spark.createDataFrame([], stream.schema))
+    empty.write.parquet(f"{out}/batch=-1")
+    drain_batches(stream, "averages", write, mode="append")
+    rows = spark.read.schema(empty.schema).parquet(out)
+    return rows.groupBy(*keys, "start").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

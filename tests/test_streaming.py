@@ -1,6 +1,7 @@
 """Streaming twins give the batch results, whatever the cut into micro-batches."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +13,7 @@ from shardweave.operators.held import sustained, with_held_since
 from shardweave.operators.scan import bucket_of
 from shardweave.sources.events import stream_table
 from shardweave.streaming.catchup import caught_up, follow_changes, latest_status_stream
-from shardweave.streaming.run import drain_to_parquet
-from shardweave.streaming.watch import watch_bursts, watch_held, watch_silence
+from shardweave.streaming.watch import watch_averages, watch_bursts, watch_held, watch_silence
 
 COLUMNS = "k string, at long, seq long, holds boolean, may_start boolean"
 
@@ -26,8 +26,10 @@ def events(spark, tmp_path_factory):
         at += rnd.choice([0, 1, 1, 2, 3, 30])
         rows.append((rnd.choice(["hot", "hot", "hot", "a", "b"]), at, i, rnd.random() < 0.7, rnd.random() < 0.5))
     folder = str(tmp_path_factory.mktemp("events"))
+    dealt = rows[:]
+    rnd.shuffle(dealt)  # files of a stream are in no order of time
     for part in range(6):
-        chunk = spark.createDataFrame(rows[part * 100 : part * 100 + 100], COLUMNS)
+        chunk = spark.createDataFrame(dealt[part * 100 : part * 100 + 100], COLUMNS)
         chunk.coalesce(1).write.mode("append").parquet(folder)
     return folder, spark.createDataFrame(rows, COLUMNS)
 
@@ -40,7 +42,7 @@ def test_held_condition(spark, events):
     folder, table = events
     batch = with_held_since(table, ["k"], "at", "seq", F.col("holds"), bucket_of("at", 50), F.col("may_start"))
     want = {(r.k, r.seq, -1 if r.since is None else r.since, r.held) for r in batch.withColumn("held", sustained(F.col("at"), F.col("since"), 9)).collect()}
-    got = drain_to_parquet(watch_held(stream(spark, folder), "k", 9), "t-held")
+    got = watch_held(stream(spark, folder), "k", 9, 100_000).rows
     assert {(r.k, r.seq, r.since, r.held) for r in got.collect()} == want and got.count() == 600
 
 
@@ -59,7 +61,7 @@ def test_bursts(spark, events, width, group):
     want = bursts_of([(r.k, r.at) for r in table.collect()], width)
     assert {tuple(r) for r in coalesce_signals(table, "k", "at", width, rows_per_group=group).collect()} == want
     if group == 25:
-        got = drain_to_parquet(watch_bursts(stream(spark, folder), "k", width), "t-bursts")
+        got = watch_bursts(stream(spark, folder), "k", width, 100_000).rows
         assert {tuple(r) for r in got.collect()} == want
 
 
@@ -88,11 +90,46 @@ def test_silence(spark, events):
         want |= {(k, a, a + limit) for a, b in zip(times, times[1:]) if b - a > limit}
         if times[-1] + limit < mark:
             want.add((k, times[-1], times[-1] + limit))
-    marked = stream(spark, folder).withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", "0 seconds").select("k", "ts", "at")
-    got = drain_to_parquet(watch_silence(marked, "k", limit), "t-silence")
+    got = watch_silence(stream(spark, folder), "k", limit, 100_000).rows
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.fixture(scope="module")
+def ordered(spark, tmp_path_factory):
+    """Files about 20 apart in time, the last with rows behind the others."""
+    folder = str(tmp_path_factory.mktemp("ordered"))
+    for part in range(5):
+        at = [part * 20 + i for i in range(20)] if part < 4 else [85, 2, 3]
+        rows = [("ab"[a % 3 == 0], a, a, a % 7 != 0, a % 2 == 0) for a in at]
+        spark.createDataFrame(rows, COLUMNS).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)  # files are taken in order of their time
+    return folder
+
+
+def test_rows_settle_behind_the_watermark_and_late_ones_are_kept(spark, ordered):
+    table = spark.read.parquet(ordered)
+    on_time = table.where("at NOT IN (2, 3) OR seq <> at").unionByName(table.where("at IN (2, 3)").dropDuplicates(["at"]))
+    batch = with_held_since(on_time, ["k"], "at", "seq", F.col("holds"), bucket_of("at", 50), F.col("may_start"))
+    want = {(r.k, r.at, -1 if r.since is None else r.since) for r in batch.collect()}
+    seen = watch_held(stream(spark, ordered), "k", 9, 25)
+    assert sorted(r.at for r in seen.late.collect()) == [2, 3]
+    assert {(r.k, r.at, r.since) for r in seen.rows.collect()} == want
+    signals = watch_bursts(stream(spark, ordered), "k", 10, 25)
+    assert {tuple(r) for r in signals.rows.collect()} == bursts_of([(r.k, r.at) for r in on_time.collect()], 10)
+    assert signals.late.count() == 2
+
+
+def test_averages_lose_nothing(spark, events):
+    folder, table = events
+    got = watch_averages(stream(spark, folder), ["k"], "at", "seq", 40, 10)
+    want = {}
+    for r in table.collect():
+        for i in range(4):
+            t, n = want.get((r.k, r.at // 10 * 10 - i * 10), (0, 0))
+            want[r.k, r.at // 10 * 10 - i * 10] = (t + r.seq, n + 1)
+    assert {(r.k, r.start): (r.total, r.n) for r in got.collect()} == want
+
+
 def test_latest_status(spark, events):
     folder, table = events
     got = latest_status_stream(stream(spark, folder), "k", ("at", "seq"))

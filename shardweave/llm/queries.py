@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardweave.llm import language, mixing, neighbours, overlap, packing, quality, quantise, toxic, transform, wrapper
 from shardweave.llm.shared import table
 
-#: The bulk source is a domain of its own beside the curated ones.
-DOMAIN = F.when(F.col("source") == "src0", "bulk").otherwise("curated")
 #: Target weights by path in the tree domain, language, source; 1 where nothing is said.
 WEIGHTS = {
     ("bulk",): 0.35, ("curated",): 0.65,
@@ -23,6 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def domain() -> Column:
+    """The bulk source is a domain of its own beside the curated ones."""
+    return F.when(F.col("source") == "src0", "bulk").otherwise("curated")
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -71,7 +74,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(table(spark, sf_dir, "documents"), DOMAIN, WEIGHTS)
+    rows = mixing.mix(table(spark, sf_dir, "documents"), domain(), WEIGHTS)
     return rows.select(F.col("doc_id").cast("long"), "lang", "source", "mix__.*")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = "__key"
 BUCKET = "__bucket"
@@ -164,20 +165,28 @@ def ordered_scan(
 def trailing_sum(
     df: DataFrame, keys: Sequence[str], at: str, window: int, value: Column, out: str, width: int | None = None
 ) -> DataFrame:
-    """Append the sum of ``value`` over the rows of the key in ``[at - window, at]``.
+    """Append the sum of ``value`` over the rows of the key in ``[at - window, at]``; NULL adds nothing.
 
-    Rows of the last ``window`` of a bucket are repeated in the next bucket, so that every
-    (key, bucket) is complete on its own.  A bucket is never shorter than the window.
+    A value enters a running sum at its time and leaves it after ``window``, so the sum is one
+    ordered scan however many rows a window holds, and a window may be longer than a bucket.
+    Floating values are summed as DECIMAL, because what enters must leave without a trace.
     """
-    width = max(width or 8 * window, window)
-    own = F.col("__own")
-    reaches = F.col(at) + F.lit(window) >= (own + 1) * F.lit(width)
-    homes = F.when(reaches, F.array(own, own + 1)).otherwise(F.array(own))
-    valued = df.withColumns({"__value": value, "__own": bucket_of(at, width)})
-    spread = valued.withColumn(BUCKET, F.explode(homes))
-    trailing = Window.partitionBy(*keys, BUCKET).orderBy(at).rangeBetween(-window, 0)
-    summed = spread.withColumn(out, F.sum("__value").over(trailing))
-    return summed.filter(F.col(BUCKET) == own).select(*df.columns, out)
+    valued = df.withColumn("__value", value)
+    kind = valued.schema["__value"].dataType
+    added = F.col("__value").cast("decimal(38,10)") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("__value")
+    own = F.struct(*df.columns)
+    none = F.lit(None).cast(df.select(own.alias("r")).schema["r"].dataType)
+
+    def events(time: Column, side: int, amount: Column, row: Column) -> DataFrame:
+        number = F.monotonically_increasing_id().alias("__id")
+        return valued.select(*keys, time.alias("__at"), F.lit(side).alias("__side"), number, amount.alias("__add"), row.alias("__row"))
+
+    # at one time: what enters, then the rows that ask, then what leaves
+    rows = events(F.col(at), 0, added, none).unionByName(events(F.col(at), 1, added - added, own))
+    rows = rows.unionByName(events(F.col(at) + F.lit(window), 2, -added, none))
+    scanned = ordered_scan(rows, keys, ["__at", "__side", "__id"], bucket_of("__at", width or 8 * window), sums={out: F.col("__add")})
+    total = F.coalesce(F.col(out), F.lit(0))
+    return scanned.filter("__side = 1").select("__row.*", (total.cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else total).alias(out))
 
 
 def as_of_join(

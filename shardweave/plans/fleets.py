@@ -221,13 +221,13 @@ def f13(spark, sf_dir):
 
 @query(
     "f14_fenced_candidate_guard",
-    f"WITH {MEMBERS_SQL}, d AS (SELECT cluster, shard, pod AS candidate FROM members WHERE c_custkey % 5 = 3) "
+    f"WITH {DECISIONS_SQL}, d AS (SELECT cluster, shard, candidate FROM decisions WHERE failed AND candidate IS NOT NULL) "
     "SELECT cluster, shard, candidate, coalesce((SELECT bool_or(pod = candidate AND fenced) AND bool_or(NOT fenced) FROM members m WHERE m.shard = d.shard), false) AS skip FROM d",
 )
 def f14(spark, sf_dir):
     known = members(spark, sf_dir)
-    decisions = known.filter(F.expr("CAST(substr(pod, 5) AS BIGINT) % 5 = 3")).select("cluster", "shard", F.col("pod").alias("candidate"))
-    return M.guard_candidates(decisions, known)
+    decisions = M.failure_decision(M.shard_status(known)).filter("failed AND candidate IS NOT NULL")
+    return M.guard_candidates(decisions.select("cluster", "shard", "candidate"), known)
 
 
 @query(

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardweave.llm.shared import Batch, mixed, pieces, row_key, stored, table, text_of  # noqa: F401
+from shardweave.llm.shared import Batch, mixed, pieces, row_key, stored
 
 LENGTH = 400
 GRAM = 96
@@ -145,7 +145,9 @@ def fragments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 def repeated(rows: DataFrame) -> DataFrame:
     """Fragments whose key occurs again, with the number of rows and whether all are equal."""
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"))
-    return stored(rows.join(keys.where("n > 1").select("key", (F.col("a") == F.col("b")).alias("equal")), "key"), "repeated")
+    # a table of its own, so that the join is between two plain shuffles and a hot key can be split
+    keys = stored(keys.where("n > 1").select("key", (F.col("a") == F.col("b")).alias("equal")), "repeated-keys")
+    return stored(rows.join(keys, "key"), "repeated")
 
 
 def _split(rows: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -316,7 +318,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
         F.count("*").alias("n"), F.min(F.struct("rk", "start", "size")).alias("one")
     )
     kinds = stored(kinds, "fragment-kinds")
-    single = kinds.where("n = 1").select("key").distinct()
+    single = stored(kinds.where("n = 1").select("key").distinct(), "single-keys")
     wanted = kinds.join(single, "key").select("key", "content", "one.*")
     cut = with_bytes(wanted, docs).select("key", "content", "rk", "start", "raw").dropDuplicates(["key", "content"])
     found = cut.repartition("key").sortWithinPartitions("key").mapInArrow(run, "rk long, a long, b long")

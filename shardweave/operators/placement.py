@@ -226,7 +226,10 @@ def shard_distribution(placed: DataFrame, shard: str = SHARD) -> DataFrame:
 
 def movement(df: DataFrame, before: Topology, after: Topology) -> DataFrame:
     """Rows per (from, to) shard pair under a topology change, with their share of all rows."""
-    both = assign_shard(assign_shard(df, before, "from_shard"), after, "to_shard")
+    # one pass: both topologies look the key up in the same Arrow batch, without a join
+    keys = {side: F.array(key_text(df, find_column(df, t.column))) for side, t in (("from", before), ("to", after))}
+    shards = [F.get(shards_of(keys[side], t), F.lit(0)).alias(f"{side}_shard") for side, t in (("from", before), ("to", after))]
+    both = df.select(*shards)
     pairs = both.groupBy("from_shard", "to_shard").agg(F.count(F.lit(1)).alias("n_rows"))
     share = F.round(F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()), 6)
     return pairs.withColumn("share", share).withColumn("moved", ~F.col("from_shard").eqNullSafe(F.col("to_shard")))

@@ -41,14 +41,12 @@ def s02(spark, sf_dir):
 
 
 def discovered(spark, sf_dir):
-    """Names of the given tables, found through the session catalog, with a row count each."""
+    """Names of the tables found in the folder, with a row count each."""
+    names = L.folder_tables(spark, sf_dir)
     counts = None
-    for name in TABLES:
-        df = table(spark, sf_dir, name)
-        df.createOrReplaceTempView(f"given_{name}")
-        one = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("name", F.lit(name))
+    for row in names.collect():
+        one = table(spark, sf_dir, row.name).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("name", F.lit(row.name))
         counts = one if counts is None else counts.unionByName(one)
-    names = L.list_tables(spark, "given_*").select(F.regexp_replace("name", "^given_", "").alias("name"))
     return names.join(counts, "name")
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,8 @@ from pyspark.sql import types as T
 from shardweave.operators.placement import SHARD, find_column, resolve_key
 from shardweave.sources.topology import Topology
 
+#: Shards that are tried at the same time.
+PARALLEL_SHARDS = 8
 # Fixed value: names that may become part of a path.
 NAME_PATTERN = r"[a-z_][a-z0-9_]*"
 
@@ -78,22 +82,38 @@ def read_jdbc_shard(spark: SparkSession, url: str, name: str, column: str, lower
 
 
 def read_best_effort(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(rows of the shards that can be opened, failed shards with their error).
+    """(rows of the shards that can be read, failed shards with their error).
 
-    Only shard paths are tried one by one; rows are read in one job.  All failed is an error.
+    Every shard is read to its end once, a few at a time, to learn whether it fails while it is
+    read; the rows of the good ones are then read in one job.  A shard whose columns differ
+    from the first good one's has failed too.  All failed is an error.
     """
-    good: list[DataFrame] = []
-    failed: list[tuple[str, str]] = []
-    for shard, path in paths.items():
+
+    def attempt(path: str) -> tuple[DataFrame | None, str | None]:
         try:
-            good.append(spark.read.parquet(path).withColumn(SHARD, F.lit(shard)))
+            rows = spark.read.parquet(path)
+            rows.write.format("noop").mode("overwrite").save()
         except AnalysisException as error:
-            failed.append((shard, error.getCondition() or "UNREADABLE"))
-    if not good:
+            return None, error.getCondition() or "UNREADABLE"
+        except PySparkException as error:
+            return None, error.getCondition() or "FAILED_READ"
+        except Py4JJavaError:
+            return None, "FAILED_READ"
+        return rows, None
+
+    with ThreadPoolExecutor(PARALLEL_SHARDS) as pool:
+        tried = dict(zip(paths, pool.map(attempt, paths.values()), strict=True))
+    rows, failed = None, []
+    for shard, (found, error) in tried.items():
+        if found is not None and rows is not None and dict(found.dtypes) != {k: v for k, v in rows.dtypes if k != SHARD}:
+            error = "SCHEMA_MISMATCH"
+        if error is not None:
+            failed.append((shard, error))
+            continue
+        named = found.withColumn(SHARD, F.lit(shard))
+        rows = named if rows is None else rows.unionByName(named)
+    if rows is None:
         raise RuntimeError(f"no shard could be read: {failed}")
-    rows = good[0]
-    for more in good[1:]:
-        rows = rows.unionByName(more, allowMissingColumns=True)
     return rows, spark.createDataFrame(failed, "shard STRING, error STRING")
 
 
@@ -122,10 +142,13 @@ def key_range_read(sharded: DataFrame, topology: Topology, lo: str, hi: str) ->
 # --- discovery and constraints --------------------------------------------------------
 
 
-def list_tables(spark: SparkSession, pattern: str = "*") -> DataFrame:
-    """Names of the session's tables, sorted."""
-    names = [(t.name,) for t in spark.catalog.listTables(pattern=pattern)]
-    return spark.createDataFrame(names, "name STRING").orderBy("name")
+def folder_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the Parquet tables in a folder of any file system that Spark reads, sorted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(e.getPath().getName() for e in entries)
+    found = [(n.removesuffix(".parquet"),) for n in names if n.endswith(".parquet")]
+    return spark.createDataFrame(found, "name STRING")
 
 
 def exclude_tables(tables: DataFrame, excluded: list[str]) -> DataFrame:

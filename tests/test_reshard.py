@@ -86,6 +86,22 @@ def test_best_effort_read(spark, dataset):
         L.read_best_effort(spark, {"gone": paths["gone"]})
 
 
+def test_best_effort_read_of_a_shard_that_breaks(spark, tmp_path):
+    for name, data in (("good", [(1, 2)]), ("other", [(3, "x")]), ("broken", [(5, 6)] * 5000)):
+        kinds = "id long, v string" if name == "other" else "id long, v long"
+        spark.createDataFrame(data, kinds).coalesce(1).write.parquet(str(tmp_path / name))
+    part = next((tmp_path / "broken").glob("*.parquet"))
+    raw = bytearray(part.read_bytes())
+    raw[4:60] = b"\xff" * 56  # the footer is whole, the pages are not
+    part.write_bytes(bytes(raw))
+    for crc in (tmp_path / "broken").glob(".*.crc"):
+        crc.unlink()
+    rows, failed = L.read_best_effort(spark, {n: str(tmp_path / n) for n in ("good", "other", "broken")})
+    assert [tuple(r) for r in rows.collect()] == [(1, 2, "good")]
+    assert {r.shard for r in failed.collect()} == {"other", "broken"}
+    assert all(r.error for r in failed.collect())
+
+
 def test_catch_up_of_a_copied_table(spark):
     """Rows 1 to 50 are copied, 51 to 100 arrive later, row 1 changes, some rows go."""
     snapshot = table(spark).filter("id BETWEEN 1 AND 50")

@@ -98,13 +98,16 @@ def _items(values: Column) -> Column:
 
 def _all_keys(names: Column, tuples: Column, tokens: Column, column: str) -> Column:
     at = F.array_position(names, F.lit(column.lower())).cast("int")
-    keys = F.transform(tuples, lambda t: _value(F.get(_items(t), at - 1), tokens))
+    # two steps, so that a tuple is split once and not for each part of the value's expression
+    keys = F.transform(F.transform(tuples, lambda t: F.get(_items(t), at - 1)), lambda v: _value(v, tokens))
     return F.when((at > 0) & (F.size(tuples) > 0) & ~F.exists(keys, lambda k: k.isNull()), keys)
 
 
 def _first_key(names: Column, tuples: Column, tokens: Column, column: str) -> Column:
-    at, items = F.array_position(names, F.lit(column.lower())).cast("int"), _items(F.get(tuples, 0))
-    return F.when((at > 0) & (F.size(names) == F.size(items)), _value(F.get(items, at - 1), tokens))
+    at = F.array_position(names, F.lit(column.lower())).cast("int")
+    first = F.transform(F.slice(tuples, 1, 1), lambda t: _items(t))
+    fitting = F.filter(first, lambda items: (at > 0) & (F.size(items) == F.size(names)))
+    return F.get(F.transform(F.transform(fitting, lambda items: F.get(items, at - 1)), lambda v: _value(v, tokens)), 0)
 
 
 def insert_keys(sql: Column, column: str) -> Column:

@@ -55,7 +55,7 @@ class Model:
     """Weights by feature and the bias of every sentence."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    bias: float = -30.0
+    bias: float = -np.inf
 
     def __post_init__(self):
         self.heads = {f.rstrip("|")[:4] for f in self.weights}

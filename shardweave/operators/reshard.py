@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from shardweave.operators.changes import apply_changes
 from shardweave.operators.placement import SHARD, assign_shard
-from shardweave.sources.layout import read_sharded, write_sharded
+from shardweave.sources.layout import current_topology, drop_shards, read_sharded, switch_topology, write_sharded
+from shardweave.sources.scratch import fresh_path
 from shardweave.sources.topology import Range, Topology, parse_bound
 
 
@@ -186,6 +188,63 @@ def run_move(spark: SparkSession, path: str, topology: Topology, move: Move) ->
     return after, report
 
 
+def run_online_move(
+    spark: SparkSession,
+    path: str,
+    topology: Topology,
+    move: Move,
+    key: str,
+    changes: Callable[[], DataFrame],
+    order: str = "lsn",
+    max_lag: int = 0,
+    tries: int = 5,
+) -> tuple[Topology, DataFrame]:
+    """Move ranges of a table that is written meanwhile; returns the new topology and a report per target.
+
+    The moving rows are copied beside the dataset; then the change log as it stands (``changes()``) is
+    applied to them until what has come in since is within ``max_lag``; the targets are written, readers
+    switch to the new topology, and the source shards go.  Until the switch readers see the sources, from
+    then on the targets.  Run again after a failure at any step, it starts from the sources or, if those
+    have gone, finds the switch done.
+    """
+    after = moved_topology(topology, move)
+    if current_topology(spark, path, topology).ranges != after.ranges:
+        staged = fresh_path(spark, "move")
+        sources = read_sharded(spark, path).filter(F.col(SHARD).isin(list(move.sources)))
+        copy_ranges(sources, after, move.target_shards, staged)
+        base = read_sharded(spark, staged, sources.schema).drop(SHARD)
+
+        def position() -> int:
+            return changes().agg(F.max(order)).first()[0] or 0
+
+        for _ in range(tries):
+            upto = position()
+            moving = rows_moving(changes().filter(F.col(order) <= upto), after, move.target_shards)
+            rows = rows_moving(apply_changes(base, moving, key, [order]), after, move.target_shards)
+            drop_shards(spark, path, move.target_shards)
+            write_sharded(rows, path)
+            if position() - upto <= max_lag:
+                break
+        else:
+            raise RuntimeError(f"the move did not catch up within {tries} rounds")
+        expected = rows.groupBy(F.col(SHARD).alias("target")).agg(F.count(F.lit(1)).alias("total"))
+        report = _written(spark, path, move, expected)
+        if not report.filter("done <> total").isEmpty():
+            raise RuntimeError(f"rows were not conserved: {report.collect()}")
+        switch_topology(spark, path, after)
+    drop_shards(spark, path, list(move.sources))
+    found = read_sharded(spark, path).groupBy(F.col(SHARD).alias("target")).agg(F.count(F.lit(1)).alias("total"))
+    return after, _written(spark, path, move, found)
+
+
+def _written(spark: SparkSession, path: str, move: Move, expected: DataFrame) -> DataFrame:
+    """(target, done, total): rows of each target shard beside the rows it should have."""
+    targets = spark.createDataFrame([(t,) for t in move.target_shards], "target STRING")
+    found = read_sharded(spark, path).groupBy(F.col(SHARD).alias("target")).agg(F.count(F.lit(1)).alias("done"))
+    both = targets.join(found, "target", "left").join(expected, "target", "left")
+    return both.select("target", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("done", "total")])
+
+
 def move_tables(
     spark: SparkSession, tables: Mapping[str, tuple[str, str]], topology: Topology, move: Move
 ) -> tuple[Topology, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardweave.operators.placement import SHARD, find_column, resolve_key
-from shardweave.sources.topology import Topology
+from shardweave.sources.topology import Topology, read_topology
 
 #: Shards that are tried at the same time.
 PARALLEL_SHARDS = 8
@@ -48,6 +48,43 @@ def write_sharded(placed: DataFrame, path: str, whole: bool = False) -> None:
     )
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path of any file system that Spark writes, and that file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_shards(spark: SparkSession, path: str, shards: list[str]) -> None:
+    """Remove shards from a dataset; shards that are not there are no error."""
+    for shard in shards:
+        found, system = _folder(spark, f"{path}/{SHARD}={shard}")
+        system.delete(found, True)
+
+
+def switch_topology(spark: SparkSession, path: str, topology: Topology) -> None:
+    """Make ``topology`` the one that readers of the dataset take.  Every switch is a new version."""
+    version = max(_versions(spark, path), default=-1) + 1
+    topology.frame(spark).write.parquet(f"{path}.topology/version={version}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    found, system = _folder(spark, f"{path}.topology")
+    if not system.exists(found):
+        return []
+    folders = [e.getPath() for e in system.listStatus(found)]
+    # a version counts once its job has committed
+    done = [f for f in folders if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return [int(f.getName().removeprefix("version=")) for f in done]
+
+
+def current_topology(spark: SparkSession, path: str, first: Topology) -> Topology:
+    """The topology last switched to; ``first`` if the dataset was never moved."""
+    versions = _versions(spark, path)
+    if not versions:
+        return first
+    return read_topology(spark.read.parquet(f"{path}.topology/version={max(versions)}"), first.cluster, first.keyspace)
+
+
 def create_target(spark: SparkSession, schema: T.StructType, path: str) -> None:
     """An empty dataset with the columns of the source."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
@@ -70,6 +107,11 @@ def read_sharded(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path).withColumn(SHARD, F.col(SHARD).cast("string"))
 
 
+def read_placed(spark: SparkSession, path: str, first: Topology) -> DataFrame:
+    """All rows once: the shards of the current topology, whether or not a move is under way."""
+    return read_sharded(spark, path).filter(F.col(SHARD).isin(current_topology(spark, path, first).shards))
+
+
 def read_shard(spark: SparkSession, path: str, shard: str) -> DataFrame:
     return read_sharded(spark, path).filter(F.col(SHARD) == shard)
 
@@ -144,9 +186,8 @@ def key_range_read(sharded: DataFrame, topology: Topology, lo: str, hi: str) ->
 
 def folder_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the Parquet tables in a folder of any file system that Spark reads, sorted."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = sorted(e.getPath().getName() for e in entries)
+    path, system = _folder(spark, folder)
+    names = sorted(e.getPath().getName() for e in system.listStatus(path))
     found = [(n.removesuffix(".parquet"),) for n in names if n.endswith(".parquet")]
     return spark.createDataFrame(found, "name STRING")
 

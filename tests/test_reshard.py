@@ -40,6 +40,49 @@ def test_split_conserves_rows_and_can_be_repeated(spark, dataset):
     assert content(R.active_rows(L.read_sharded(spark, dataset), FOUR)) == before
 
 
+def test_online_split_with_changes_and_failures(spark, dataset, monkeypatch):
+    log = [("U", i, i * 3, -i) for i in range(1, 200)] + [("D", 200 + i, i * 7, None) for i in range(100)] + [("I", 500 + i, 5000 + i, i) for i in range(50)]
+    changes = spark.createDataFrame(log, "op string, lsn long, id long, val long")
+    want = {r.id: r.val for r in L.read_sharded(spark, dataset).collect()}
+    after = R.moved_topology(FOUR, SPLIT)
+    moving = {r.id for r in R.rows_moving(changes.select("id").unionByName(table(spark).select("id")), after, ["left", "right"]).collect()}
+    for op, _, i, val in log:
+        if i in moving:
+            want.pop(i, None)
+            if op != "D":
+                want[i] = val
+    arrived = []
+
+    def so_far():
+        arrived.append(1)
+        return changes.filter(F.col("lsn") < 100 * len(arrived))
+
+    steps = {"write_sharded": 2, "switch_topology": 1, "drop_shards": 3}
+    for step, at in steps.items():  # fail once at each step, then run to the end
+        real, calls = getattr(R, step), []
+
+        def broken(*args, real=real, calls=calls, at=at):
+            calls.append(1)
+            if len(calls) == at:
+                raise OSError("lost")
+            return real(*args)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(R, step, broken)
+            try:
+                R.run_online_move(spark, dataset, FOUR, SPLIT, "id", so_far, max_lag=0, tries=20)
+            except OSError:
+                pass
+        rows = L.read_placed(spark, dataset, FOUR)
+        assert rows.count() == rows.select("id").distinct().count()
+    again, report = R.run_online_move(spark, dataset, FOUR, SPLIT, "id", lambda: changes)
+    assert again == after and {r.target for r in report.collect()} == {"left", "right"}
+    rows = L.read_sharded(spark, dataset)
+    assert {r.id: r.val for r in rows.collect()} == want
+    assert L.current_topology(spark, dataset, FOUR).shards == after.shards
+    assert {r.id for r in L.read_placed(spark, dataset, FOUR).collect()} == set(want)
+
+
 def test_split_then_merge_is_identity(spark, dataset):
     before = content(L.read_shard(spark, dataset, "shard-1"))
     after, _ = R.run_move(spark, dataset, FOUR, SPLIT)

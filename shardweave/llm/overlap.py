@@ -318,9 +318,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id.  Rows without words all stay.
+    """One document of each component: the one with the smallest doc_id.  Rows without words all stay.
 
-    Of several rows with that id (or none but null ids) the one with the smallest row key stays.
+    Rows that repeat that document with its id stay with it, as do the rows of a component without any id.
     """
     rows = jaccard_components(docs, width, percent)
     dropped = rows.where("n_shingles > 0 and not doc_id <=> component_id").select("rk").distinct()

@@ -188,6 +188,20 @@ def run_move(spark: SparkSession, path: str, topology: Topology, move: Move) ->
     return after, report
 
 
+class Moved(tuple):
+    """(topology, report) of an online move, and ``position``: where in the change log the targets stand.
+
+    The position is None where an earlier run had switched already.
+    """
+
+    position: int | None
+
+    def __new__(cls, topology: Topology, report: DataFrame, position: int | None):
+        made = super().__new__(cls, (topology, report))
+        made.position = position
+        return made
+
+
 def run_online_move(
     spark: SparkSession,
     path: str,
@@ -198,15 +212,19 @@ def run_online_move(
     order: str = "lsn",
     max_lag: int = 0,
     tries: int = 5,
-) -> tuple[Topology, DataFrame]:
+    stop_writes: Callable[[], None] | None = None,
+) -> Moved:
     """Move ranges of a table that is written meanwhile; returns the new topology and a report per target.
 
     The moving rows are copied beside the dataset; then the change log as it stands (``changes()``) is
-    applied to them until what has come in since is within ``max_lag``; the targets are written, readers
-    switch to the new topology, and the source shards go.  Until the switch readers see the sources, from
-    then on the targets.  Run again after a failure at any step, it starts from the sources or, if those
-    have gone, finds the switch done.
+    applied to them until what has come in since is within ``max_lag``.  Then ``stop_writes`` is called, after
+    which the log must not grow; its rest is applied, the rows are counted, readers switch to the new topology,
+    and the source shards go.  Without ``stop_writes`` the log has to be found at rest after the count, and what
+    comes in from then on is the caller's to apply, from the ``position`` of the result.  Until the switch
+    readers see the sources, from then on the targets.  Run again after a failure at any step, it starts from
+    the sources or, if those have gone, finds the switch done; the caller lets writes go on in either case.
     """
+    upto = None
     after = moved_topology(topology, move)
     if current_topology(spark, path, topology).ranges != after.ranges:
         staged = fresh_path(spark, "move")
@@ -217,24 +235,38 @@ def run_online_move(
         def position() -> int:
             return changes().agg(F.max(order)).first()[0] or 0
 
-        for _ in range(tries):
-            upto = position()
+        def caught_up(upto: int) -> DataFrame:
             moving = rows_moving(changes().filter(F.col(order) <= upto), after, move.target_shards)
             rows = rows_moving(apply_changes(base, moving, key, [order]), after, move.target_shards)
             drop_shards(spark, path, move.target_shards)
             write_sharded(rows, path)
+            return rows
+
+        for _ in range(tries):
+            upto = position()
+            rows = caught_up(upto)
             if position() - upto <= max_lag:
                 break
         else:
             raise RuntimeError(f"the move did not catch up within {tries} rounds")
-        expected = rows.groupBy(F.col(SHARD).alias("target")).agg(F.count(F.lit(1)).alias("total"))
-        report = _written(spark, path, move, expected)
-        if not report.filter("done <> total").isEmpty():
-            raise RuntimeError(f"rows were not conserved: {report.collect()}")
+        if stop_writes is not None:
+            stop_writes()
+        for _ in range(tries):
+            last = position()
+            if last != upto:
+                upto, rows = last, caught_up(last)
+            expected = rows.groupBy(F.col(SHARD).alias("target")).agg(F.count(F.lit(1)).alias("total"))
+            report = _written(spark, path, move, expected)
+            if not report.filter("done <> total").isEmpty():
+                raise RuntimeError(f"rows were not conserved: {report.collect()}")
+            if position() == upto:
+                break
+        else:
+            raise RuntimeError(f"the change log did not come to rest within {tries} rounds")
         switch_topology(spark, path, after)
     drop_shards(spark, path, list(move.sources))
     found = read_sharded(spark, path).groupBy(F.col(SHARD).alias("target")).agg(F.count(F.lit(1)).alias("total"))
-    return after, _written(spark, path, move, found)
+    return Moved(after, _written(spark, path, move, found), upto)
 
 
 def _written(spark: SparkSession, path: str, move: Move, expected: DataFrame) -> DataFrame:

@@ -83,6 +83,28 @@ def test_online_split_with_changes_and_failures(spark, dataset, monkeypatch):
     assert {r.id for r in L.read_placed(spark, dataset, FOUR).collect()} == set(want)
 
 
+@pytest.mark.parametrize("stops", [True, False])
+def test_online_move_loses_no_change_behind_the_gate(spark, dataset, stops):
+    log = spark.createDataFrame([("U", i, i * 3, -i) for i in range(1, 200)], "op string, lsn long, id long, val long")
+    arrived, stopped = [], []
+
+    def so_far():
+        if not stopped:
+            arrived.append(1)
+        return log.filter(F.col("lsn") <= min(199, 60 + 20 * len(arrived)))
+
+    moved = R.run_online_move(
+        spark, dataset, FOUR, SPLIT, "id", so_far, max_lag=60, tries=20, stop_writes=(lambda: stopped.append(1)) if stops else None
+    )
+    after, _ = moved
+    assert moved.position == min(199, 60 + 20 * len(arrived))
+    base = table(spark).select("id").unionByName(log.select("id"))
+    moving = {r.id for r in R.rows_moving(base, after, ["left", "right"]).collect()}
+    found = {r.id: r.val for r in L.read_placed(spark, dataset, FOUR).collect()}
+    assert all(found[3 * i] == -i for i in range(1, moved.position + 1) if 3 * i in moving)
+    assert any(3 * i in moving for i in range(moved.position - 20, moved.position + 1))
+
+
 def test_split_then_merge_is_identity(spark, dataset):
     before = content(L.read_shard(spark, dataset, "shard-1"))
     after, _ = R.run_move(spark, dataset, FOUR, SPLIT)

@@ -100,6 +100,16 @@ def test_neighbours_recall(spark, monkeypatch, aim, cell):
     assert set(found) <= {1000, 1007}
 
 
+def test_queries_hold_more_until_probes_find_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "HELD", 10)
+    x = np.random.default_rng(3).normal(size=(300, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, embedding array<double>").coalesce(1)
+    queries = rows.where("node % 15 = 0").select(F.col("node").alias("query"), "node", "embedding")
+    index, entries = neighbours.build(rows)
+    # ten held results cannot be nineteen of twenty neighbours
+    assert neighbours._held(index, entries, rows, queries, 20) > 10
+
+
 def test_neighbours_of_few_or_no_rows(spark):
     assert neighbours.nearest_neighbours(spark.createDataFrame([], SCHEMA), F.lit(True)).collect() == []
     three = spark.createDataFrame([(i, [1.0, float(i)], 1, *["?"] * 5) for i in range(3)], SCHEMA)

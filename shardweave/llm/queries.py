@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardweave.llm import language, mixing, neighbours, overlap, packing, quality, quantise, toxic, transform, wrapper
+from shardweave.llm import language, merkle, mixing, neighbours, overlap, packing, quality, quantise, toxic, transform, wrapper
 from shardweave.llm.shared import table
+from shardweave.plans.oracle import crc32_sql
 
 #: Target weights by path in the tree domain, language, source; 1 where nothing is said.
 WEIGHTS = {
@@ -17,6 +18,9 @@ WEIGHTS = {
     ("curated", "en"): 0.55, ("curated", "de"): 0.17, ("curated", "fr"): 0.17, ("curated", "es"): 0.11,
 }
 
+#: Fields of a leaf of the manifest, in order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -51,6 +55,49 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(c) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
 
 
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(
+        f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in (*LEAF[:-1], text)
+    ) + ")"
+
+
+def _levels_sql(name: str, nodes: str) -> str:
+    """All levels of trees of arity eight over ``nodes`` (k, pos, n, h)."""
+    return (
+        f"{name} AS (SELECT k, 0 AS lev, pos, n, h FROM {nodes} UNION ALL "
+        f"SELECT k, lev + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY ALL)"
+    )
+
+
+def _walk_sql(name: str, nodes: str, levels: str) -> str:
+    """Every node of ``nodes`` (id, k, pos, n, sib, f) led up its tree: siblings appended, ``f`` folded."""
+    return (
+        f"{name} AS (SELECT id, k, 0 AS lev, pos, n, sib, f FROM {nodes} UNION ALL "
+        f"SELECT w.id, w.k, w.lev + 1, w.pos // 8, (w.n + 7) // 8, w.sib || coalesce(string_agg(CASE WHEN t.pos <> w.pos THEN t.h END, '' ORDER BY t.pos), ''), "
+        f"sha256(string_agg(CASE WHEN t.pos = w.pos THEN w.f ELSE t.h END, '' ORDER BY t.pos)) "
+        f"FROM {name} w JOIN {levels} t ON t.k = w.k AND t.lev = w.lev AND t.pos // 8 = w.pos // 8 WHERE w.n > 1 "
+        f"GROUP BY w.id, w.k, w.lev, w.pos, w.n, w.sib, w.f)"
+    )
+
+
+ORACLE["op12_merkle"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS k, {_leaf_sql("text")} AS h,
+    CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS t
+  FROM documents),
+l AS (
+  SELECT row_number() OVER () AS id, doc_id, k, h, coalesce(t, h) AS f, '' AS sib,
+    row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM d),
+{_levels_sql("low", "l")},
+sub AS (SELECT '' AS k, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n, h, k AS lang FROM low WHERE n = 1),
+{_levels_sql("high", "sub")},
+{_walk_sql("up", "l", "low")},
+ends AS (SELECT up.id, s.k, s.pos, s.n, up.sib, up.f FROM up JOIN sub s ON s.lang = up.k WHERE up.n = 1),
+{_walk_sql("top", "ends", "high")}
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(top.sib) AS proof_sha256, top.f AS folded_root, top.f = r.h AS verified
+FROM l JOIN sub s ON s.lang = l.k JOIN top ON top.id = l.id AND top.n = 1 JOIN high r ON r.n = 1"""
+
+
 def domain() -> Column:
     """The bulk source is a domain of its own beside the curated ones."""
     return F.when(F.col("source") == "src0", "bulk").otherwise("curated")
@@ -123,3 +170,20 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", merkle.UPPER, merkle.UPPER.lower())
+    tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select(
+        "doc_id", "lang", merkle.leaf_digest([F.col(c) for c in LEAF]).alias("leaf"),
+        F.when(tampers, merkle.leaf_digest([lowered if c == "text" else F.col(c) for c in LEAF])).alias("tampered"),
+    )
+    rows = merkle.manifest(leaves, "lang", "doc_id", "leaf", ["doc_id", "tampered"])
+    found = rows.select(
+        F.col("doc_id").cast("long"), "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"),
+        merkle.folded("coalesce(tampered, leaf)", "proof").alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))

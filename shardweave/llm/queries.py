@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardweave.llm import language, merkle, mixing, neighbours, overlap, packing, quality, quantise, toxic, transform, wrapper
+from shardweave.llm import conversations, language, merkle, mixing, neighbours, overlap, packing, quality, quantise, toxic, transform, wrapper
 from shardweave.llm.shared import table
 from shardweave.plans.oracle import crc32_sql
 
@@ -97,6 +97,50 @@ ends AS (SELECT up.id, s.k, s.pos, s.n, up.sib, up.f FROM up JOIN sub s ON s.lan
 SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(top.sib) AS proof_sha256, top.f AS folded_root, top.f = r.h AS verified
 FROM l JOIN sub s ON s.lang = l.k JOIN top ON top.id = l.id AND top.n = 1 JOIN high r ON r.n = 1"""
 
+_BODY = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_NAME = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+
+# A shortest path by rows: the best way to every grammar state after each row; before a row at most two turns go in.
+ORACLE["op13_conversation_repair"] = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql(_NAME)} % 20 AS k FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+o AS (
+  SELECT *, {_BODY} AS body, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM o),
+f AS (
+  SELECT *, body = '''' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS short,
+    lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x NOT IN ('su', 'ua', 'au') AS bad FROM g),
+m AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (dup) AS duplicate, count(*) FILTER (short) AS truncated, count(*) FILTER (bad) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES
+  (0, 0, '', [], 0), (1, 0, '', [], 1), (2, 0, '', [], 2), (3, 0, '', [], 3),
+  (0, 3, 'I', ['user:'], 2), (1, 3, 'I', ['user:'], 2), (3, 3, 'I', ['user:'], 2), (2, 3, 'I', ['assistant:'], 3),
+  (0, 6, 'II', ['user:', 'assistant:'], 3), (1, 6, 'II', ['user:', 'assistant:'], 3), (3, 6, 'II', ['user:', 'assistant:'], 3),
+  (2, 6, 'II', ['assistant:', 'user:'], 2)) t(q, c, a, o, r)),
+p AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}} AS w FROM conversations
+  UNION ALL
+  SELECT conv_id, i, q, min(w) FROM (
+    SELECT f.conv_id, f.i, CASE e WHEN 'D' THEN ins.r WHEN 'R' THEN CASE WHEN ins.r = 2 THEN 3 ELSE 2 END
+        ELSE CASE f.x WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS q,
+      {{'c': p.w.c + ins.c + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e <> 'D' AND f.short THEN 3 ELSE 0 END,
+        'a': p.w.a || ins.a || e,
+        'o': p.w.o || ins.o || CASE e WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text]
+          ELSE [CASE WHEN ins.r = 2 THEN 'assistant:' ELSE 'user:' END || f.text] END}} AS w
+    FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN ins ON ins.q = p.q,
+      (VALUES ('D'), ('K'), ('R')) v(e)
+    WHERE e = 'D' OR NOT f.blank AND NOT f.dup AND (e = 'R'
+      OR f.x = 's' AND ins.r = 0 OR f.x = 'u' AND ins.r <> 2 OR f.x = 'a' AND ins.r = 2)) GROUP BY conv_id, i, q),
+z AS (
+  SELECT p.conv_id, min({{'c': p.w.c + ins.c, 'a': p.w.a || ins.a, 'o': p.w.o || ins.o}}) AS w FROM p JOIN ins ON ins.q = p.q
+  LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.i = coalesce(m.n, 0) AND ins.r IN (0, 3) GROUP BY p.conv_id)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, z.w.c AS cost, z.w.a AS audit, sha256(array_to_string(z.w.o, chr(10))) AS repaired_sha256
+FROM z LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
 
 def domain() -> Column:
     """The bulk source is a domain of its own beside the curated ones."""
@@ -187,3 +231,23 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.folded("coalesce(tampered, leaf)", "proof").alias("folded_root"),
     )
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, space = table(spark, sf_dir, "conversations"), F.lit(" ")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    damage = F.crc32(name.cast("binary")) % 20
+    text = F.coalesce("text", space)
+    damaged = rows.select(
+        "conv_id", "turn", (damage != 0).alias("alive"),
+        F.when(damage == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(damage == 1, "").when(damage == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(damage == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    reports, parts = conversations.repair(damaged, "conv_id", "turn", "role", "text", F.col("alive"))
+    columns = [F.col("conv").cast("long").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
+    digests = conversations.text_digests(parts).withColumnRenamed("conv", "__conv")
+    whole = reports.where("repaired IS NOT NULL").select(*columns, F.sha2("repaired", 256).alias("repaired_sha256"))
+    cut = reports.where("repaired IS NULL").join(digests, F.col("conv").eqNullSafe(F.col("__conv")))
+    return whole.unionByName(cut.select(*columns, F.col("sha256").alias("repaired_sha256")))

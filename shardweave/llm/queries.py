@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardweave.llm import conversations, language, merkle, mixing, neighbours, overlap, packing, quality, quantise, toxic, transform, wrapper
+from shardweave.llm import conversations, hosts, language, merkle, mixing, neighbours, overlap, packing, quality, quantise, toxic, transform, wrapper
 from shardweave.llm.shared import table
 from shardweave.plans.oracle import crc32_sql
 
@@ -18,6 +18,8 @@ WEIGHTS = {
     ("curated", "en"): 0.55, ("curated", "de"): 0.17, ("curated", "fr"): 0.17, ("curated", "es"): 0.11,
 }
 
+#: Rules of the url filter: verdict, host, path.
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Fields of a leaf of the manifest, in order.
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -142,6 +144,50 @@ SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM z LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM z.conv_id"""
 
 
+def _host_sql(url: str) -> str:
+    return f"translate(coalesce(regexp_extract({url}, '{hosts.URL}', 1), ''), '{hosts.UPPER}', '{hosts.UPPER.lower()}')"
+
+
+def _rule_sql(host: str, url: str, of: int) -> str:
+    """Text (1, 2) or verdict (0) of the longest rule that fits."""
+    path, found = f"coalesce(regexp_extract({url}, '{hosts.URL}', 2), '')", []
+    for rule in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])):
+        name, start = rule[1:]
+        found.append(f"WHEN ({host} = '{name}' OR ends_with({host}, '.{name}')) AND starts_with({path}, '{start}') THEN '{rule[0] if of == 0 else name + start}'")
+    return f"CASE {' '.join(found)} END"
+
+
+_LINK = hosts.LINK.replace("'", "''")
+
+ORACLE["op11_url_filter"] = f"""
+WITH RECURSIVE u AS (SELECT page_id, url, {_host_sql("url")} AS host, html FROM pages),
+j AS (SELECT *, coalesce(regexp_extract(url, '{hosts.URL}', 2), '') AS path, {_rule_sql("host", "url", 1)} AS rule, {_rule_sql("host", "url", 0)} AS said FROM u),
+x AS (
+  SELECT row_number() OVER () AS id, host, list_transform(regexp_extract_all(regexp_replace(html, '{hosts.NO_LINKS}', '', 'g'), '{_LINK}', 1),
+    lambda l: CASE WHEN starts_with(l, '//') THEN 'http:' || l ELSE l END) AS links FROM j WHERE host <> ''),
+t AS (SELECT id, host, unnest(links) AS link FROM x),
+l AS (SELECT DISTINCT id, host, {_host_sql("link")} AS target, {_rule_sql(_host_sql("link"), "link", 0)} AS said FROM t),
+e AS (SELECT host, target, count(*) AS w FROM l WHERE target <> '' AND target <> host GROUP BY ALL),
+n AS (
+  SELECT host AS node, said, true AS own FROM j WHERE host <> ''
+  UNION ALL SELECT target, said, false FROM l WHERE target <> '' AND target <> host AND target NOT IN (SELECT host FROM j)),
+seeds AS (
+  SELECT node, ((count(*) FILTER (said = 'allow')) * {hosts.SCALE} // count(*))::HUGEINT AS t, ((count(*) FILTER (said = 'block')) * {hosts.SCALE} // count(*))::HUGEINT AS d
+  FROM n GROUP BY node),
+m AS (
+  SELECT host AS node, target AS go, true AS forward, w, sum(w) OVER (PARTITION BY host) AS total FROM e
+  UNION ALL SELECT target, host, false, w, sum(w) OVER (PARTITION BY target) FROM e),
+r AS (
+  SELECT 0 AS k, node, t, d FROM seeds
+  UNION ALL
+  SELECT k + 1, node, sum(t)::HUGEINT, sum(d)::HUGEINT FROM (
+    SELECT r.k, m.go AS node, CASE WHEN forward THEN r.t * w * {hosts.DAMPING} // (total * 100) ELSE 0 END AS t,
+      CASE WHEN forward THEN 0 ELSE r.d * w * {hosts.DAMPING} // (total * 100) END AS d FROM r JOIN m USING (node)
+    UNION ALL SELECT r.k, node, seeds.t, seeds.d FROM r JOIN seeds USING (node)) WHERE k < {hosts.ROUNDS} GROUP BY k, node)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (
+  SELECT node FROM r WHERE k = {hosts.ROUNDS} AND d > t AND d >= {hosts.THRESHOLD}) THEN 'block' ELSE 'allow' END) AS verdict FROM j"""
+
+
 def domain() -> Column:
     """The bulk source is a domain of its own beside the curated ones."""
     return F.when(F.col("source") == "src0", "bulk").otherwise("curated")
@@ -251,3 +297,9 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = reports.where("repaired IS NOT NULL").select(*columns, F.sha2("repaired", 256).alias("repaired_sha256"))
     cut = reports.where("repaired IS NULL").join(digests, F.col("conv").eqNullSafe(F.col("__conv")))
     return whole.unionByName(cut.select(*columns, F.col("sha256").alias("repaired_sha256")))
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hosts.judged(table(spark, sf_dir, "pages"), RULES)
+    return rows.select(F.col("page_id").cast("long"), "host", "path", "rule", "verdict")

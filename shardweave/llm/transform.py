@@ -37,6 +37,8 @@ GRAM = 96
 BLOCK = 50
 #: Different fragments one key may keep before it is dealt anew: 16 MB of text at most in one group.
 FRAGMENTS = 20_000
+#: Places of one key that one task marks.
+KEY_ROWS = 5_000
 #: Bytes of fragments merged at once, of a long text hashed at once, and shards of one merge.
 MERGE_BYTES = 1 << 20
 SEGMENT = 1 << 20
@@ -143,10 +145,11 @@ def fragments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """Fragments whose key occurs again, with the number of rows and whether all are equal."""
+    """Fragments whose key occurs again, with whether all of the key are equal and the parts a hot key is dealt to."""
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"))
     # a table of its own, so that the join is between two plain shuffles and a hot key can be split
-    keys = stored(keys.where("n > 1").select("key", (F.col("a") == F.col("b")).alias("equal")), "repeated-keys")
+    parts = F.expr(f"1 + n div {KEY_ROWS}").alias("parts")
+    keys = stored(keys.where("n > 1").select("key", (F.col("a") == F.col("b")).alias("equal"), parts), "repeated-keys")
     return stored(rows.join(keys, "key"), "repeated")
 
 
@@ -315,14 +318,17 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
 
     # one copy of each fragment; those with a second copy repeat whole
     kinds = rows.where("not equal").groupBy("key", "content").agg(
-        F.count("*").alias("n"), F.min(F.struct("rk", "start", "size")).alias("one")
+        F.count("*").alias("n"), F.min(F.struct("rk", "start", "size")).alias("one"), F.max("parts").alias("parts")
     )
     kinds = stored(kinds, "fragment-kinds")
     single = stored(kinds.where("n = 1").select("key").distinct(), "single-keys")
     wanted = kinds.join(single, "key").select("key", "content", "one.*")
     cut = with_bytes(wanted, docs).select("key", "content", "rk", "start", "raw").dropDuplicates(["key", "content"])
     found = cut.repartition("key").sortWithinPartitions("key").mapInArrow(run, "rk long, a long, b long")
-    whole = rows.join(kinds.where("n > 1").select("key", "content"), ["key", "content"]).unionByName(rows.where("equal"), allowMissingColumns=True)
+    none = F.lit(0).cast("long")
+    twice = kinds.where("n > 1").select("key", "content", F.explode(F.sequence(none, F.col("parts") - 1)).alias("part"))
+    places = rows.where("not equal").withColumn("part", F.pmod(F.xxhash64("rk", "start"), "parts"))
+    whole = places.join(twice, ["key", "content", "part"], "left_semi").select("rk", "start", "size").union(rows.where("equal").select("rk", "start", "size"))
     found = found.union(whole.select("rk", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")))
     return found.groupBy("rk").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +31,13 @@ CAPACITY = 2048
 END = 0
 #: Distinct words, and distinct strings between white space, whose ids a worker remembers.
 REMEMBERED = 300_000
+#: Bytes of ids of whole texts that a worker remembers.
+TEXT_BYTES = 64 << 20
 
 # Texts of these characters are cut here by the tokenizer's own rules (letters, single digits, runs of signs,
 # after lower-casing) and each word is encoded once; other texts go to the tokenizer whole.
-_PLAIN = re.compile("[\\t\\n\\r -~\\u00a1-\\u012f\\u0131-\\u024f]*")
-_LETTERS = "a-zªµºß-öø-ɏ"
+_PLAIN = re.compile("[\\t\\n\\r -~\\u00a1-\\u012f\\u0131-\\u017f]*")
+_LETTERS = "a-zªµºß-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
@@ -46,13 +49,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a text that spells a special token goes to the tokenizer whole
+        self.special = re.compile("|".join(special) or "(?!)", re.IGNORECASE)
         ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             ends[i] = token.endswith("</w>")
         self.ends = ends
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        # ids of whole texts, by 128-bit hash: copies are encoded once by a worker
+        self.texts: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,7 +84,18 @@ class Encoder:
             self.chunks.clear()
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        split = [t.lower().split() if _PLAIN.fullmatch(t) else None for t in texts]
+        if self.held > TEXT_BYTES:
+            self.texts.clear()
+            self.held = 0
+        names = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+        fresh = {n: t for n, t in zip(names, texts, strict=True) if n not in self.texts}
+        for name, ids in zip(fresh, self._encoded(list(fresh.values())), strict=True):
+            self.texts[name] = ids
+            self.held += len(ids)
+        return [self.texts[n] for n in names]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        split = [t.lower().split() if _PLAIN.fullmatch(t) and not self.special.search(t) else None for t in texts]
         new = {c: _WORD.findall(c) for c in set().union(*[w for w in split if w is not None]).difference(self.chunks)}
         self._learn(list(set().union(*new.values()).difference(self.words)))
         word, chunk = self.words.__getitem__, self.chunks.__getitem__

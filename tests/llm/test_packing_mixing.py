@@ -16,9 +16,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def best_fit(items, capacity):
@@ -71,6 +69,11 @@ def test_large_items_are_matched_greedily():
 def test_encoder_equals_the_tokenizer(tokenizer):
     texts = ["it's don't we'll 'sabc ''s x'd", "<|endoftext|> a", "a²b½ 3.14 –—… “q”", "ÀÉß straße ŠŽ ǅ ª º µ", "  \n\t ", "", "İstanbul ΣΑΣ", "日本語 x", "!!??..", "\x1c\x1fab", "a b\u0085c"]
     texts += [r[1] or "" for r in odd.rows()]
+    texts += ["a <|endoftext|> b", "<|EndOfText|>", "<|startoftext|><|startoftext|>", "ƐKƆ ɛkɔ", texts[0], texts[0]]
+    # every character of the Latin blocks beside letters, digits and signs
+    texts += [f"a{c}b {c}1{c} K{c}. {c}" for c in map(chr, range(0x20, 0x260))]
+    draw = random.Random(4)
+    texts += ["".join(chr(draw.randrange(0x20, 0x250)) for _ in range(30)) for _ in range(2000)]
     got = packing.Encoder(PATH).encode(texts)
     for text, raw in zip(texts, got, strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids

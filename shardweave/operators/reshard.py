@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from shardweave.operators.changes import apply_changes
 from shardweave.operators.placement import SHARD, assign_shard
-from shardweave.sources.layout import current_topology, drop_shards, read_sharded, switch_topology, write_sharded
-from shardweave.sources.scratch import fresh_path
+from shardweave.sources.deltas import ContentLost, DeltaTable, content_digest, digest_of, observed
+from shardweave.sources.layout import current_topology, drop_shards, read_placed, read_sharded, switch_topology, write_sharded
 from shardweave.sources.topology import Range, Topology, parse_bound
 
 
@@ -70,6 +70,25 @@ def conservation(source: DataFrame, kept: DataFrame, moved: DataFrame, topology:
     return sums.withColumn("conserved", (F.col("n_before") == F.col("n_after")) & (F.col("n_misplaced") == 0))
 
 
+def content_conservation(source: DataFrame, copies: Mapping[str, DataFrame], columns: Sequence[str]) -> DataFrame:
+    """One row per shard: rows of the source and of every copy, and whether a copy has the source's rows.
+
+    ``n_source``, and ``n_<name>`` and ``same_<name>`` for each copy.  Each side is one aggregate that combines
+    before the shuffle; a row that is lost, repeated or changed in any column changes its digest.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        digest = df.groupBy(SHARD).agg(*content_digest(columns))
+        return digest.select(SHARD, F.col("n").alias(f"n_{name}"), F.struct("n", "mixed", "total").alias(f"__{name}"))
+
+    both = side(source, "source")
+    for name, copy in copies.items():
+        both = both.join(side(copy, name), SHARD, "full_outer")
+    counts = [F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias(f"n_{n}") for n in ("source", *copies)]
+    same = [F.col("__source").eqNullSafe(F.col(f"__{n}")).alias(f"same_{n}") for n in copies]
+    return both.select(SHARD, *counts, *same)
+
+
 def row_digest(columns: Sequence[str]) -> Column:
     """Digest of the given columns of a row."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
@@ -213,38 +232,50 @@ def run_online_move(
     max_lag: int = 0,
     tries: int = 5,
     stop_writes: Callable[[], None] | None = None,
+    fold: bool = True,
 ) -> Moved:
     """Move ranges of a table that is written meanwhile; returns the new topology and a report per target.
 
-    The moving rows are copied beside the dataset; then the change log as it stands (``changes()``) is
-    applied to them until what has come in since is within ``max_lag``.  Then ``stop_writes`` is called, after
-    which the log must not grow; its rest is applied, the rows are counted, readers switch to the new topology,
-    and the source shards go.  Without ``stop_writes`` the log has to be found at rest after the count, and what
-    comes in from then on is the caller's to apply, from the ``position`` of the result.  Until the switch
-    readers see the sources, from then on the targets.  Run again after a failure at any step, it starts from
-    the sources or, if those have gone, finds the switch done; the caller lets writes go on in either case.
+    The moving rows are copied beside the dataset as the base of a delta table.  A round then reads the changes
+    (``changes()``) after the table's committed position and writes the last one of each key; rounds follow until
+    what has come in since is within ``max_lag``.  Then ``stop_writes`` is called, after which the log must not grow;
+    its rest is applied, content and rows are checked, and readers switch to the new topology: they merge base and
+    rounds.  Without ``stop_writes`` the log has to be found at rest after the check, and what comes in from then on
+    is the caller's to apply, from the ``position`` of the result.  At last the source shards go and, unless ``fold``
+    is false, the targets become shards of the dataset.  Until the switch readers see the sources, from then on the
+    targets.  Run again after a failure at any step, it goes on from the committed position or, if the switch is
+    done, from there; the caller lets writes go on in either case.
+
+    The copy must have the content digest of the sources, and what a round or the copy has written must have it
+    when it is read back; the rows of each target must be as many as the keys of the sources and the whole log say.
     """
     upto = None
     after = moved_topology(topology, move)
+    staged = DeltaTable(spark, f"{path}.moving/{'-'.join(move.target_shards)}")
+    report = None
     if current_topology(spark, path, topology).ranges != after.ranges:
-        staged = fresh_path(spark, "move")
         sources = read_sharded(spark, path).filter(F.col(SHARD).isin(list(move.sources)))
-        copy_ranges(sources, after, move.target_shards, staged)
-        base = read_sharded(spark, staged, sources.schema).drop(SHARD)
+        columns = [c for c in sources.columns if c != SHARD]
+        held = staged.commit()
+        if held is None or held.folded:
+            scanned = Observation()
+            moving = rows_moving(sources.observe(scanned, *content_digest(columns)), after, move.target_shards)
+            copied = staged.create(moving, move.target_shards, key, order)
+            if observed(scanned) != copied and (held := digest_of(sources, columns)) != copied:
+                raise ContentLost(f"the sources have {held}, the copy {copied}")
 
         def position() -> int:
             return changes().agg(F.max(order)).first()[0] or 0
 
-        def caught_up(upto: int) -> DataFrame:
-            moving = rows_moving(changes().filter(F.col(order) <= upto), after, move.target_shards)
-            rows = rows_moving(apply_changes(base, moving, key, [order]), after, move.target_shards)
-            drop_shards(spark, path, move.target_shards)
-            write_sharded(rows, path)
-            return rows
+        def catch_up() -> int:
+            upto, done = position(), staged.commit().position
+            if done is None or upto > done:
+                fresh = changes() if done is None else changes().filter(F.col(order) > done)
+                staged.append(rows_moving(fresh.filter(F.col(order) <= upto), after, move.target_shards), upto)
+            return upto
 
         for _ in range(tries):
-            upto = position()
-            rows = caught_up(upto)
+            upto = catch_up()
             if position() - upto <= max_lag:
                 break
         else:
@@ -252,27 +283,35 @@ def run_online_move(
         if stop_writes is not None:
             stop_writes()
         for _ in range(tries):
-            last = position()
-            if last != upto:
-                upto, rows = last, caught_up(last)
-            expected = rows.groupBy(F.col(SHARD).alias("target")).agg(F.count(F.lit(1)).alias("total"))
-            report = _written(spark, path, move, expected)
-            if not report.filter("done <> total").isEmpty():
-                raise RuntimeError(f"rows were not conserved: {report.collect()}")
+            upto = catch_up()
+            log = changes().filter(F.col(order) <= upto)
+            keys = apply_changes(sources.select(key), log, key, [order])
+            expected = rows_moving(keys, after, move.target_shards)
+            report = _written(spark, staged.read(), move, _per_target(expected)).collect()
+            if any(r.done != r.total for r in report):
+                raise RuntimeError(f"rows were not conserved: {report}")
             if position() == upto:
                 break
         else:
             raise RuntimeError(f"the change log did not come to rest within {tries} rounds")
         switch_topology(spark, path, after)
     drop_shards(spark, path, list(move.sources))
-    found = read_sharded(spark, path).groupBy(F.col(SHARD).alias("target")).agg(F.count(F.lit(1)).alias("total"))
-    return Moved(after, _written(spark, path, move, found), upto)
+    if fold and staged.commit() is not None:
+        staged.fold_into(path)
+    if report is None:
+        rows = active_rows(read_placed(spark, path, topology), after)
+        return Moved(after, _written(spark, rows, move, _per_target(rows)), upto)
+    return Moved(after, spark.createDataFrame(report, "target STRING, done LONG, total LONG"), upto)
+
+
+def _per_target(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col(SHARD).alias("target")).agg(F.count(F.lit(1)).alias("total"))
 
 
-def _written(spark: SparkSession, path: str, move: Move, expected: DataFrame) -> DataFrame:
+def _written(spark: SparkSession, rows: DataFrame, move: Move, expected: DataFrame) -> DataFrame:
     """(target, done, total): rows of each target shard beside the rows it should have."""
     targets = spark.createDataFrame([(t,) for t in move.target_shards], "target STRING")
-    found = read_sharded(spark, path).groupBy(F.col(SHARD).alias("target")).agg(F.count(F.lit(1)).alias("done"))
+    found = _per_target(rows).withColumnRenamed("total", "done")
     both = targets.join(found, "target", "left").join(expected, "target", "left")
     return both.select("target", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("done", "total")])
 

@@ -11,7 +11,8 @@ from shardweave.plans.layouts import sharded_orders
 from shardweave.plans.oracle import murmur3_sql
 from shardweave.plans.placement import FOUR, ORDER_SHARDS_SQL
 from shardweave.plans.registry import query, table
-from shardweave.sources.layout import read_sharded, write_sharded
+from shardweave.sources.deltas import DeltaTable
+from shardweave.sources.layout import read_placed, read_sharded, write_sharded
 from shardweave.sources.scratch import fresh_path
 from shardweave.sources.topology import Range, equal_hash_topology
 
@@ -105,6 +106,22 @@ def m05(spark, sf_dir):
     return C.apply_changes(snapshot, changes, "id", ["lsn"])
 
 
+@query("m05_delta_catch_up", f"WITH {CHANGES_SQL}, {state_sql('true')}")
+def m05_deltas(spark, sf_dir):
+    """The log comes in three parts; each round writes the keys of its part, the base is written anew once."""
+    snapshot, changes = snapshot_and_changes(spark, sf_dir)
+    topology = equal_hash_topology("id", 4)
+    target = DeltaTable(spark, fresh_path(spark, "deltas"))
+    target.create(assign_shard(snapshot, topology, strict=True), topology.shards, "id", "lsn")
+    log = assign_shard(changes, topology, strict=True)
+    last = changes.agg(F.max("lsn")).first()[0] or 0
+    for k in (1, 2, 3):
+        target.append(log, last * k // 3)
+        if k == 2:
+            target.compact()
+    return target.read().select("id", "val")
+
+
 STATES_SQL = (
     "s AS (SELECT o_custkey AS target, CASE WHEN o_orderkey % 23 = 0 THEN 'd' WHEN o_orderkey % 2 = 0 THEN 'r' ELSE 's' END AS state FROM orders), "
     "pending AS (SELECT target, count(*) FILTER (state NOT IN ('r', 's')) + greatest(9 + target % 3 - count(*), 0) AS pending FROM s GROUP BY target)"
@@ -159,7 +176,7 @@ def own_copy(spark, sf_dir, name, key):
     return path
 
 
-def online_split(spark, sf_dir):
+def online_split(spark, sf_dir, fold=True):
     """A split of the orders while changes come in: the path of the dataset and the report per target."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     path = fresh_path(spark, "orders")
@@ -175,7 +192,7 @@ def online_split(spark, sf_dir):
         reads.append(1)
         return log.filter("lsn <= 1000") if len(reads) <= 2 else log
 
-    return path, R.run_online_move(spark, path, FOUR, SPLIT, "o_orderkey", changes)[1]
+    return path, R.run_online_move(spark, path, FOUR, SPLIT, "o_orderkey", changes, fold=fold)[1]
 
 
 SPLIT_SQL = f"""{ORDER_SHARDS_SQL},
@@ -188,9 +205,9 @@ SPLIT_SQL = f"""{ORDER_SHARDS_SQL},
 
 @query("m09_split_run", f"WITH {SPLIT_SQL} SELECT * FROM split")
 def m09(spark, sf_dir):
-    path, _ = online_split(spark, sf_dir)
-    # no shard is named: after the clean-up the dataset holds every row once
-    return read_sharded(spark, path).select("o_orderkey", "o_custkey", SHARD)
+    path, _ = online_split(spark, sf_dir, fold=False)
+    # the targets are still base and rounds of changes, merged by this read
+    return read_placed(spark, path, FOUR).select("o_orderkey", "o_custkey", SHARD)
 
 
 @query(
@@ -230,6 +247,25 @@ def m12(spark, sf_dir):
     return R.conservation(source, kept, moved, AFTER)
 
 
+@query(
+    "m12_content_conservation",
+    f"WITH {AFTER_SQL}, c AS (SELECT new_shard AS target, count(*) AS n FROM moved WHERE shard = 'shard-3' GROUP BY 1) "
+    "SELECT target, n AS n_source, n AS n_target, true AS same, target = 'shard-3a' AS same_flipped FROM c",
+)
+def m12_content(spark, sf_dir):
+    """Content of each target against what the sources hold for it, and against targets with one value changed."""
+    source = assign_shard(orders_with_shard(spark, sf_dir).filter(F.col(SHARD) == "shard-3").drop(SHARD), AFTER, strict=True)
+    path = fresh_path(spark, "range-copy")
+    R.copy_ranges(source, AFTER, ["shard-3a", "shard-3b"], path)
+    target = read_sharded(spark, path)
+    least = target.filter(F.col(SHARD) == "shard-3b").agg(F.min("o_orderkey")).first()[0]
+    flipped = target.withColumn("o_custkey", F.when(F.col("o_orderkey") == least, -F.col("o_custkey")).otherwise(F.col("o_custkey")))
+    columns = ["o_orderkey", "o_custkey"]
+    return R.content_conservation(source, {"target": target, "flipped": flipped}, columns).select(
+        F.col(SHARD).alias("target"), F.col("n_source"), F.col("n_target"), F.col("same_target").alias("same"), "same_flipped"
+    )
+
+
 @query(
     "m13_table_diff",
     "SELECT o_orderkey, CASE WHEN o_orderkey % 101 = 0 THEN 'missing in target' ELSE 'different' END AS problem "

@@ -48,7 +48,7 @@ def write_sharded(placed: DataFrame, path: str, whole: bool = False) -> None:
     )
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
     """A path of any file system that Spark writes, and that file system."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -57,7 +57,7 @@ def _folder(spark: SparkSession, path: str):
 def drop_shards(spark: SparkSession, path: str, shards: list[str]) -> None:
     """Remove shards from a dataset; shards that are not there are no error."""
     for shard in shards:
-        found, system = _folder(spark, f"{path}/{SHARD}={shard}")
+        found, system = folder_of(spark, f"{path}/{SHARD}={shard}")
         system.delete(found, True)
 
 
@@ -68,7 +68,7 @@ def switch_topology(spark: SparkSession, path: str, topology: Topology) -> None:
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    found, system = _folder(spark, f"{path}.topology")
+    found, system = folder_of(spark, f"{path}.topology")
     if not system.exists(found):
         return []
     folders = [e.getPath() for e in system.listStatus(found)]
@@ -108,8 +108,21 @@ def read_sharded(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def read_placed(spark: SparkSession, path: str, first: Topology) -> DataFrame:
-    """All rows once: the shards of the current topology, whether or not a move is under way."""
-    return read_sharded(spark, path).filter(F.col(SHARD).isin(current_topology(spark, path, first).shards))
+    """All rows once: the shards of the current topology, whether or not a move is under way.
+
+    Shards that a move has brought in and not folded into the dataset yet are their base files with the
+    changes since, merged here.
+    """
+    from shardweave.sources.deltas import moved_tables
+
+    shards = current_topology(spark, path, first).shards
+    rows, apart = read_sharded(spark, path), moved_tables(spark, path)
+    beside = {s for _, commit in apart for s in commit.shards}
+    placed = rows.filter(F.col(SHARD).isin([s for s in shards if s not in beside]))
+    for moved, commit in apart:
+        if set(commit.shards) & set(shards):
+            placed = placed.unionByName(moved.read().filter(F.col(SHARD).isin(shards)).select(*rows.columns))
+    return placed
 
 
 def read_shard(spark: SparkSession, path: str, shard: str) -> DataFrame:
@@ -186,7 +199,7 @@ def key_range_read(sharded: DataFrame, topology: Topology, lo: str, hi: str) ->
 
 def folder_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the Parquet tables in a folder of any file system that Spark reads, sorted."""
-    path, system = _folder(spark, folder)
+    path, system = folder_of(spark, folder)
     names = sorted(e.getPath().getName() for e in system.listStatus(path))
     found = [(n.removesuffix(".parquet"),) for n in names if n.endswith(".parquet")]
     return spark.createDataFrame(found, "name STRING")

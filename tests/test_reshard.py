@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from shardweave.operators import changes as C
 from shardweave.operators import reshard as R
 from shardweave.operators.placement import SHARD, assign_shard
+from shardweave.sources import deltas as D
 from shardweave.sources import layout as L
 from shardweave.sources.topology import Range, equal_hash_topology
 
@@ -57,22 +60,22 @@ def test_online_split_with_changes_and_failures(spark, dataset, monkeypatch):
         arrived.append(1)
         return changes.filter(F.col("lsn") < 100 * len(arrived))
 
-    steps = {"write_sharded": 2, "switch_topology": 1, "drop_shards": 3}
-    for step, at in steps.items():  # fail once at each step, then run to the end
-        real, calls = getattr(R, step), []
+    # fail once at each step, then run to the end: the copy, each commit, the switch and the clean-up
+    steps = [(D, "write_sharded", 1), *[(D.DeltaTable, "_publish", k) for k in (1, 2)], (D, "write_sharded", 1)]
+    steps += [(D.DeltaTable, "_publish", 1), (R, "switch_topology", 1), (R, "drop_shards", 1), (D.DeltaTable, "fold_into", 1), (D.DeltaTable, "_publish", 1)]
+    for owner, step, at in steps:
+        real, calls = getattr(owner, step), []
 
-        def broken(*args, real=real, calls=calls, at=at):
+        def broken(*args, real=real, calls=calls, at=at, **named):
             calls.append(1)
             if len(calls) == at:
                 raise OSError("lost")
-            return real(*args)
+            return real(*args, **named)
 
         with monkeypatch.context() as patch:
-            patch.setattr(R, step, broken)
-            try:
+            patch.setattr(owner, step, broken)
+            with pytest.raises(OSError):
                 R.run_online_move(spark, dataset, FOUR, SPLIT, "id", so_far, max_lag=0, tries=20)
-            except OSError:
-                pass
         rows = L.read_placed(spark, dataset, FOUR)
         assert rows.count() == rows.select("id").distinct().count()
     again, report = R.run_online_move(spark, dataset, FOUR, SPLIT, "id", lambda: changes)
@@ -105,6 +108,90 @@ def test_online_move_loses_no_change_behind_the_gate(spark, dataset, stops):
     assert any(3 * i in moving for i in range(moved.position - 20, moved.position + 1))
 
 
+def test_catch_up_goes_on_from_the_committed_position(spark, dataset, monkeypatch):
+    log = spark.createDataFrame([("U", i, i % 90, -i) for i in range(1, 400)], "op string, lsn long, id long, val long")
+    seen, real = [], D.DeltaTable.append
+
+    def watched(self, changes, upto):
+        rows = changes.agg(F.min("lsn"), F.max("lsn")).first()
+        done = real(self, changes, upto)
+        seen.append((rows[0], rows[1], upto, done))
+        if len(seen) == 2:
+            raise OSError("lost")
+        return done
+
+    arrived = []
+
+    def so_far():
+        arrived.append(1)
+        return log.filter(F.col("lsn") < 60 * len(arrived))
+
+    monkeypatch.setattr(D.DeltaTable, "append", watched)
+    with pytest.raises(OSError):
+        R.run_online_move(spark, dataset, FOUR, SPLIT, "id", so_far, tries=20)
+    table_ = D.DeltaTable(spark, f"{dataset}.moving/left-right")
+    assert table_.commit().position == seen[1][2] and table_.commit().base == "base-0"
+    R.run_online_move(spark, dataset, FOUR, SPLIT, "id", so_far, tries=20, fold=False)
+    assert len(seen) > 2 and table_.commit().base == "base-0"
+    for (*_, before, _), (low, _, _, n) in zip(seen, seen[1:]):  # no round reads what an earlier one has read
+        assert low is None or low > before
+        assert n <= 90
+    merged = {r.id: r.val for r in L.read_placed(spark, dataset, FOUR).collect()}
+    assert len(merged) == 2000 and all(merged[r.id] == -max(i for i in range(1, 400) if i % 90 == r.id) for r in table_.changes().collect())
+    table_.fold_into(dataset)
+    assert {r.id: r.val for r in L.read_placed(spark, dataset, FOUR).collect()} == merged == {r.id: r.val for r in L.read_sharded(spark, dataset).collect()}
+    table_.clean()
+    assert L.read_placed(spark, dataset, FOUR).count() == 2000
+
+
+def test_changed_content_is_refused(spark, dataset, monkeypatch):
+    real = D.write_sharded
+    moving = R.rows_moving(table(spark), R.moved_topology(FOUR, SPLIT), ["left", "right"]).first().id
+    wrong = F.when(F.col("id") == moving, -1).otherwise(F.col("val")).cast("long")
+    monkeypatch.setattr(D, "write_sharded", lambda rows, path, whole=False: real(rows.withColumn("val", wrong), path, whole))
+    with pytest.raises(D.ContentLost):
+        R.run_online_move(spark, dataset, FOUR, SPLIT, "id", lambda: spark.createDataFrame([], "op string, lsn long, id long, val long"))
+    assert L.current_topology(spark, dataset, FOUR) == FOUR
+
+
+def test_content_digest_sees_every_change(spark):
+    rows = [(1, None, 2), (2, 3, None), (2, 3, None), (None, None, None)]
+    make = lambda r: D.digest_of(spark.createDataFrame(r, "a long, b long, c long"), ["a", "b", "c"])
+    assert make(rows) == make(rows[::-1])
+    others = [rows[:-1], rows + rows[:1], [(1, 2, None), *rows[1:]], [(1, None, 3), *rows[1:]], [rows[0], rows[0], rows[0], rows[3]]]
+    assert all(make(o) != make(rows) for o in others)
+    assert make([]) == {"n": 0, "mixed": 0, "total": 0}
+
+
+@pytest.mark.parametrize("compacts", [(), (1, 3)])
+def test_delta_table_equals_replay(spark, tmp_path, compacts):
+    draw = random.Random(3)
+    want = {i: i for i in range(200)}
+    target = D.DeltaTable(spark, str(tmp_path / "d"))
+    base = spark.createDataFrame(list(want.items()), "id long, val long")
+    target.create(assign_shard(base, FOUR), FOUR.shards, "id", "lsn")
+    lsn = 0
+    for k in range(5):
+        log = []
+        for _ in range(draw.choice([0, 40])):
+            lsn += 1
+            op, key = draw.choice("IUD"), draw.randrange(260)
+            log.append((op, lsn, key, None if op == "D" else draw.randrange(1000)))
+            if op == "D":
+                want.pop(key, None)
+            else:
+                want[key] = log[-1][3]
+        part = assign_shard(spark.createDataFrame(log, "op string, lsn long, id long, val long"), FOUR)
+        target.append(part, lsn)
+        target.append(part, lsn)  # the same round again finds nothing after the position
+        if k in compacts:
+            target.compact()
+            assert target.commit().rounds == ()
+        assert {r.id: r.val for r in target.read().collect()} == want
+    target.clean()
+    assert {r.id: r.val for r in target.read().collect()} == want
+
+
 def test_split_then_merge_is_identity(spark, dataset):
     before = content(L.read_shard(spark, dataset, "shard-1"))
     after, _ = R.run_move(spark, dataset, FOUR, SPLIT)

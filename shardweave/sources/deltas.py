@@ -20,7 +20,8 @@ from pyspark.sql.types import StructType
 
 from shardweave.operators.changes import apply_net_changes, net_changes
 from shardweave.operators.placement import SHARD
-from shardweave.sources.layout import folder_of, write_sharded
+from shardweave.sources.layout import write_sharded
+from shardweave.sources.scratch import folder_of, last_text, save_text
 
 
 class ContentLost(RuntimeError):
@@ -89,32 +90,14 @@ class DeltaTable:
 
     def commit(self) -> Commit | None:
         """The last commit; None if there is none."""
-        folder, system = folder_of(self.spark, f"{self.root}/commits")
-        if not system.exists(folder):
+        text = last_text(self.spark, f"{self.root}/commits", ".json")
+        if text is None:
             return None
-        names = [e.getPath() for e in system.listStatus(folder)]
-        done = [p for p in names if p.getName().endswith(".json")]
-        if not done:
-            return None
-        stream = system.open(max(done, key=lambda p: p.getName()))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
         fields = json.loads(text)
         return Commit(**{k: tuple(v) if isinstance(v, list) else v for k, v in fields.items()})
 
     def _publish(self, commit: Commit) -> Commit:
-        # a commit appears whole, by its name: it is written beside and renamed
-        name = f"{self.root}/commits/{commit.version:012d}"
-        draft, system = folder_of(self.spark, f"{name}.draft")
-        stream = system.create(draft, True)
-        try:
-            stream.write(bytearray(json.dumps(asdict(commit)).encode()))
-        finally:
-            stream.close()
-        final, _ = folder_of(self.spark, f"{name}.json")
-        if system.exists(final) or not system.rename(draft, final):
+        if not save_text(self.spark, f"{self.root}/commits/{commit.version:012d}.json", json.dumps(asdict(commit)), replace=False):
             raise RuntimeError(f"version {commit.version} of {self.root} was committed by another writer")
         return commit
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardweave.operators.placement import SHARD, find_column, resolve_key
+from shardweave.sources.scratch import folder_of
 from shardweave.sources.topology import Topology, read_topology
 
 #: Shards that are tried at the same time.
@@ -48,12 +49,6 @@ def write_sharded(placed: DataFrame, path: str, whole: bool = False) -> None:
     )
 
 
-def folder_of(spark: SparkSession, path: str):
-    """A path of any file system that Spark writes, and that file system."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def drop_shards(spark: SparkSession, path: str, shards: list[str]) -> None:
     """Remove shards from a dataset; shards that are not there are no error."""
     for shard in shards:

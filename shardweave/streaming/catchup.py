@@ -14,17 +14,18 @@ from shardweave.streaming.run import drain_batches
 BATCH = "batch"
 
 
-def follow_changes(changes: DataFrame, key: str, order: Sequence[str], payload: Sequence[str], log: str) -> None:
+def follow_changes(changes: DataFrame, key: str, order: Sequence[str], payload: Sequence[str], log: str, checkpoint: str | None = None) -> None:
     """Write the net changes of every micro-batch to its own partition of ``log``.
 
     Only changed keys are written, never the snapshot; a repeated batch replaces its own
-    partition, so applying the log gives the same table however often it is retried.
+    partition, so applying the log gives the same table however often it is retried.  With a
+    ``checkpoint`` the next call follows on.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         net_changes(batch, key, order, payload).write.mode("overwrite").parquet(f"{log}/{BATCH}={number}")
 
-    drain_batches(changes, "follow", write, mode="append")
+    drain_batches(changes, "follow", write, mode="append", checkpoint=checkpoint)
 
 
 def caught_up(snapshot: DataFrame, log: str, key: str, order: Sequence[str]) -> DataFrame:

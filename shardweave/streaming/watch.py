@@ -8,20 +8,24 @@ the watermark are not lost: they are kept in a table of late rows beside the res
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shardweave.operators.coalesce import coalesce_signals
 from shardweave.operators.held import sustained, with_held_since
 from shardweave.operators.scan import DAY, bucket_of, scan_done, scan_ready, scan_step
-from shardweave.sources.scratch import fresh_path
+from shardweave.sources.scratch import folder_of, fresh_path, last_text, save_text
 from shardweave.streaming.run import drain_batches
 
 NONE = int(np.iinfo(np.int64).min)
+#: The tables of the end of the data have a number so far beyond the last batch.
+END = 1_000_000_000
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
 
@@ -35,18 +39,26 @@ class Watched:
     newest: int
 
 
-def _drain(stream: DataFrame, at: str, lateness: int, label: str, step: Step) -> Watched:
+def _drain(streams: DataFrame | Sequence[DataFrame], at: str, lateness: int, label: str, step: Step, folder: str | None = None) -> Watched:
     """Run a stream to the end of its data through ``step(settled rows, carry)``.
 
     Each batch has its own folders and starts from those of the one before, so a batch that is
-    delivered again replaces what it left.  At the end of the data the rows still put aside
+    delivered again replaces what it left.  The watermark of every batch is kept in a file beside them: with a
+    ``folder`` of its own a watch that is called again goes on from the last batch.  Several streams are read
+    one after the other, as one that stops and starts again.  At the end of the data the rows still put aside
     are settled too.
     """
-    spark = stream.sparkSession
-    base = fresh_path(spark, label)
+    streams = [streams] if isinstance(streams, DataFrame) else list(streams)
+    spark, schema = streams[0].sparkSession, streams[0].schema
+    base = folder or fresh_path(spark, label)
+    text = last_text(spark, f"{base}/marks", ".json")
     # batch number -> (watermark, newest time); tables lie under the number
     marks: dict[int, tuple[int, int]] = {-1: (NONE, NONE)}
-    schemas = {"waiting": stream.schema, "late": stream.schema}
+    schemas = {"waiting": schema, "late": schema}
+    if text is not None:
+        kept = json.loads(text)
+        marks[kept["number"]] = (kept["mark"], kept["newest"])
+        schemas |= {n: StructType.fromJson(s) for n, s in kept["schemas"].items()}
 
     def read(name: str, number: int) -> DataFrame | None:
         return spark.read.schema(schemas[name]).parquet(f"{base}/{name}/batch={number}") if number in marks and number >= 0 else None
@@ -55,34 +67,52 @@ def _drain(stream: DataFrame, at: str, lateness: int, label: str, step: Step) ->
         schemas[name] = rows.schema
         rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
 
+    def before(number: int) -> int:
+        """The batch to go on from: the one before, unless this one is delivered again or batches without rows lay between."""
+        return max(n for n in marks if n < number)
+
     def settle(fresh: DataFrame, number: int, last: bool) -> None:
-        mark, newest = marks[number - 1]
+        mark, newest = marks[before(number)]
         top = fresh.agg(F.max(at)).first()[0]
         newest = max(newest, NONE if top is None else top)
         reached = newest if last else max(mark, newest - lateness if newest > NONE else NONE)
-        save("late", number, fresh.where(F.col(at) <= mark))
-        waiting = read("waiting", number - 1)
+        # a row without a time can never settle
+        save("late", number, fresh.where((F.col(at) <= mark) | F.col(at).isNull()))
+        waiting = read("waiting", before(number))
         rows = fresh.where(F.col(at) > mark)
         rows = rows if waiting is None else rows.unionByName(waiting)
         save("waiting", number, rows.where(F.col(at) > reached))
-        found, carry = step(rows.where(F.col(at) <= reached), read("carry", number - 1))
+        found, carry = step(rows.where(F.col(at) <= reached), read("carry", before(number)))
         save("rows", number, found)
         save("carry", number, carry)
         marks[number] = (reached, newest)
+        if not last:
+            kept = {"number": number, "mark": reached, "newest": newest, "schemas": {n: s.jsonValue() for n, s in schemas.items()}}
+            save_text(spark, f"{base}/marks/{number:012d}.json", json.dumps(kept))
 
     def write(batch: DataFrame, number: int) -> None:
+        if number <= max(marks):  # done before the driver was lost, and delivered again
+            return
         held = batch.persist()
         settle(held, number, False)
         held.unpersist()
 
-    drain_batches(stream, label, write, mode="append")
-    number = max(marks) + 1
-    settle(spark.createDataFrame([], stream.schema), number, True)
-    whole = lambda name: spark.read.schema(schemas[name]).parquet(*[f"{base}/{name}/batch={n}" for n in range(number + 1)])
+    for stream in streams:
+        drain_batches(stream, label, write, mode="append", checkpoint=f"{base}/checkpoint")
+    # the end of the data is no batch of the stream: its tables lie apart, and a later call goes on without it
+    ends = max(marks)
+    number = ends + END
+    settle(spark.createDataFrame([], schema), number, True)
+
+    def whole(name: str) -> DataFrame:
+        path, system = folder_of(spark, f"{base}/{name}")
+        numbers = sorted(int(e.getPath().getName().removeprefix("batch=")) for e in system.listStatus(path))
+        return spark.read.schema(schemas[name]).parquet(*[f"{base}/{name}/batch={n}" for n in numbers if n <= ends or n == number])
+
     return Watched(whole("rows"), whole("late"), read("carry", number), marks[number][1])
 
 
-def watch_held(stream: DataFrame, key: str, hold: int, lateness: int, width: int = DAY) -> Watched:
+def watch_held(stream: DataFrame | Sequence[DataFrame], key: str, hold: int, lateness: int, width: int = DAY, folder: str | None = None) -> Watched:
     """Rows (key, at, seq, since, held) for every observation.
 
     ``stream`` has the key, LONG ``at`` and ``seq``, and booleans ``holds`` and ``may_start``.
@@ -101,7 +131,7 @@ def watch_held(stream: DataFrame, key: str, hold: int, lateness: int, width: int
             key, "at", "seq", F.coalesce("since", F.lit(-1).cast("long")).alias("since"), sustained(F.col("at"), F.col("since"), hold).alias("held")
         ), last
 
-    return _drain(stream, "at", lateness, "held", step)
+    return _drain(stream, "at", lateness, "held", step, folder)
 
 
 def watch_silence(stream: DataFrame, key: str, limit: int, lateness: int, width: int = DAY) -> Watched:

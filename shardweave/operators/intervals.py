@@ -60,3 +60,61 @@ def interval_join(
     )
     extra = [F.col(f"i.{c}") for c in intervals.columns if c not in on]
     return left.join(right, same, "left").select(*[F.col(f"v.{c}") for c in df.columns], *extra)
+
+
+def dyadic_cells(intervals: DataFrame, lo: str, hi: str, bits: int = 62, step: int = 2) -> DataFrame:
+    """The intervals cut into aligned cells of ``2**(step * level)`` values: columns of the intervals, ``__level``, ``__cell``.
+
+    A value of an interval lies in exactly one of its cells.  A level adds at most ``2**step - 1`` cells at either
+    end, whatever the width; an interval without values (``lo > hi`` or a null bound) has none.  Bounds lie within
+    ``bits`` bits.
+    """
+
+    def cells(level: int) -> str:
+        k, up = step * level, step * (level + 1)
+        # the whole cells of this level, and where those of the next level begin and end
+        a, b = f"shiftright({lo} + {(1 << k) - 1}, {k})", f"shiftright({hi} + 1, {k})"
+        span = lambda x, y: f"if({x} < {y}, sequence({x}, {y} - 1), array())"
+        if up > bits:
+            return f"transform({span(a, b)}, c -> struct({level} AS __level, c AS __cell))"
+        c, d = f"shiftright({lo} + {(1 << up) - 1}, {up})", f"shiftright({hi} + 1, {up})"
+        own = f"if({c} < {d}, concat({span(a, f'{c} * {1 << step}')}, {span(f'{d} * {1 << step}', b)}), {span(a, b)})"
+        return f"transform({own}, c -> struct({level} AS __level, c AS __cell))"
+
+    levels = ", ".join(cells(k) for k in range(-(-bits // step)))
+    found = f"if({lo} <= {hi}, concat({levels}), array())"
+    return intervals.selectExpr("*", f"inline({found})")
+
+
+def dyadic_join(
+    df: DataFrame,
+    value: str,
+    intervals: DataFrame,
+    lo: str,
+    hi: str,
+    on: tuple[str, ...] = (),
+    how: str = "inner",
+    bits: int = 62,
+    step: int = 2,
+    small: bool = False,
+) -> DataFrame:
+    """Join of ``df`` to all intervals with ``lo <= value <= hi`` and equal ``on`` columns, whatever their widths.
+
+    An equi-join on level and cell: a row asks once for each level that some interval uses, which are at most
+    ``bits / step``.  Intervals may overlap and lie in each other.  ``how`` is ``inner`` or ``left``; ``small`` is
+    the caller's promise that the interval list is bounded, otherwise Spark decides by size whether to broadcast.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    cells = dyadic_cells(intervals, lo, hi, bits, step)
+    used = sorted(r[0] for r in cells.select("__level").distinct().collect())
+    asked = df.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in used]).cast("array<int>")))
+    asked = asked.withColumn("__cell", F.expr(f"shiftright({value}, __level * {step})")).alias("v")
+    right = (F.broadcast(cells) if small else cells).alias("i")
+    same = reduce(lambda a, b: a & b, [F.col(f"v.{c}") == F.col(f"i.{c}") for c in (*on, "__level", "__cell")])
+    extra = [c for c in intervals.columns if c not in on]
+    found = asked.join(right, same).select(*[F.col(f"v.{c}") for c in df.columns], *[F.col(f"i.{c}") for c in extra])
+    if how == "inner":
+        return found
+    alone = df.join(found.select(*on, value).distinct(), [*on, value], "left_anti")
+    return found.unionByName(alone, allowMissingColumns=True)

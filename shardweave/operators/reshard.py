@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shardweave.operators.changes import apply_changes
+from shardweave.operators.hashtree import BITS, bucket_of_key, differing_buckets, hash_tree
 from shardweave.operators.placement import SHARD, assign_shard
 from shardweave.sources.deltas import ContentLost, DeltaTable, content_digest, digest_of, observed
 from shardweave.sources.layout import current_topology, drop_shards, read_placed, read_sharded, switch_topology, write_sharded
+from shardweave.sources.scratch import fresh_path
 from shardweave.sources.topology import Range, Topology, parse_bound
 
 
@@ -119,6 +121,29 @@ def table_diff(left: DataFrame, right: DataFrame, key: str, share: float = 0.01)
     return both.select(key, problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
+def tree_diff(left: DataFrame, right: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+    """Keys that exist on one side only or whose rows differ, found through the sides' hash trees.
+
+    The trees are stored, compared from the root down, and rows are compared only of buckets that differ; none
+    are read if no bucket does.  Keys are unique on each side; the result is that of ``table_diff`` over all keys.
+    """
+    spark, columns = left.sparkSession, sorted(left.columns)
+    if sorted(right.columns) != columns:
+        raise ValueError("both sides must have the same columns")
+    trees = []
+    for name, side in (("left", left), ("right", right)):
+        path = fresh_path(spark, f"hash-tree-{name}")
+        hash_tree(side, key, columns, bits).write.parquet(path)
+        trees.append(spark.read.parquet(path))
+    path = fresh_path(spark, "hash-tree-differences")
+    differing_buckets(*trees, bits).write.parquet(path)
+    buckets = spark.read.schema("bucket INT").parquet(path)
+    wanted = [s.join(buckets, bucket_of_key(key, bits) == F.col("bucket"), "left_semi") for s in (left, right)]
+    if buckets.isEmpty():
+        wanted = [s.limit(0) for s in (left, right)]
+    return table_diff(*wanted, key, share=1)
+
+
 def split_progress(report: DataFrame, by: str) -> DataFrame:
     """Rows done, rows in total and their share per target, from a run report."""
     sums = report.groupBy(by).agg(F.sum("done").alias("done"), F.sum("total").alias("total"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shardweave.functions.hashing import key_text, with_key_hash
 from shardweave.operators import placement as P
-from shardweave.operators.intervals import interval_join
+from shardweave.operators.intervals import dyadic_join, interval_join
 from shardweave.plans.oracle import crc32_sql, fnv1a_sql, murmur3_sql, quarter_shard_sql
 from shardweave.plans.registry import query, spread, table
 from shardweave.sources.topology import Range, Topology, equal_hash_topology
@@ -144,6 +144,24 @@ def v09(spark, sf_dir):
     return interval_join(parts, "__hash", ring, "lo", "hi").select("p_partkey", "n_name")
 
 
+@query(
+    "v09_dyadic_interval_join",
+    f"WITH i AS (SELECT s_suppkey, {murmur3_sql('s_suppkey::VARCHAR')} AS lo FROM supplier), "
+    f"v AS (SELECT p_partkey, {murmur3_sql('p_partkey::VARCHAR')} AS h FROM part) "
+    "SELECT p_partkey, count(s_suppkey) AS n_intervals, coalesce(sum(s_suppkey), 0)::BIGINT AS keys FROM v "
+    "LEFT JOIN i ON h BETWEEN lo AND lo + s_suppkey % 97 * 5000000 GROUP BY p_partkey",
+)
+def v09_dyadic(spark, sf_dir):
+    """Overlapping and nested intervals of very different widths: how many cover the hash of each part."""
+    owners = with_key_hash(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
+    intervals = owners.select("s_suppkey", F.col("__hash").alias("lo"), (F.col("__hash") + F.col("s_suppkey") % 97 * 5_000_000).alias("hi"))
+    parts = with_key_hash(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    found = dyadic_join(parts, "__hash", intervals, "lo", "hi", how="left", bits=33)
+    return found.groupBy("p_partkey").agg(
+        F.count("s_suppkey").alias("n_intervals"), F.coalesce(F.sum("s_suppkey"), F.lit(0).cast("long")).alias("keys")
+    )
+
+
 @query(
     "v10_assign_table",
     f"SELECT {quarter_shard_sql('h')} AS shard, l_linenumber, count(*) AS n_rows, "

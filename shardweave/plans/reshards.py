@@ -277,7 +277,7 @@ def m13(spark, sf_dir):
     changed = F.when(F.col("o_custkey") % 37 == 0, "X").otherwise(F.col("o_orderstatus"))
     right = left.filter("o_orderkey % 101 <> 0").withColumn("o_orderstatus", changed)
     extra = left.filter("o_orderkey % 211 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
-    return R.table_diff(left, right.unionByName(extra), "o_orderkey", share=1)
+    return R.tree_diff(left, right.unionByName(extra), "o_orderkey")
 
 
 @query(

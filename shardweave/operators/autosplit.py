@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -76,10 +76,23 @@ def sustained_breach(
 
 
 def p99_latency(samples: DataFrame, by: Sequence[str], latency: str, accuracy: int = 10000) -> DataFrame:
-    """99th percentile per group as a mergeable sketch."""
+    """99th percentile per group, from one pass over the samples."""
     return samples.groupBy(*by).agg(F.percentile_approx(latency, 0.99, accuracy).alias("p99"))
 
 
+def quantile_sketches(samples: DataFrame, by: Sequence[str], value: str, k: int = 800) -> DataFrame:
+    """A quantile sketch per group, as a table that can be stored.  Its rank error is about ``2 / k`` at most."""
+    known = samples.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return known.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """Named quantiles and the number of samples per group, from stored sketches of shards, windows or both."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("__all"))
+    found = [F.kll_sketch_get_quantile_double("__all", F.lit(q)).alias(name) for name, q in quantiles.items()]
+    return merged.select(*by, F.kll_sketch_get_n_double("__all").alias("n_samples"), *found)
+
+
 # --- candidates and plans -------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shardweave.operators.placement import SHARD, find_column
 from shardweave.operators.scan import ordered_scan
@@ -88,6 +89,29 @@ def merge_partials(partials: DataFrame, keys: Sequence[str], aggregates: Mapping
     return partials.groupBy(*keys).agg(*[_final(name, agg) for name, agg in aggregates.items()])
 
 
+def distinct_partials(df: DataFrame, keys: Sequence[str], column: str, shard: str = SHARD) -> DataFrame:
+    """What each shard stores to count different values exactly: bitmaps of whole numbers, the values themselves else.
+
+    A bitmap is 4 KB for 32,768 neighbouring numbers, so it pays where values lie close; ``values`` of other types
+    are one row each.  NULL is no value.
+    """
+    known = df.filter(F.col(column).isNotNull())
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        return known.select(shard, *keys, F.col(column).alias("value")).distinct()
+    value = F.col(column).cast("long")
+    return known.groupBy(shard, *keys, F.shiftright(value, 15).alias("bucket")).agg(
+        F.bitmap_construct_agg(value.bitwiseAND(F.lit(32767))).alias("bits")
+    )
+
+
+def merge_distinct(partials: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Exact number of different values over stored partials of any shards; a group without a value has no row."""
+    if "bits" not in partials.columns:
+        return partials.select(*keys, "value").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    merged = partials.groupBy(*keys, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("__n"))
+    return merged.groupBy(*keys).agg(F.sum("__n").alias(name))
+
+
 def item_merge_kind(item: Column) -> Column:
     """How one select item of a logged statement is merged: group key, count, sum, min, max or not mergeable."""
     # quoted text may hold parentheses; what counts is one call with nothing but an alias behind it

@@ -10,6 +10,7 @@ from shardweave.operators.scan import DAY, HOUR, bucket_of, micros
 from shardweave.plans.oracle import crc32_sql
 from shardweave.plans.registry import event_bucket, query, table
 from shardweave.plans.topologies import RANGES_SQL, hex_sql, ranges
+from shardweave.sources.scratch import fresh_path
 
 TRIGGERS = A.Triggers(size_gb=1, volume_percent=30, duration_minutes=240)
 
@@ -189,3 +190,28 @@ def a11(spark, sf_dir):
         shard_of("user_id").alias("shard"), bucket_of(micros("ts"), DAY).alias("day"), "value"
     )
     return A.p99_latency(samples, ["shard", "day"], "value")
+
+
+QUANTILES = {"p50": 0.5, "p99": 0.99}
+RANK_ERROR = 0.01
+
+
+@query(
+    "a11_stored_sketches",
+    f"SELECT epoch_us(ts) // {7 * DAY} AS week, count(*) AS n_samples, true AS p50_within, true AS p99_within FROM events WHERE value IS NOT NULL GROUP BY 1",
+)
+def a11_stored(spark, sf_dir):
+    """Sketches of every shard and day are stored; a week's are merged, and its samples tell the ranks of what they say."""
+    samples = table(spark, sf_dir, "events").select(shard_of("user_id").alias("shard"), bucket_of(micros("ts"), DAY).alias("day"), "value")
+    path = fresh_path(spark, "latencies")
+    A.quantile_sketches(samples, ["shard", "day"], "value").write.parquet(path)
+    week = F.floor(F.col("day") / 7).cast("long").alias("week")
+    found = A.merged_quantiles(spark.read.parquet(path).select(week, "sketch"), ["week"], QUANTILES)
+    # one row a week on the found side
+    ranked = samples.filter("value IS NOT NULL").select(week, "value").join(found, "week")
+    within = []
+    for name, q in QUANTILES.items():
+        below, upto = F.count_if(F.col("value") < F.col(name)), F.count_if(F.col("value") <= F.col(name))
+        n = F.count(F.lit(1))
+        within.append(((below <= (q + RANK_ERROR) * n) & (upto >= (q - RANK_ERROR) * n)).alias(f"{name}_within"))
+    return ranked.groupBy("week", "n_samples").agg(*within)

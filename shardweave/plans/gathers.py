@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shardweave.operators import gather as G
 from shardweave.operators.placement import SHARD, assign_shard
 from shardweave.operators.scan import micros, split_hot
+from shardweave.operators.skew import heavy_keys, heavy_sketches, spread_join
 from shardweave.plans.layouts import sharded_orders
 from shardweave.plans.oracle import murmur3_sql, quarter_shard_sql
 from shardweave.plans.placement import FOUR, ORDER_SHARDS_SQL
@@ -130,6 +131,17 @@ def g11(spark, sf_dir):
     return placed_orders(spark, sf_dir).groupBy("priority").agg(F.count_distinct("o_custkey").alias("customers"))
 
 
+@query(
+    "g11_stored_distinct",
+    f"WITH {PLACED_SQL} SELECT priority, count(DISTINCT o_custkey)::BIGINT AS customers FROM p GROUP BY priority",
+)
+def g11_stored(spark, sf_dir):
+    # A customer has orders on several shards: stored counts would add up to more, stored bitmaps do not.
+    path = fresh_path(spark, "distinct")
+    L.write_sharded(G.distinct_partials(placed_orders(spark, sf_dir), ["priority"], "o_custkey"), path)
+    return G.merge_distinct(L.read_sharded(spark, path), ["priority"], "customers")
+
+
 ITEMS = ("count(*)", "SUM(o_totalprice)", "min(o_orderdate)", "Max (o_orderkey)", "avg(o_totalprice)",
          "count(DISTINCT o_custkey)", " o_orderpriority ", "lower(o_orderstatus)", "sum(o_totalprice) + 1",
          "max(o_totalprice) - min(o_totalprice)", "count(*) over (partition by o_custkey)", "sum(abs(o_totalprice)) AS total",
@@ -237,6 +249,24 @@ def g17(spark, sf_dir):
     return joined.groupBy("c_mktsegment").agg(F.sum("n_rows").alias("n_rows"), F.sum("total").cast("decimal(38,2)").alias("total"))
 
 
+@query(
+    "g17_heavy_hitter_join",
+    "SELECT c_mktsegment, count(*) AS n_rows, count(c_custkey) AS known, sum(o_totalprice::DECIMAL(18, 2)) AS total FROM "
+    "(SELECT CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS buyer, o_totalprice FROM orders) "
+    "LEFT JOIN customer ON buyer = c_custkey GROUP BY 1",
+)
+def g17_heavy(spark, sf_dir):
+    # A third of the orders has one buyer; shards sketch their keys and only the rows of the named ones are dealt anew.
+    buyer = F.when(F.col("o_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("o_custkey")).cast("long")
+    orders = placed_orders(spark, sf_dir).select(SHARD, "o_orderkey", buyer.alias("buyer"), "price")
+    heavy = heavy_keys(heavy_sketches(orders, "buyer", [SHARD]))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    joined = spread_join(orders, customers, "buyer", "c_custkey", heavy, how="left", deal=F.col("o_orderkey"))
+    return joined.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("c_custkey").alias("known"), F.sum("price").cast("decimal(38,2)").alias("total")
+    )
+
+
 MEMBERS_SQL = """members AS (SELECT 'shard-' || (s_suppkey // 5) AS shard, s_name AS pod,
   CASE s_suppkey % 5 WHEN 0 THEN 'primary' ELSE 'replica' END AS role,
   s_acctbal > 0 AND s_suppkey // 5 % 4 <> 1 OR s_suppkey % 5 = 0 AS ready,

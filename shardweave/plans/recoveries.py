@@ -9,6 +9,8 @@ from shardweave.operators import recovery as B
 from shardweave.operators.scan import DAY, HOUR, micros
 from shardweave.plans.registry import event_width, query, table
 from shardweave.plans.reshards import CHANGES_SQL, snapshot_and_changes, state_sql
+from shardweave.sources import chain as K
+from shardweave.sources.scratch import fresh_path
 
 NOW = 1706140800 * 1_000_000  # 2024-01-25 00:00:00 UTC
 
@@ -115,6 +117,28 @@ def b06(spark, sf_dir):
     return C.state_at(snapshot, changes, "id", ["lsn"], "commit_ts", target)
 
 
+SEGMENTS = 64
+
+
+@query("b06_restore_chain", f"WITH {CHANGES_SQL}, {state_sql('commit_ts <= TIMESTAMP ' + chr(39) + '2024-01-15 12:00:00' + chr(39))}")
+def b06_chain(spark, sf_dir):
+    """A full copy, two increments and the archived log; the restore takes the first of them and a part of the log."""
+    snapshot, changes = snapshot_and_changes(spark, sf_dir)
+    target = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    marks = [F.max(F.when(F.col("commit_ts") <= F.lit(t).cast("timestamp_ntz"), F.col("lsn"))) for t in ("2024-01-08", "2024-01-20")]
+    before = F.coalesce(F.min("lsn") - 1, F.lit(0))
+    start, last, first, second = changes.agg(before, F.coalesce(F.max("lsn"), F.lit(0)), *[F.coalesce(m, before) for m in marks]).first()
+    # the latest commit time among the changes up to each position, which need not follow it
+    spans = [F.coalesce(F.max(F.when(F.col("lsn") <= p, F.col("commit_ts"))).cast("string"), F.lit("1970-01-01 00:00:00")) for p in (first, second)]
+    at = changes.agg(*spans).first()
+    chain = fresh_path(spark, "chain")
+    K.add_full(chain, snapshot, start, "1970-01-01 00:00:00")
+    K.add_increment(chain, changes, "id", "lsn", start, first, at[0])
+    K.add_increment(chain, changes, "id", "lsn", first, second, at[1])
+    K.archive_log(chain, changes, "lsn", "commit_ts", max(last // SEGMENTS, 1))
+    return K.restore(spark, chain, "id", "lsn", "commit_ts", target)
+
+
 @query("b07_backup_health", f"WITH {JOBS_SQL} SELECT cluster, phase, count(*) AS n_jobs FROM jobs GROUP BY ALL")
 def b07(spark, sf_dir):
     return B.backup_health(jobs(spark, sf_dir))

@@ -73,3 +73,15 @@ def test_replicas_take_turns(spark):
     for r in chosen.orderBy("id").collect():
         found.setdefault(r.shard, []).append(r.endpoint)
     assert found == {"s0": ["a:1", "b:1", "a:1", "b:1"], "s1": ["q:1"] * 4, "s2": [None] * 4}
+
+
+def test_distinct_partials_merge_exactly(spark):
+    values = [-(2**63) + 1, -40000, -1, 0, 1, 2, 32767, 32768, 32769, 2**62, None]
+    rows = [(f"s{i % 3}", "x" if i % 2 else None, v, None if v is None else str(v)) for i in range(5) for v in values[: 3 + 2 * i]]
+    df = spark.createDataFrame(rows, "__shard string, g string, v long, t string")
+    for column in ("v", "t"):
+        want = {r.g: r.n for r in df.groupBy("g").agg(F.count_distinct(column).alias("n")).collect()}
+        partials = G.distinct_partials(df, ["g"], column)
+        halves = partials.filter("__shard = 's0'").unionByName(partials.filter("__shard <> 's0'"))
+        assert {r.g: r.n for r in G.merge_distinct(halves, ["g"], "n").collect()} == want
+        assert G.merge_distinct(G.distinct_partials(df.limit(0), ["g"], column), ["g"], "n").collect() == []

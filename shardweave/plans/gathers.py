@@ -13,7 +13,7 @@ from shardweave.plans.oracle import murmur3_sql, quarter_shard_sql
 from shardweave.plans.placement import FOUR, ORDER_SHARDS_SQL
 from shardweave.plans.registry import event_bucket, query, table
 from shardweave.sources import layout as L
-from shardweave.sources.scratch import fresh_path
+from shardweave.sources.scratch import folder_of, fresh_path
 from shardweave.sources.topology import equal_hash_topology
 
 MONEY = "decimal(18,2)"
@@ -205,19 +205,29 @@ def g15(spark, sf_dir):
     )
 
 
-_bucketed: dict[tuple[str, str, str], str] = {}
-BUCKETS = 16
+_bucketed: dict[tuple[str, str], tuple] = {}
+BUCKET_BYTES = 128 << 20
 
 
-def bucketed(spark, sf_dir, name, key, rows):
-    """A table bucketed by its key, written once per session and folder."""
-    at = (spark.sparkContext.applicationId, sf_dir, name)
+def bucketed_pair(spark, sf_dir):
+    """Orders and lines bucketed by the order key, and the heavy keys of the lines; written once per session and folder.
+
+    Buckets grow with the lines.  The tables leave the catalogue once they are resolved; their files stay in the shared folder.
+    """
+    at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _bucketed:
-        path = fresh_path(spark, f"bucketed-{name}")
-        table_name = f"bucketed_{name}_{path[-8:]}"
-        L.write_bucketed(rows(spark, sf_dir), table_name, key, BUCKETS, path)
-        _bucketed[at] = table_name
-    return spark.table(_bucketed[at])
+        source = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
+        path, system = folder_of(spark, f"{sf_dir}/lineitem.parquet")
+        buckets = max(16, -(-system.getContentSummary(path).getLength() // BUCKET_BYTES))
+        tables = []
+        for name, key, rows in (("orders", "o_orderkey", placed_orders(spark, sf_dir)), ("lines", "l_orderkey", source)):
+            folder = fresh_path(spark, f"bucketed-{name}")
+            table_name = f"bucketed_{name}_{folder[-8:]}"
+            L.write_bucketed(rows, table_name, key, buckets, folder)
+            tables.append(spark.table(table_name))
+            spark.sql(f"DROP TABLE {table_name}")
+        _bucketed[at] = (*tables, heavy_keys(heavy_sketches(tables[1], "l_orderkey")))
+    return _bucketed[at]
 
 
 @query(
@@ -226,10 +236,9 @@ def bucketed(spark, sf_dir, name, key, rows):
     "FROM p JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL",
 )
 def g16(spark, sf_dir):
-    # Both tables lie bucketed by the order key, so bucket joins bucket and no row is shuffled.
-    orders = bucketed(spark, sf_dir, "orders", "o_orderkey", placed_orders)
-    lines = bucketed(spark, sf_dir, "lines", "l_orderkey", lambda spark, sf_dir: table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice"))
-    joined = orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    # Both tables lie bucketed by the order key, so bucket joins bucket; only rows of heavy keys are dealt anew.
+    orders, lines, heavy = bucketed_pair(spark, sf_dir)
+    joined = spread_join(lines, orders.hint("merge"), "l_orderkey", "o_orderkey", heavy)
     return joined.groupBy(SHARD, "priority").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_extendedprice").cast(MONEY)).cast("decimal(38,2)").alias("revenue")
     )

@@ -42,3 +42,19 @@ def test_a_heavy_key_meets_many_tasks(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == 20_000 and max(sizes) < 12_000
+
+
+def test_buckets_stay_where_they_lie(spark, tmp_path):
+    from shardweave.sources.layout import write_bucketed
+
+    names = [f"skew_{n}_{tmp_path.name[-4:]}".lower().replace("-", "_") for n in "ab"]
+    write_bucketed(uneven(spark, 6000), names[0], "k", 4, str(tmp_path / "a"))
+    write_bucketed(spark.range(6000).select(F.col("id").alias("r"), F.lit("v").alias("v")), names[1], "r", 4, str(tmp_path / "b"))
+    left, right = (spark.table(n) for n in names)
+    for n in names:
+        spark.sql(f"DROP TABLE {n}")
+    joined = spread_join(left, right.hint("merge"), "k", "r", {7: 2000}, rows=500)
+    assert joined.count() == left.filter("k < 6000").count()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("__part") > 0  # those of the heavy part alone
+    assert spread_join(left, right.hint("merge"), "k", "r", {})._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0

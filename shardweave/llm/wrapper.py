@@ -6,7 +6,8 @@ is the same on all aligned pages are template, the others are slots; the wrapper
 the deepest node that holds all slots and, inside an article or main part, all paragraphs and headings, and
 the constant texts beside it.  Every page of the
 host is then read through its wrapper: blocks below that node, in page order, without what the template says
-and without parts that name themselves as something else (menus, sidebars, adverts, comments, forms).
+and without parts that name themselves as something else (menus, sidebars, adverts, comments, forms).  A name
+gives way where the pages show that the part holds their articles (``misnamed``).
 
 Null and empty pages have an empty text.  A page where the wrapper's node is missing, or whose host has no
 other page, is read from its own article, main part or body.  Pages without a host share one.  Rows that
@@ -20,7 +21,7 @@ import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -51,6 +52,14 @@ BLOCKS = frozenset(
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt figcaption tr".split())
 #: Paragraphs and headings; lists and tables may be menus.
 SPEECH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+#: What articles are made of, whatever their headings.
+PARAGRAPHS = frozenset("p blockquote pre".split())
+#: A part is content against its name if it holds this many times the paragraphs of all other content.
+OVERRULED = 4
+#: Longest pattern of siblings whose repetitions are one when trees are aligned.
+PERIOD = 8
+#: Siblings of a node that are aligned in their order; the work for two nodes grows with its square.
+WIDE = 256
 #: An opening tag ends an open element of these names in the same container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 APART_TAGS = frozenset("nav aside footer form dialog button head menu search input label".split())
@@ -64,28 +73,32 @@ COMMENT_NAMES = frozenset("comment comments reply replies".split())
 
 
 class Node:
-    __slots__ = ("tag", "names", "apart", "children")
+    __slots__ = ("tag", "names", "apart", "named", "children")
 
-    def __init__(self, tag: str, names: str = "", apart: bool = False):
-        self.tag, self.names, self.apart, self.children = tag, names, apart, []
+    def __init__(self, tag: str, names: str = "", apart: bool = False, named: bool = False):
+        # apart: not content; named: by its class or id alone, which the pages of the host may overrule
+        self.tag, self.names, self.apart, self.named, self.children = tag, names, apart or named, named and not apart, []
 
     @property
     def sign(self) -> str:
         return f"{self.tag}.{self.names}" if self.names else self.tag
 
 
-def _opened(tag: str, raw: str, inside: bool) -> Node:
-    """``inside``: an article or main part is open, whose header is its own."""
+def _opened(tag: str, raw: str, inside: bool, within: str) -> Node:
+    """``inside``: an article or main part is open, whose header is its own; ``within``: the tag around this one."""
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw else {}
     words = _NAME.findall(f"{values.get('class', '')} {values.get('id', '')}".lower())
     names = " ".join(w for w in words if not w.isdigit())
-    apart = tag in APART_TAGS or (tag == "header" and not inside) or values.get("role", "").lower() in APART_ROLES
+    apart = (tag in APART_TAGS and not (tag == "label" and within in SPEECH)) or (tag == "header" and not inside)
+    apart |= values.get("role", "").lower() in APART_ROLES
+    named = False
     if tag not in ("html", "body", "main"):
-        apart |= bool((COMMENT_NAMES if tag == "article" else APART_NAMES).intersection(words))
-        apart |= "header" in words and not inside and tag in ("div", "section")
+        apart |= bool(COMMENT_NAMES.intersection(words))
+        named = tag != "article" and bool(APART_NAMES.intersection(words))
+        named |= "header" in words and not inside and tag in ("div", "section")
     apart |= values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
     apart |= bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(_ATTRIBUTE, "", raw).lower())) if "hidden" in raw.lower() else False
-    return Node(tag, names, apart)
+    return Node(tag, names, apart, named)
 
 
 def parse(page: str) -> Node:
@@ -124,7 +137,7 @@ def parse(page: str) -> Node:
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
                     break
         del within[len(stack) :]
-        node = _opened(tag, m[4], within[-1])
+        node = _opened(tag, m[4], within[-1], stack[-1].tag)
         stack[-1].children.append(node)
         if tag not in VOID and not m[4].endswith("/"):
             stack.append(node)
@@ -152,6 +165,76 @@ def _reopened(root: Node) -> None:
                 up = parents[id(up)]
 
 
+def _prose(nodes: list[Node], named: bool) -> int:
+    """Length of the paragraphs below nodes; parts set apart do not count, those set apart by name only if ``named``."""
+    total, todo = 0, [(n, False) for n in nodes]
+    while todo:
+        node, speaks = todo.pop()
+        for c in node.children:
+            if isinstance(c, str):
+                total += len(c.strip()) if speaks else 0
+            elif not c.apart or (named and c.named):
+                todo.append((c, speaks or c.tag in PARAGRAPHS))
+    return total
+
+
+def _set_apart(root: Node) -> list[Node]:
+    """The topmost parts that are apart by name alone."""
+    found, todo = [], [root]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node):
+                if c.named and c.apart:
+                    found.append(c)
+                elif not c.apart:
+                    todo.append(c)
+    return found
+
+
+def _reopen(root: Node, signs: Collection[str]) -> None:
+    todo = [root]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node):
+                if c.named and c.sign in signs:
+                    c.apart = False
+                todo.append(c)
+
+
+def misnamed(roots: list[Node]) -> list[str]:
+    """Signs of parts whose names set them apart although they hold the host's articles; they are reopened in ``roots``.
+
+    A name gives way where the part holds ``OVERRULED`` times the paragraphs that all other content of these pages
+    has, and differs from page to page.  Parts of readers' comments stay apart.
+    """
+    signs: list[str] = []
+    while True:
+        rest = sum(_prose([r], False) for r in roots)
+        held: dict[str, int] = {}
+        texts: dict[str, set[str]] = {}
+        for root in roots:
+            for node in _set_apart(root):
+                held[node.sign] = held.get(node.sign, 0) + _prose([node], True)
+                texts.setdefault(node.sign, set()).add("\n".join(_said(node)))
+        best = max(sorted(held), key=lambda s: held[s], default=None)
+        if best is None or held[best] <= OVERRULED * rest or (len(roots) > 1 and len(texts[best]) < 2):
+            return signs
+        signs.append(best)
+        for root in roots:
+            _reopen(root, (best,))
+
+
+def _said(node: Node) -> list[str]:
+    out, todo = [], [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                todo.append(c)
+    return out
+
+
 class Shape:
     """A folded tree: runs of like siblings are one node with all their texts."""
 
@@ -163,7 +246,18 @@ class Shape:
         self.pages, self.constant = 1, True
 
 
+def _repeated(runs: list[list[Node]]) -> None:
+    """Joins the last siblings to those before if both show the same pattern of signs."""
+    for period in range(1, min(PERIOD, len(runs) // 2) + 1):
+        if all(runs[-k][0].sign == runs[-k - period][0].sign for k in range(1, period + 1)):
+            for k in range(1, period + 1):
+                runs[-k - period] += runs[-k]
+            del runs[-period:]
+            return
+
+
 def fold(nodes: list[Node]) -> Shape:
+    """A pattern of siblings that is repeated at once is one; of more than ``WIDE`` that remain, those of a sign are."""
     top = Shape(nodes[0].sign, nodes[0].tag, "", [])
     order = [(top, nodes)]
     for shape, alike in order:
@@ -173,10 +267,13 @@ def fold(nodes: list[Node]) -> Shape:
                 if isinstance(c, str):
                     own.append(c)
                 elif not c.apart:
-                    if runs and runs[-1][0].sign == c.sign:
-                        runs[-1].append(c)
-                    else:
-                        runs.append([c])
+                    runs.append([c])
+                    _repeated(runs)
+        if len(runs) > WIDE:
+            kinds: dict[str, list[Node]] = {}
+            for run in runs:
+                kinds.setdefault(run[0].sign, []).extend(run)
+            runs = list(kinds.values())
         shape.text = " ".join(" ".join(own).split())
         shape.children = [Shape(r[0].sign, r[0].tag, "", []) for r in runs]
         order += zip(shape.children, runs)
@@ -253,9 +350,11 @@ def _speech(top: Shape) -> dict[int, int]:
 
 def induce(pages: list[str]) -> dict:
     """The wrapper of a host: the path to the content and the texts that are the same on all pages."""
-    shapes = [fold([parse(p)]) for p in pages]
-    if len(shapes) < 2:
-        return {"path": [], "constant": []}
+    roots = [parse(p) for p in pages]
+    opened = misnamed(roots)
+    if len(roots) < 2:
+        return {"path": [], "constant": [], "opened": opened}
+    shapes = [fold([r]) for r in roots]
     template = max(shapes, key=lambda s: s.mass)
     varying: dict[int, int] = {}
     for other in shapes:
@@ -300,7 +399,7 @@ def induce(pages: list[str]) -> dict:
             place[id(c)] = _below(place[id(s)], c.sign)
         if s.constant and s.pages == len(shapes) and s.text and s.tag in BLOCKS and s.tag not in PROSE:
             constant.append(f"{place[id(s)]}\t{s.text}")
-    return {"path": path, "constant": constant}
+    return {"path": path, "constant": constant, "opened": opened}
 
 
 def _at(root: Node, path: list[str]) -> list[Node]:
@@ -375,6 +474,10 @@ def blocks(nodes: list[Node], where: str, constant: frozenset[str]) -> list[str]
 def read(page: str, wrapper: dict) -> str:
     """Main text of a page through its host's wrapper."""
     root = parse(page)
+    if "opened" in wrapper:
+        _reopen(root, wrapper["opened"])
+    else:
+        misnamed([root])
     path = wrapper["path"]
     nodes = _at(root, path) if path else []
     if nodes:

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from shardweave.llm import wrapper
 
 PAGE = (
@@ -76,3 +80,47 @@ def test_copies_of_pages_do_not_hide_the_wrapper(spark):
     (learned,) = wrapper.wrappers(pages).collect()
     (alone,) = wrapper.wrappers(pages.where("page_id < 60")).collect()
     assert learned == alone and "div.content" in learned.wrapper
+
+
+NAMES = ["content", "content widget", "social-post", "post related-story", "alert story", "page-header body-text", "ad-free", "menu-item recipe", "login"]
+
+
+def named(name, k):
+    """A page whose article is named, beside parts that are what their names say, and what its text is."""
+    paragraphs = [f"words {k} {i} " * 9 for i in range(4)]
+    said = "<div class='comments'>" + f"<p>reader {k}</p>" * 99 + "</div>"
+    page = (
+        f"<body><nav>menu</nav><div class='promo'><p>buy {k}</p></div><div class='{name}'><h1>T{k}</h1>"
+        + "".join(f"<p>{p}</p>" for p in paragraphs) + f"</div>{said}<div class='sidebar'><p>side {k}</p></div></body>"
+    )
+    return page, "\n".join([f"T{k}", *[" ".join(p.split()) for p in paragraphs]])
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_do_not_decide_alone(name):
+    pages = [named(name, k) for k in range(5)]
+    learned = wrapper.induce([p for p, _ in pages])
+    assert [wrapper.read(p, learned) for p, _ in pages] == [text for _, text in pages]
+    assert wrapper.read(pages[0][0], {"path": [], "constant": []}) == pages[0][1]  # a page of its own
+    # a long part of the same name stays apart where there is an article beside it
+    beside = [p.replace(f"class='{name}'", "class='x'").replace("class='promo'", f"class='{name} promo'") for p, _ in pages]
+    assert [wrapper.read(p, wrapper.induce(beside)) for p in beside] == [text for _, text in pages]
+
+
+def test_a_part_that_never_changes_keeps_its_name():
+    pages = [f"<body><div class='notice'><p>{'the same on all pages ' * 20}</p></div><div><p>item {k}</p></div>" for k in range(4)]
+    assert wrapper.read(pages[2], wrapper.induce(pages)) == "item 2"
+
+
+def test_labels_in_paragraphs_stay():
+    lone = {"path": [], "constant": []}
+    assert wrapper.read("<body><p>a <label>b</label> c</p><label>form</label>", lone) == "a b c"
+
+
+def test_wide_pages():
+    for block in ("<h3>h {i} {k}</h3><p>text {i} {k}</p>", "<div class='q'>h {i} {k}</div><div class='a'>text {i} {k}</div>", "<p>text {i} {k}</p>"):
+        pages = ["<body>" + "".join(block.format(i=i, k=k) for i in range(6000)) for k in (1, 2)]
+        start = time.monotonic()
+        lines = wrapper.read(pages[0], wrapper.induce(pages)).split("\n")
+        assert time.monotonic() - start < 20
+        assert lines == [f"{w} {i} 1" for i in range(6000) for w in ("h", "text") if w == "text" or "h {i}" in block]

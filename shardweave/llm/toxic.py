@@ -5,8 +5,9 @@ toxic unless every one of its sentences is clean: ``p = 1 - prod(1 - p_s)``.  On
 the likelihood of the documents trains the sentence scores, which then also say where the offence is.
 
 The model is fitted on at most about ``SAMPLE`` labelled documents, chosen by a hash of their ids; texts that
-occur several times there count once.  Every document is scored on its whole text.  Null and empty texts have
-no sentence and score 0.  Without labels of both kinds every score is 0.
+occur several times there count once, with the label most of them have (1 if even).  Features are at most
+``FEATURES``, those most associated with the label.  Every document is scored on its whole text.  Null and empty
+texts have no sentence and score 0.  Without labels of both kinds every score is 0.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from shardweave.llm.shared import crc_mod, pieces, share_filter, stored
 
 #: Bound of the labelled documents that the model is fitted on.
 SAMPLE = 20_000
-#: Bound of the vocabulary, and the association with the label (chi squared) a feature needs.
+#: Bound of the vocabulary, and the association with the label (chi squared) a feature needs among many texts.
+#: Among n texts it needs CHI2 * n / (n + CHI2), since chi squared is at most n.
 FEATURES = 3000
 CHI2 = 30.0
 FOLDS, HELD_OUT = 5, 0
@@ -35,6 +37,12 @@ _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def lowered(text: str) -> str:
+    """Lower case letter by letter: places stay; a letter whose lower case is longer stays as it is."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(low if len(low := c.lower()) == 1 else c for c in text)
+
+
 def sentences(text: str) -> Iterator[tuple[int, int]]:
     """Begin and end of each sentence: up to and with a run of full stops, marks or line ends."""
     for m in _SENTENCE.finditer(text):
@@ -63,8 +71,7 @@ class Model:
     def hazards(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """-log of the chance that the text is clean, and (begin, end, score) of sentences with a known feature."""
         total, marked = 0.0, []
-        lower = text.lower()
-        whole = lower if len(lower) == len(text) else text  # a few letters change length in lower case
+        whole = lowered(text)
         quiet = float(np.logaddexp(0, self.bias))
         heads = self.heads
         count = 0
@@ -111,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
     known = share_filter(stored(known, "toxic-labels"), SAMPLE, "doc_id")
     # about SAMPLE narrow rows: bounded whatever the corpus
     rows = docs.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(known), "doc_id")
-    rows = stored(rows.dropDuplicates(["text"]).select("text", "y"), "toxic-sample")
+    rows = stored(rows.groupBy("text").agg((F.avg("y") >= 0.5).cast("int").alias("y")), "toxic-sample")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     positive, negative = totals.get(1, 0), totals.get(0, 0)
     if not positive or not negative:
@@ -121,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
         for batch in pieces(batches):
             counts: dict[str, list[int]] = {}
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                for f in features(_WORD.findall(text.lower())):
+                for f in features(_WORD.findall(lowered(text))):
                     counts.setdefault(f, [0, 0])[y] += 1
             names = [pa.array(list(counts), pa.string()), *[pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1)]]
             yield pa.RecordBatch.from_arrays(names, ["feature", "clean", "toxic"])
@@ -129,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
     counts = rows.mapInArrow(present, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     n, a, b = positive + negative, F.col("t"), F.col("c")
     chi2 = n * (a * negative - b * positive) ** 2 / ((a + b) * (n - a - b) * float(positive) * negative)
-    chosen = counts.where(a + b >= 3).where(a + b < n).withColumn("chi2", chi2).where(f"chi2 > {CHI2}")
+    chosen = counts.where(a + b >= 3).where(a + b < n).withColumn("chi2", chi2).where(F.col("chi2") > CHI2 * n / (n + CHI2))
     names = [r["feature"] for r in chosen.orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()]
     if not names:
         return Model()
@@ -140,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
         for batch in pieces(batches):
             out = []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                lower, count, known = text.lower(), 0, []
+                lower, count, known = lowered(text), 0, []
                 for s, e in sentences(lower):
                     count += 1
                     hits = [w for w in _WORD.findall(lower, s, e) if w[:4] in heads]

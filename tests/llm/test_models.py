@@ -149,3 +149,48 @@ def test_language_odd_rows(spark, tables):
     none = language.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in language.languages(odd.docs(spark), none).collect()} == {"und"}
     assert language.languages(odd.docs(spark, []), model).collect() == []
+
+
+def test_noisy_or_fit_is_a_local_optimum():
+    draw = random.Random(3)
+    bags = []
+    for i in range(80):
+        label, known = i % 2, [[draw.randrange(1, 4)] for _ in range(draw.randrange(3))]
+        bags.append((label, len(known) + 2, known + ([[0, draw.randrange(1, 4)]] if label and draw.random() < 0.8 else [])))
+    bags = [(y, max(n, len(k)), k) for y, n, k in bags]
+
+    def loss(w, bias):
+        total = toxic.PENALTY * sum(x * x for x in w) / 2
+        for y, n, known in bags:
+            clean = np.prod([1 - 1 / (1 + np.exp(-bias - sum(w[f] for f in fs))) for fs in known] + [1 - 1 / (1 + np.exp(-bias))] * (n - len(known)))
+            total -= np.log(1 - clean) if y else np.log(clean)
+        return total
+
+    w, bias = toxic._fit(bags, 4)
+    best = loss(w, bias)
+    for k in range(5):
+        for step in (-0.3, 0.3):
+            moved = np.append(w, bias)
+            moved[k] += step
+            assert loss(moved[:4], moved[4]) > best
+
+
+def test_scores_are_the_noisy_or_of_sentences():
+    model = toxic.Model({"idiot": 6.0, "idio|": 1.0, "fine": -1.0}, -5.0)
+    for text in ("You IDIOT. fine day. nothing here!", "İ You IDIOT. fine day. nothing here!", "aİb idiots.\nIDIOT", "", "..."):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        clean = 1.0
+        for a, b in toxic.sentences(low):
+            words = set(toxic._WORD.findall(low[a:b]))
+            z = -5.0 + sum(model.weights.get(f, 0.0) for f in words | {w[:n] + "|" for w in words for n in (4, 5, 6) if len(w) > n})
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(-np.expm1(-model.hazards(text)[0]) - (1 - clean)) < 1e-9
+
+
+def test_few_labels_and_equal_texts_of_both_labels(spark):
+    texts = ["you moron here", "a nice day", "a nice day"] * 8 + ["torn text"] * 3
+    rows = [(i, f"{t} {i}" if i < 24 else t, "en", "s", 0, *[None] * 10) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, 1, int("moron" in t or i in (24, 25)), "x") for i, t in enumerate(texts)], "doc_id long, quality int, toxic int, y string")
+    model = toxic.fit(odd.docs(spark, rows), labels, folds=5, held_out=7)
+    assert model.hazards("such a moron")[0] > model.hazards("such a nice day")[0]
+    assert model.weights == toxic.fit(odd.docs(spark, rows).repartition(7), labels, folds=5, held_out=7).weights

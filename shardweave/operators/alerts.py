@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardweave.operators.held import alert_state, with_held_since
-from shardweave.operators.scan import MICROS, MINUTE, bucket_of, ordered_scan, trailing_sum
+from shardweave.operators.scan import MICROS, MINUTE, bucket_of, dense_keys, ordered_scan, trailing_sum
 
 LOOK_BACK = 5 * MINUTE
 EVERY = 30 * MICROS
@@ -39,7 +39,8 @@ def counter_rate(
 ) -> DataFrame:
     """Append ``rate``: growth per second over the trailing window."""
     grown = with_growth(samples, series, at, tie, value, bucket_of(at, width))
-    summed = trailing_sum(grown, series, at, window, F.col("growth"), "__sum", width)
+    dense = dense_keys(samples, series, at, window)
+    summed = trailing_sum(grown, series, at, window, F.col("growth"), "__sum", width, dense)
     return summed.withColumn("rate", F.col("__sum") / F.lit(window / MICROS)).drop("__sum", "growth")
 
 

@@ -23,6 +23,8 @@ HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 _STRETCHES = 4096
 MAX_HOT = 10_000
+#: Rows of a key, and of a key within one window's length, up to which a plain range frame sums them.
+HOT_ROWS, FRAME_ROWS = 1_000_000, 1000
 
 
 def micros(ts: Column | str) -> Column:
@@ -53,19 +55,33 @@ def even_width(df: DataFrame, order: str, rows_per_bucket: int = 1_000_000, long
     return max(1, min(longest, stretch * rows_per_bucket // fullest))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], bucket: Column, hot_rows: int = 1_000_000) -> Column:
+def _is_one_of(counts: DataFrame, keys: Sequence[str]) -> Column:
+    """Whether a row's key is one of the keys of ``counts``; always true beyond ``MAX_HOT`` of them."""
+    hot = [r[0] for r in counts.select(F.xxhash64(*keys)).limit(MAX_HOT + 1).collect()]
+    if len(hot) > MAX_HOT:
+        return F.lit(True)
+    return F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+
+
+def dense_keys(df: DataFrame, keys: Sequence[str], at: str, window: int) -> Column:
+    """Whether a row's key has more than ``HOT_ROWS`` rows, or more than ``FRAME_ROWS`` within one window's length.
+
+    A frame of ``window`` covers at most two stretches of that length, so other keys have small frames.
+    """
+    stretches = df.groupBy(*keys, bucket_of(at, max(window, 1)).alias("__stretch")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = stretches.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.max("__n").alias("__most"))
+    return _is_one_of(counts.filter((F.col("__n") > HOT_ROWS) | (F.col("__most") > FRAME_ROWS)), keys)
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], bucket: Column, hot_rows: int = HOT_ROWS) -> Column:
     """``bucket`` for keys with more than ``hot_rows`` rows, one bucket for every other key.
 
     Runs one count per key, combined before its shuffle.  Only hashes of hot keys come to the
     driver, at most ``MAX_HOT`` of them; with more hot keys than that all keys are bucketed.
     A key that shares its hash with a hot one is bucketed too, which changes no result.
     """
-    counts = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-    hot = [r[0] for r in counts.select(F.xxhash64(*keys)).limit(MAX_HOT + 1).collect()]
-    if len(hot) > MAX_HOT:
-        return bucket
-    whole = F.lit(0).cast("long")
-    return F.when(F.xxhash64(*keys).isin(hot), bucket).otherwise(whole) if hot else whole
+    hot = _is_one_of(df.groupBy(*keys).count().filter(F.col("count") > hot_rows), keys)
+    return F.when(hot, bucket).otherwise(F.lit(0).cast("long"))
 
 
 def scan_ready(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
@@ -163,17 +179,30 @@ def ordered_scan(
 
 
 def trailing_sum(
-    df: DataFrame, keys: Sequence[str], at: str, window: int, value: Column, out: str, width: int | None = None
+    df: DataFrame, keys: Sequence[str], at: str, window: int, value: Column, out: str, width: int | None = None, dense: Column | None = None
 ) -> DataFrame:
     """Append the sum of ``value`` over the rows of the key in ``[at - window, at]``; NULL adds nothing.
 
-    A value enters a running sum at its time and leaves it after ``window``, so the sum is one
-    ordered scan however many rows a window holds, and a window may be longer than a bucket.
+    Keys with few rows in a window are summed by a range frame.  Those that ``dense`` names (``dense_keys`` of
+    ``df`` by default) go through one ordered scan however many rows a window holds: a value enters a running
+    sum at its time and leaves it after ``window``, and a window may be longer than a bucket.
     Floating values are summed as DECIMAL, because what enters must leave without a trace.
     """
+    if dense is None:
+        dense = dense_keys(df, keys, at, window)
     valued = df.withColumn("__value", value)
     kind = valued.schema["__value"].dataType
-    added = F.col("__value").cast("decimal(38,10)") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("__value")
+    floating = isinstance(kind, (T.FloatType, T.DoubleType))
+    added = F.col("__value").cast("decimal(38,10)") if floating else F.col("__value")
+
+    def summed(total: Column) -> Column:
+        whole = F.coalesce(total, F.lit(0))
+        return (whole.cast(kind) if floating else whole).alias(out)
+
+    frame = Window.partitionBy(*keys).orderBy(at).rangeBetween(-window, 0)
+    sparse = valued.filter(~dense).select(*df.columns, summed(F.sum(added).over(frame)))
+
+    valued = valued.filter(dense)
     own = F.struct(*df.columns)
     none = F.lit(None).cast(df.select(own.alias("r")).schema["r"].dataType)
 
@@ -185,8 +214,7 @@ def trailing_sum(
     rows = events(F.col(at), 0, added, none).unionByName(events(F.col(at), 1, added - added, own))
     rows = rows.unionByName(events(F.col(at) + F.lit(window), 2, -added, none))
     scanned = ordered_scan(rows, keys, ["__at", "__side", "__id"], bucket_of("__at", width or 8 * window), sums={out: F.col("__add")})
-    total = F.coalesce(F.col(out), F.lit(0))
-    return scanned.filter("__side = 1").select("__row.*", (total.cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else total).alias(out))
+    return sparse.unionByName(scanned.filter("__side = 1").select("__row.*", summed(F.col(out))))
 
 
 def as_of_join(

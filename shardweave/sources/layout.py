@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardweave.operators.placement import SHARD, find_column, resolve_key
-from shardweave.sources.scratch import folder_of
+from shardweave.sources.scratch import folder_of, fresh_path
 from shardweave.sources.topology import Topology, read_topology
 
 #: Shards that are tried at the same time.
@@ -134,15 +134,19 @@ def read_jdbc_shard(spark: SparkSession, url: str, name: str, column: str, lower
 def read_best_effort(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(rows of the shards that can be read, failed shards with their error).
 
-    Every shard is read to its end once, a few at a time, to learn whether it fails while it is
-    read; the rows of the good ones are then read in one job.  A shard whose columns differ
-    from the first good one's has failed too.  All failed is an error.
+    Every shard is read once, a few at a time, into a table of its own in the shared folder, because
+    only at its end is it known that it did not fail.  The rows are those of the tables that were
+    finished, so a shard that breaks later changes nothing.  A shard whose columns differ from the
+    first good one's has failed too.  All failed is an error.
     """
+    kept = fresh_path(spark, "best-effort")
 
-    def attempt(path: str) -> tuple[DataFrame | None, str | None]:
+    def attempt(shard: str) -> tuple[DataFrame | None, str | None]:
         try:
-            rows = spark.read.parquet(path)
-            rows.write.format("noop").mode("overwrite").save()
+            rows = spark.read.parquet(paths[shard])
+            own = f"{kept}/{list(paths).index(shard)}"
+            rows.write.parquet(own)
+            rows = spark.read.schema(rows.schema).parquet(own)
         except AnalysisException as error:
             return None, error.getCondition() or "UNREADABLE"
         except PySparkException as error:
@@ -152,7 +156,7 @@ def read_best_effort(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFr
         return rows, None
 
     with ThreadPoolExecutor(PARALLEL_SHARDS) as pool:
-        tried = dict(zip(paths, pool.map(attempt, paths.values()), strict=True))
+        tried = dict(zip(paths, pool.map(attempt, paths), strict=True))
     rows, failed = None, []
     for shard, (found, error) in tried.items():
         if found is not None and rows is not None and dict(found.dtypes) != {k: v for k, v in rows.dtypes if k != SHARD}:

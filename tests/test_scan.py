@@ -79,6 +79,19 @@ def test_trailing_sum_equals_plain_loop(spark, window):
     assert len(got) == len(data)
 
 
+@pytest.mark.parametrize(("rows_of_key", "rows_in_window"), [(0, 0), (60, 1000), (10**6, 3)])
+def test_trailing_sum_of_dense_and_sparse_keys(spark, monkeypatch, rows_of_key, rows_in_window):
+    monkeypatch.setattr(S, "HOT_ROWS", rows_of_key)
+    monkeypatch.setattr(S, "FRAME_ROWS", rows_in_window)
+    data = [*rows(30), *[("few", at, at, 1) for at in (0, 30, 31, 62)], *[("ties", 5, k, k) for k in range(9)], ("few", None, 0, 7), (None, 3, 0, 2)]
+    df = spark.createDataFrame([(k, at, seq, None if v is None else v / 4) for k, at, seq, v in data], "k string, at long, seq long, v double")
+    got = S.trailing_sum(df, ["k"], "at", 30, F.col("v"), "total", 40).collect()
+    for r in got:
+        near = [v or 0 for k, at, _, v in data if k == r.k and (at is None if r.at is None else at is not None and r.at - 30 <= at <= r.at)]
+        assert r.total == sum(near) / 4
+    assert len(got) == len(data)
+
+
 def test_as_of_join_equals_bisection(spark):
     left = [(k, at, seq) for k, at, seq, _ in rows(1)]
     right = [(k, at, seq, f"{k}/{at}/{seq}") for k, at, seq, _ in rows(2, 150)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardweave.operators.held import alert_state, with_held_since
@@ -29,18 +29,27 @@ def label_matches(label: Column, pattern: str) -> Column:
 def with_growth(samples: DataFrame, series: Sequence[str], at: str, tie: str, value: str, bucket: Column) -> DataFrame:
     """Append ``growth`` since the previous sample; a drop is a reset and counts from 0."""
     chained = ordered_scan(samples, series, [at, tie], bucket, previous={"__before": F.col(value)})
-    before = F.col("__before")
-    growth = F.when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    return chained.withColumn("growth", growth).drop("__before")
+    return chained.withColumn("growth", _growth(F.col("__before"), value)).drop("__before")
+
+
+def _growth(before: Column, value: str) -> Column:
+    return F.when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
 
 
 def counter_rate(
     samples: DataFrame, series: Sequence[str], at: str, tie: str, value: str, width: int, window: int = LOOK_BACK
 ) -> DataFrame:
-    """Append ``rate``: growth per second over the trailing window."""
-    grown = with_growth(samples, series, at, tie, value, bucket_of(at, width))
+    """Append ``rate``: growth per second over the trailing window.
+
+    Series with few samples in a window need one shuffle; dense ones are scanned in buckets.
+    """
     dense = dense_keys(samples, series, at, window)
-    summed = trailing_sum(grown, series, at, window, F.col("growth"), "__sum", width, dense)
+    before = F.lag(value).over(Window.partitionBy(*series).orderBy(at, tie))
+    sparse = samples.filter(~dense).withColumn("growth", _growth(before, value))
+    chained = with_growth(samples.filter(dense), series, at, tie, value, bucket_of(at, width))
+    summed = trailing_sum(sparse, series, at, window, F.col("growth"), "__sum", width, F.lit(False)).unionByName(
+        trailing_sum(chained, series, at, window, F.col("growth"), "__sum", width, F.lit(True))
+    )
     return summed.withColumn("rate", F.col("__sum") / F.lit(window / MICROS)).drop("__sum", "growth")
 
 

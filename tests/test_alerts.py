@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from shardweave.operators import alerts as R
 from shardweave.operators import autosplit as A
 from shardweave.operators import recovery as B
+from shardweave.operators import scan
 from shardweave.operators.scan import MICROS, MINUTE
 
 
-def test_rate_counts_resets(spark):
+@pytest.mark.parametrize("in_window", [0, 1000])
+def test_rate_counts_resets(spark, monkeypatch, in_window):
+    monkeypatch.setattr(scan, "FRAME_ROWS", in_window)
     rows = [("a", 0, 10), ("a", 60, 40), ("a", 120, 5), ("a", 400, 25), ("b", 0, 7)]
     df = spark.createDataFrame([(k, s * MICROS, i, v) for i, (k, s, v) in enumerate(rows)], "k string, at long, seq long, v long")
     for width in (MINUTE, 60 * MINUTE):

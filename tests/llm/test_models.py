@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import odd
@@ -135,6 +136,47 @@ def test_bloom_filters_return_every_language_of_a_gram():
     assert np.delete(hits, [0, 69]).max() < 60
 
 
+def plain_grams(text):
+    """Every 3- and 5-gram of the lower-cased bytes whose inner bytes are letters; other ASCII counts as a space."""
+    data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode())
+    for size in (3, 5):
+        for k in range(len(data) - size + 1):
+            if 32 not in data[k + 1 : k + size - 1]:
+                yield data[k : k + size]
+
+
+def test_predictions_equal_plain_sets_of_grams(spark, tables, monkeypatch):
+    monkeypatch.setattr(language, "GRAMS", 10**9)
+    docs = tables[0].where("doc_id < 400")  # a small fixture for plain Python
+    data = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    counts = {}
+    for i, text, lang in data:
+        if text and lang and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    counts = {lang: {g: n for g, n in c.items() if n > 1} for lang, c in counts.items()}
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    peak = {}
+    for r in rates.values():
+        for g, x in r.items():
+            peak[g] = max(peak.get(g, 0), x)
+    sets = {lang: {g for g, x in r.items() if x >= language.SHARE * peak[g]} for lang, r in rates.items()}
+    got = {r.doc_id: r for r in language.languages(docs, language.fit(docs)).collect()}
+    compared = 0
+    for i, text, _ in data:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i].lang_pred == "und"
+            continue
+        own = list(plain_grams(text))
+        hits = sorted(((sum(g in s for g in own), lang) for lang, s in sets.items()), reverse=True)
+        best, second = hits[0][0], hits[1][0]
+        assert abs(got[i].score - best / max(best + second, 1)) < 0.02
+        # the filter's false hits can only turn what is nearly even
+        if best > 1.1 * second:
+            compared += 1
+            assert got[i].lang_pred == hits[0][1]
+    assert compared > 0.9 * len(data)
+
+
 def test_language_odd_rows(spark, tables):
     docs, _ = tables
     model = language.fit(docs)

@@ -17,6 +17,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from shardweave.llm.shared import pieces, stored
 
 CAPACITY = 2048
 END = 0
-#: Distinct words, and distinct strings between white space, whose ids a worker remembers.
+#: Strings between white space whose ids a worker remembers, and those it remembers to have met.
 REMEMBERED = 300_000
 #: Bytes of ids of whole texts that a worker remembers.
 TEXT_BYTES = 64 << 20
@@ -46,7 +47,7 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by a tokenizer file of the words-with-ends kind."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -56,8 +57,14 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             ends[i] = token.endswith("</w>")
         self.ends = ends
-        self.words: dict[str, bytes] = {}
+        # encodes words cut here, without the rules that cut them again
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        # ids of strings met in several calls, and the strings met in one: most are never met again
         self.chunks: dict[str, bytes] = {}
+        self.once: set[str] = set()
         # ids of whole texts, by 128-bit hash: copies are encoded once by a worker
         self.texts: dict[bytes, bytes] = {}
         self.held = 0
@@ -65,25 +72,23 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes many words at once; a word's ids end with the one that closes words."""
-        for start in range(0, len(words), 500):
-            some = words[start : start + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(some) and cut[-1] == len(ids):
-                raw, a = ids.tobytes(), 0
-                for word, b in zip(some, (cut * 4).tolist(), strict=True):
-                    self.words[word] = raw[a:b]
-                    a = b
+    def _cut(self, chunks: list[str]) -> list[bytes]:
+        """Ids of strings between white space, some at once; a word's ids end with the one that closes words."""
+        out: list[bytes] = []
+        for start in range(0, len(chunks), 50):
+            some = chunks[start : start + 50]
+            words = [_WORD.findall(c) for c in some]
+            text = " ".join(chain.from_iterable(words))
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cut, last = np.flatnonzero(self.ends[ids]) * 4 + 4, np.cumsum([len(w) for w in words])
+            if len(cut) == last[-1] and cut[-1] == len(ids) * 4:
+                raw, at = ids.tobytes(), cut[last - 1].tolist()
+                out += [raw[a:b] for a, b in zip([0, *at], at)]
             else:
-                self.words.update((word, self._whole(word)) for word in some)
+                out += map(self._whole, some)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
         if self.held > TEXT_BYTES:
             self.texts.clear()
             self.held = 0
@@ -96,11 +101,32 @@ class Encoder:
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         split = [t.lower().split() if _PLAIN.fullmatch(t) and not self.special.search(t) else None for t in texts]
-        new = {c: _WORD.findall(c) for c in set().union(*[w for w in split if w is not None]).difference(self.chunks)}
-        self._learn(list(set().union(*new.values()).difference(self.words)))
-        word, chunk = self.words.__getitem__, self.chunks.__getitem__
-        self.chunks.update((c, b"".join(map(word, w))) for c, w in new.items())
-        return [b"".join(map(chunk, w)) if w is not None else self._whole(t) for t, w in zip(texts, split, strict=True)]
+        flat = list(chain.from_iterable(w for w in split if w is not None))
+        ids = list(map(self.chunks.get, flat))
+        gaps = [i for i, known in enumerate(ids) if known is None]
+        new = list(dict.fromkeys([flat[i] for i in gaps]))
+        found = dict(zip(new, self._cut(new), strict=True))
+        for i in gaps:
+            ids[i] = found[flat[i]]
+        self._remember(found)
+        out, at = [], 0
+        for text, w in zip(texts, split, strict=True):
+            if w is None:
+                out.append(self._whole(text))
+            else:
+                out.append(b"".join(ids[at : at + len(w)]))
+                at += len(w)
+        return out
+
+    def _remember(self, found: dict[str, bytes]) -> None:
+        again = self.once.intersection(found)
+        if len(self.chunks) + len(again) > REMEMBERED:
+            self.chunks.clear()
+        self.chunks.update((c, found[c]) for c in again)
+        self.once -= again
+        if len(self.once) > REMEMBERED:
+            self.once.clear()
+        self.once.update(found.keys() - again)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -29,6 +29,17 @@ def best_fit(items, capacity):
     return len(rooms)
 
 
+def test_words_met_again_stay_remembered_among_many_met_once(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    encoder, common = packing.Encoder(PATH), "the same few words, again."
+    for k in range(30):
+        texts = [common + "".join(f" rare{k}x{i}" for i in range(9)), f"  {k} it's\tÉté{k}... naïve"]
+        expected = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder.encode(texts) == expected
+    assert set(common.split()) <= set(encoder.chunks)
+    assert not any(c.startswith("rare") for c in encoder.chunks)
+
+
 def test_plan_places_every_piece_once():
     draw = random.Random(3)
     for _ in range(120):

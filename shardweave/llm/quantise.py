@@ -8,7 +8,8 @@ code word) distances per subspace; a member stays a candidate while that sum, le
 quantisation error, is within r.  Both tests are bounds, so no link is lost, and candidates are reranked by
 the exact cosine.
 
-Equal vectors of one label are one class.  Lists are cut into chunks of bounded size, every chunk of queries
+How many lists a label is dealt to follows its own size, in powers of two: labels of about one size share centroids
+and code books.  Equal vectors of one label are one class.  Lists are cut into chunks of bounded size, every chunk of queries
 meeting every chunk of members, so a dense group is many tasks; links are counted there and only the edges
 that join components leave a task.  Centroids and code books are fitted on a bounded sample.
 
@@ -67,16 +68,24 @@ class Codebook:
         return total
 
 
-def _deal(rows: DataFrame, books: dict[int, Codebook], radius: float) -> DataFrame:
+def _lists(classes: DataFrame) -> DataFrame:
+    """The classes with the number of lists of their label."""
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size"))
+    power = F.floor(F.log2(F.greatest(F.col("size") / LIST_SIZE, F.lit(1.0))))
+    lists = F.least(F.pow(F.lit(2.0), power), F.lit(float(MOST_LISTS))).cast("int").alias("lists")
+    return classes.join(sizes.select("label", "dim", lists), ["label", "dim"])
+
+
+def _deal(rows: DataFrame, books: dict[tuple[int, int], Codebook], radius: float) -> DataFrame:
     """A row for each list that a class is a member of or is looked up in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = np.asarray(pa.compute.list_value_length(batch.column("embedding")))
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                book = books[int(dim)]
-                x = unit(matrix(part.column("embedding"), int(dim)))
+            kinds = np.stack([np.asarray(batch.column(c)) for c in ("dim", "lists")], 1)
+            for dim, n in np.unique(kinds, axis=0).tolist():
+                part = batch.filter(pa.array((kinds == (dim, n)).all(1)))
+                book = books[dim, n]
+                x = unit(matrix(part.column("embedding"), dim))
                 own = nearest(x, book.centres)
                 square = np.einsum("ij,ij->i", book.centres, book.centres)
                 far = square[None] - 2 * x @ book.centres.T
@@ -87,17 +96,17 @@ def _deal(rows: DataFrame, books: dict[int, Codebook], radius: float) -> DataFra
                 i, where = np.nonzero(asks)
                 take = pa.array(i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c).take(take) for c in ("label", "cls", "n", "embedding")]
-                    + [pa.array(np.full(len(i), dim, np.int32)), pa.array(where.astype(np.int32)), pa.array(own[i] == where)],
-                    ["label", "cls", "n", "embedding", "dim", "list", "member"],
+                    [part.column(c).take(take) for c in ("label", "cls", "n", "embedding", "dim", "lists")]
+                    + [pa.array(where.astype(np.int32)), pa.array(own[i] == where)],
+                    ["label", "cls", "n", "embedding", "dim", "lists", "list", "member"],
                 )
 
     kind = rows.schema["embedding"].dataType.simpleString()
     label = rows.schema["label"].dataType.simpleString()
-    return rows.mapInArrow(run, f"label {label}, cls long, n long, embedding {kind}, dim int, list int, member boolean")
+    return rows.mapInArrow(run, f"label {label}, cls long, n long, embedding {kind}, dim int, lists int, list int, member boolean")
 
 
-def _links(tasks: DataFrame, books: dict[int, Codebook], least: float, radius: float) -> DataFrame:
+def _links(tasks: DataFrame, books: dict[tuple[int, int], Codebook], least: float, radius: float) -> DataFrame:
     """(a, n, b): links counted for class a, and edges a - b that join components."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +114,7 @@ def _links(tasks: DataFrame, books: dict[int, Codebook], least: float, radius: f
         members, queries = group[group["side"] == 1], group[group["side"] == 0]
         if not len(members) or not len(queries):
             return none
-        book = books[int(group["dim"].iloc[0])]
+        book = books[int(group["dim"].iloc[0]), int(group["lists"].iloc[0])]
         centre = book.centres[int(group["list"].iloc[0])]
         y, x = (np.stack(p["embedding"].to_numpy()).astype(np.float64) for p in (members, queries))
         y_norm, x_norm = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (y, x))
@@ -152,10 +161,12 @@ def near_copies(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     classes = rows.where("ok").groupBy("label", "embedding", "cls").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = stored(classes.withColumn("dim", F.size("embedding")), "vector-classes")
     radius = float(np.sqrt(max(2 - 2 * least, 0.0)))
-    dims = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    books = {d: Codebook.of(sample_of(classes.where(F.col("dim") == d), SAMPLE), n) for d, n in dims.items()}
+    placed = stored(_lists(classes), "listed-vectors")
+    kinds = [(r["dim"], r["lists"]) for r in placed.select("dim", "lists").distinct().collect()]
+    samples = {d: sample_of(classes.where(F.col("dim") == d), SAMPLE) for d in {d for d, _ in kinds}}
+    books = {(d, n): Codebook.of(samples[d], n * LIST_SIZE) for d, n in kinds}
     if books:
-        dealt = stored(_deal(classes.select("label", "cls", "n", "embedding"), books, radius), "dealt-vectors")
+        dealt = stored(_deal(placed.select("label", "cls", "n", "embedding", "dim", "lists"), books, radius), "dealt-vectors")
         sizes = dealt.groupBy("label", "dim", "list").agg(
             F.ceil(F.count_if("member") / MEMBERS).cast("int").alias("ms"), F.ceil(F.count("*") / QUERIES).cast("int").alias("qs")
         )
@@ -163,7 +174,7 @@ def near_copies(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         dealt = dealt.join(sizes.where("ms > 0"), ["label", "dim", "list"])
         own = F.xxhash64("cls", "list")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        cols = ["label", "dim", "list", "cls", "n", "embedding"]
+        cols = ["label", "dim", "lists", "list", "cls", "n", "embedding"]
         asked = dealt.withColumn("q", F.pmod(own, "qs").cast("int")).withColumn("m", every("ms")).withColumn("side", F.lit(0))
         held = dealt.where("member").withColumn("m", F.pmod(own, "ms").cast("int")).withColumn("q", every("qs")).withColumn("side", F.lit(1))
         tasks = asked.select(*cols, "q", "m", "side").union(held.select(*cols, "q", "m", "side"))

@@ -115,3 +115,19 @@ def test_neighbours_of_few_or_no_rows(spark):
     three = spark.createDataFrame([(i, [1.0, float(i)], 1, *["?"] * 5) for i in range(3)], SCHEMA)
     got = neighbours.nearest_neighbours(three, F.col("vec_id") == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
+
+
+def test_small_labels_are_one_list_however_many_there_are(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, i % 12, draw.normal(size=8).tolist()) for i in range(3600)]
+    classes = spark.createDataFrame(rows, "cls long, label int, embedding array<double>").selectExpr("*", "1L as n", "8 as dim")
+    assert {r.lists for r in quantise._lists(classes).select("lists").distinct().collect()} == {1}
+    # the largest label alone has lists, and every vector of another label is looked up once
+    more = [(i, 0, draw.normal(size=8).tolist()) for i in range(3600, 5000)]
+    classes = classes.union(spark.createDataFrame(more, "cls long, label int, embedding array<double>").selectExpr("*", "1L as n", "8 as dim"))
+    listed = quantise._lists(classes)
+    assert {tuple(r) for r in listed.selectExpr("label = 0", "lists").distinct().collect()} == {(True, 4), (False, 1)}
+    sample = np.array([r[2] for r in rows])
+    books = {(8, k): quantise.Codebook.of(sample / np.sqrt((sample**2).sum(1))[:, None], k * quantise.LIST_SIZE) for k in (1, 4)}
+    dealt = quantise._deal(listed.select("label", "cls", "n", "embedding", "dim", "lists"), books, 0.2)
+    assert dealt.where("label <> 0").count() == 3300

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -30,12 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardweave.llm.shared import Batch, components, pieces, row_key, share_filter, shingles, stored, words
+from shardweave.llm.shared import Batch, components, pieces, row_key, shingles, stored
 
 #: Texts in one chunk of a bucket; bounds the memory and time of a task's index, not its partners.
 CHUNK = 256
-#: Rows of the sample that orders shingles.  The order decides speed only, never the result.
-ORDER_SAMPLE = 8000
+#: Words and shingles of all texts are counted by the first bits of their hashes; the counts go round in slices.
+#: The counts order shingles, which decides speed only, never the result.
+BITS, SLICES = 20, 64
 FREQUENT_WORDS = 50_000
 FREQUENT_SHINGLES = 100_000
 #: Weight of the long lists in DivideSkip.
@@ -47,42 +49,51 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def _bins(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent words and shingles of a bounded sample, with weights.  Both lists are bounded."""
+    """Sorted bins of frequent words and shingles of all texts, with weights.  Both lists are bounded."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << BITS), np.int64)
+
+        def counted(h: np.ndarray) -> np.ndarray:
+            total[0] += np.bincount(_bins(h), minlength=1 << BITS)
+            return np.zeros(len(h), np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            texts = Batch(batch.column("text"))
-            h, n = np.unique(words(texts)[0], return_counts=True)
-            g, row, _ = shingles(texts, width)
-            pairs = np.unique(np.stack([g, row.astype(np.uint64)], 1), axis=0)[:, 0] if len(g) else g
-            g, m = np.unique(pairs, return_counts=True)
+            h = shingles(Batch(batch.column("text")), width, counted)[0]
+            total[1] += np.bincount(_bins(h), minlength=1 << BITS)
+        raw = [zlib.compress(part.tobytes(), 1) for part in total.reshape(2 * SLICES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * SLICES, dtype=np.int32)), pa.array(raw, pa.binary())], ["slice", "raw"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(raw), np.int64)
+        for k, n in total.items():
+            at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([np.zeros(len(h), bool), np.ones(len(g), bool)])),
-                    pa.array(np.concatenate([h, g]).view(np.int64)),
-                    pa.array(np.concatenate([n, m]).astype(np.int64)),
-                ],
-                ["gram", "h", "n"],
+                [pa.array(np.full(len(at), k >= SLICES)), pa.array(k % SLICES * len(n) + at), pa.array(n[at])], ["gram", "h", "n"]
             )
 
-    sample = share_filter(docs, ORDER_SAMPLE, "text").select("text")
-    counts = sample.mapInArrow(run, "gram boolean, h long, n long").groupBy("gram", "h").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(count, "slice int, raw binary").repartition("slice").mapInArrow(add, "gram boolean, h long, n long")
     counts = stored(counts.where("n > 1"), "frequent")
     out = []
     for gram, most in ((False, FREQUENT_WORDS), (True, FREQUENT_SHINGLES)):
         top = counts.where(F.col("gram") == gram).orderBy(F.desc("n"), "h").limit(most).toPandas().sort_values("h")
-        h = top["h"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(h)
-        out += [h[order], np.log2(top["n"].to_numpy(np.float32)[order] + 1)]
+        out += [top["h"].to_numpy(np.int64), np.log2(top["n"].to_numpy(np.float32) + 1)]
     return tuple(out)
 
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(of), np.float32)
-    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
-    return np.where(keys[at] == of, values[at], 0).astype(np.float32)
+def _table(bins: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weight of every bin; 0 for those not listed."""
+    out = np.zeros(1 << BITS, np.float32)
+    out[bins] = weights
+    return out
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -91,10 +102,11 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rate, grams, often = shared.value
+        of_word, of_shingle = _table(common, rate), 1000 * _table(grams, often)
         for batch in pieces(batches):
             texts = Batch(batch.column("text"))
-            h, row, weight = shingles(texts, width, lambda w: _looked_up(common, rate, w))
-            weight = weight + 1000 * _looked_up(grams, often, h)
+            h, row, weight = shingles(texts, width, lambda w: of_word[_bins(w)])
+            weight = weight + of_shingle[_bins(h)]
             at = np.searchsorted(row, np.arange(len(texts) + 1))
             sizes, classes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             prefix = [np.zeros(0, np.int64)] * len(texts)

@@ -34,6 +34,15 @@ def brute(data, width, percent):
     return sorted(((r[0], len(sets[i]), least.get(top(i))) for i, r in enumerate(data)), key=str)
 
 
+def test_frequencies_count_every_text(spark):
+    # more texts than the sample of 8,000 that was counted before
+    docs = spark.range(9000, numPartitions=5).selectExpr("id as doc_id", "if(id % 3 = 0, 'one two three', concat('one two ', id)) as text")
+    words, rate, grams, often = overlap.frequent(docs.union(docs.limit(1).selectExpr("doc_id", "cast(null as string)")), 3)
+    assert len(words) == len(rate) and len(grams) == len(often)
+    assert sorted(np.round(2 ** rate.astype(float) - 1).astype(int))[-3:] == [3000, 9000, 9000]
+    assert np.round(2 ** often.max().astype(float) - 1) == 3000
+
+
 @pytest.mark.parametrize(("width", "percent", "chunk"), [(3, 90, 256), (5, 80, 256), (2, 30, 2)])
 def test_components_equal_brute_force(spark, monkeypatch, width, percent, chunk):
     monkeypatch.setattr(overlap, "CHUNK", chunk)

@@ -4,7 +4,9 @@ Two texts link when ``100 * |common shingles| >= percent * |all shingles|``.  Te
 are one class from the start.  Among classes, a pair that links must share one of the first
 ``n - ceil(n * percent / 100) + 1`` shingles of either text in any fixed order; the order used puts shingles
 made of rare words first, so that these prefixes meet almost only where texts are near copies.  Classes that
-share such a shingle go to the bucket of the smallest of them.  Inside a bucket each text is a query against
+share such a shingle go to the bucket of the smallest of them.  Before the texts of a bucket are fetched, those
+that are too far from every other member go: the parities of a set's hashes, counted in as many bins as the set has
+shingles, differ in no more bins than the sets differ in shingles.  Inside a bucket each text is a query against
 inverted lists of whole shingle sets, solved by DivideSkip: the short lists are merged by a heap, texts with
 enough hits there are looked up in the long lists by binary search until the required overlap is reached or
 out of reach.  Every member of a hot bucket meets the members of its own chunk and the bucket's first text;
@@ -40,6 +42,12 @@ CHUNK = 256
 BITS, SLICES = 20, 64
 FREQUENT_WORDS = 50_000
 FREQUENT_SHINGLES = 100_000
+#: Bytes of text whose shingles are held at once.
+PIECE = 1 << 18
+#: Most bins of a set's parities.
+PARITIES = 1 << 15
+#: Bits that tell which texts are wanted, and those in one row of their table.
+WANTED, WANTED_ROW = 1 << 24, 1 << 15
 #: Weight of the long lists in DivideSkip.
 MU = 0.001
 
@@ -63,7 +71,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
             total[0] += np.bincount(_bins(h), minlength=1 << BITS)
             return np.zeros(len(h), np.float32)
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, 4 * PIECE):
             h = shingles(Batch(batch.column("text")), width, counted)[0]
             total[1] += np.bincount(_bins(h), minlength=1 << BITS)
         raw = [zlib.compress(part.tobytes(), 1) for part in total.reshape(2 * SLICES, -1)]
@@ -96,37 +104,46 @@ def _table(bins: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(mine: np.ndarray) -> bytes:
+    """Whether an odd number of the set's hashes falls into each of a power of two of bins."""
+    bins = min(max(64, 1 << (len(mine) - 1).bit_length()), PARITIES)
+    odd = np.bincount((mine & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, row key, set size, class and prefix shingles of every row."""
+    """doc_id, row key, set size, class, parities and prefix shingles of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rate, grams, often = shared.value
         of_word, of_shingle = _table(common, rate), 1000 * _table(grams, often)
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             texts = Batch(batch.column("text"))
             h, row, weight = shingles(texts, width, lambda w: of_word[_bins(w)])
             weight = weight + of_shingle[_bins(h)]
             at = np.searchsorted(row, np.arange(len(texts) + 1))
             sizes, classes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            prefix = [np.zeros(0, np.int64)] * len(texts)
+            prefix, odd = [np.zeros(0, np.int64)] * len(texts), [b""] * len(texts)
             for i in range(len(texts)):
                 if at[i] == at[i + 1]:
                     continue
                 mine, first = np.unique(h[at[i] : at[i + 1]], return_index=True)
                 sizes[i] = n = len(mine)
                 classes[i] = np.int64(np.uint64(xxhash.xxh3_64_intdigest(mine.tobytes())).astype(np.int64))
+                odd[i] = parities(mine)
                 order = np.lexsort((mine, weight[at[i] : at[i + 1]][first]))
                 prefix[i] = mine[order[: n - least_overlap(n, percent) + 1]].view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rk"), pa.array(sizes), pa.array(classes), keys], ["doc_id", "rk", "n", "cls", "keys"]
+                [batch.column("doc_id"), batch.column("rk"), pa.array(sizes), pa.array(classes), pa.array(odd, pa.binary()), keys],
+                ["doc_id", "rk", "n", "cls", "odd", "keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", row_key("doc_id", "text").alias("rk"))
-    return stored(rows.mapInArrow(run, f"doc_id {kind}, rk long, n long, cls long, keys array<long>"), "signatures")
+    return stored(rows.mapInArrow(run, f"doc_id {kind}, rk long, n long, cls long, odd binary, keys array<long>"), "signatures")
 
 
 def buckets(signed: DataFrame, percent: int) -> DataFrame:
@@ -220,6 +237,72 @@ class ShingleIndex:
             found, count = i, 1
 
 
+def _may_link(n: np.ndarray, odd: list[bytes], query: np.ndarray, indexed: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of one task differ from another one, query from indexed, in few enough bins for a link."""
+    out = np.zeros(len(n), bool)
+    length = np.array([len(x) for x in odd])
+    maps = {k: np.flatnonzero(length == k) for k in np.unique(length).tolist()}
+    for small, here in maps.items():
+        mine = np.frombuffer(b"".join(odd[i] for i in here), np.uint64).reshape(len(here), -1)
+        for large, there in maps.items():
+            if large < small:
+                continue
+            other = np.frombuffer(b"".join(odd[i] for i in there), np.uint64).reshape(len(there), -1, small // 8)
+            other = np.bitwise_xor.reduce(other, axis=1)  # more bins fold to fewer
+            for i, bins in zip(here, mine):
+                total = n[i] + n[there]
+                apart = np.maximum(np.bitwise_count(other ^ bins).sum(1, dtype=np.int64), np.abs(n[i] - n[there]))
+                near = apart <= total - 2 * -(-percent * total // (100 + percent))
+                near &= (there != i) & ((query[i] & indexed[there]) | (indexed[i] & query[there]))
+                out[i] |= near.any()
+                out[there[near]] = True
+    return out
+
+
+def near_enough(tasks: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``tasks`` that may link with another row of their task (hub, i, j), by the parities of their sets."""
+    names = ["hub", "i", "j", "cls", "rk", "query", "indexed", "comp"]
+
+    def whole(rows: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
+        n, query, indexed = (rows.column(c).to_numpy() for c in ("n", "query", "indexed"))
+        odd, kept = rows.column("odd").to_pylist(), np.zeros(len(rows), bool)
+        for s, e in zip([0, *ends], [*ends, len(rows)]):
+            if e - s > 1:
+                kept[s:e] = _may_link(n[s:e], odd[s:e], query[s:e], indexed[s:e], percent)
+        yield from rows.select(names).filter(pa.array(kept)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            at = np.stack([np.asarray(rows.column(c)) for c in ("hub", "i", "j")])
+            ends = (np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist()
+            rest = rows.slice(ends[-1]) if ends else rows
+            if ends:
+                yield from whole(rows.slice(0, ends[-1]), ends[:-1])
+        if rest is not None:
+            yield from whole(rest, [])
+
+    rows = tasks.select(*names, "n", "odd").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return stored(rows.mapInArrow(run, tasks.select(*names).schema), "near-enough")
+
+
+def wanted_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(rk, text) of all texts that ``rows`` name by rk and of few others, so that a join moves little else.
+
+    A table of bits of fixed size tells by hash which texts may be wanted.
+    """
+    bit = F.pmod(F.col("rk"), F.lit(WANTED))
+    place = [F.floor(bit / WANTED_ROW).alias("row"), (bit % WANTED_ROW).alias("bit")]
+    bits = rows.select(*place).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    texts = docs.select(row_key("doc_id", "text").alias("rk"), "text").select("rk", "text", *place)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # at most WANTED / WANTED_ROW rows, whatever the corpus
+    found = texts.join(F.broadcast(bits), "row").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
+    return found.select("rk", "text")
+
+
 def _shingle_sets(texts: pd.Series, width: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for start in range(0, len(texts), 64):
@@ -273,46 +356,46 @@ def _sized(members: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) links between classes that connect every pair of linked classes."""
-    one = signed.where("n > 0").groupBy("cls").agg(F.min("rk").alias("rk"), F.min("n").alias("n"))
+    one = signed.where("n > 0").groupBy("cls").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("odd").alias("odd"))
     members = stored(_sized(buckets(signed, percent)).join(one, "cls"), "bucket-members")
     # Sizes that link are at most one band apart, so a large bucket becomes one for each two neighbouring bands.
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
     cut = members.where("chunks > 1").withColumn("band", F.explode(F.array(band, band + 1)))
-    cut = _sized(cut.select(F.xxhash64("hub", "band").alias("hub"), "cls", "rk", "n"))
-    columns = ["hub", "cls", "rk", "head", "chunks", F.pmod(F.xxhash64("cls", "hub"), F.col("chunks")).cast("int").alias("i")]
+    cut = _sized(cut.select(F.xxhash64("hub", "band").alias("hub"), "cls", "rk", "n", "odd"))
+    columns = ["hub", "cls", "rk", "n", "odd", "head", "chunks", F.pmod(F.xxhash64("cls", "hub"), F.col("chunks")).cast("int").alias("i")]
     members = stored(members.where("chunks = 1").select(*columns).union(cut.select(*columns)), "bucket-chunks")
 
     def with_texts(rows: DataFrame) -> DataFrame:
         """The texts of these rows' classes, one of each."""
         keys = stored(rows.select("rk", "cls").distinct(), "text-keys")
-        texts = docs.select(row_key("doc_id", "text").alias("rk"), "text")
-        return texts.join(keys, "rk").select("cls", "text")
+        return wanted_texts(docs, keys).join(keys, "rk").select("cls", "text")
 
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    heads = members.where("head = cls and chunks > 1").select("hub", "cls", "rk", every.alias("i"))
-    first = members.where("head <> cls or chunks = 1").select("hub", "cls", "rk", "i").union(heads)
+    heads = members.where("head = cls and chunks > 1").select("hub", "cls", "rk", "n", "odd", every.alias("i"))
+    first = members.where("head <> cls or chunks = 1").select("hub", "cls", "rk", "n", "odd", "i").union(heads)
     flags = [F.lit(True).alias("query"), F.lit(True).alias("indexed"), F.lit(None).cast("long").alias("comp")]
-    texts = docs.select(row_key("doc_id", "text").alias("rk"), "text")
-    found = stored(_search(first.join(texts, "rk").select("hub", "i", F.col("i").alias("j"), "cls", "text", *flags), width, percent), "links-1")
+    first = near_enough(first.select("*", F.col("i").alias("j"), *flags), percent)
+    found = stored(_search(first.join(wanted_texts(docs, first), "rk").select("hub", "i", "j", "cls", "text", "query", "indexed", "comp"), width, percent), "links-1")
     hot = stored(members.where("chunks > 1"), "hot-buckets")
     if hot.isEmpty():
         return found
     comps = components(found)
     hot = hot.join(comps, hot["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "cls"))
-    hot = stored(hot.select("hub", "cls", "rk", "i", "chunks", "comp"), "hot-components")
-    per = hot.groupBy("hub", "comp").agg(F.count("*").alias("n"))
-    main = per.groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    hot = stored(hot.select("hub", "cls", "rk", "n", "odd", "i", "chunks", "comp"), "hot-components")
+    per = hot.groupBy("hub", "comp").agg(F.count("*").alias("size"))
+    main = per.groupBy("hub").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
     hot = stored(hot.join(main, "hub"), "hot-main")
     loose = hot.where("comp <> main")
     if loose.isEmpty():
         return found
     # every loose text meets each other chunk of its bucket once: as query there, with the chunk as index
-    asked = loose.select("hub", "i", every.alias("j"), "cls", "rk", "comp").where("i <> j")
+    asked = loose.select("hub", "i", every.alias("j"), "cls", "rk", "n", "odd", "comp").where("i <> j")
     where = asked.select("hub", "i", "j").distinct()
-    index = where.join(hot.select("hub", F.col("i").alias("j"), "cls", "rk", "comp"), ["hub", "j"])
-    rows = asked.select("hub", "i", "j", "cls", "rk", "comp", F.lit(True).alias("query"), F.lit(False).alias("indexed")).union(
-        index.select("hub", "i", "j", "cls", "rk", "comp", F.lit(False).alias("query"), F.lit(True).alias("indexed"))
+    index = where.join(hot.select("hub", F.col("i").alias("j"), "cls", "rk", "n", "odd", "comp"), ["hub", "j"])
+    rows = asked.select("hub", "i", "j", "cls", "rk", "n", "odd", "comp", F.lit(True).alias("query"), F.lit(False).alias("indexed")).union(
+        index.select("hub", "i", "j", "cls", "rk", "n", "odd", "comp", F.lit(False).alias("query"), F.lit(True).alias("indexed"))
     )
+    rows = near_enough(rows, percent)
     rest = _search(rows.join(with_texts(rows), "cls").select("hub", "i", "j", "cls", "text", "query", "indexed", "comp"), width, percent)
     return found.union(stored(rest, "links-2"))
 

@@ -88,3 +88,40 @@ def test_search_needs_no_partner_beyond_the_overlap():
             got = set(index.search(q, percent, lambda j, i=i: j == i, True))
             want = {j for j, s in enumerate(sets) if j != i and 100 * len(np.intersect1d(q, s)) >= percent * len(np.union1d(q, s))}
             assert got == want
+
+
+def test_texts_far_from_all_others_of_their_bucket_are_not_fetched(spark):
+    draw = np.random.default_rng(6)
+    sets = []
+    for n in [1, 2, 3, 30, 60, 70, 380, 500, 530, 1000, 1100]:
+        base = np.unique(draw.integers(0, 1 << 64, n, np.uint64))
+        for k in range(5):  # copies that lack up to a third, and one stranger of the size
+            sets.append(np.sort(draw.choice(base, max(1, n - n * k // 12), replace=False)))
+        sets.append(np.unique(draw.integers(0, 1 << 64, n, np.uint64)))
+    rows = [(h, 0, 0, i, i, len(s), overlap.parities(s), True, True, None) for h in (1, 2) for i, s in enumerate(sets)]
+    rows.append((3, 0, 0, 0, 0, len(sets[0]), overlap.parities(sets[0]), True, True, None))
+    schema = "hub long, i int, j int, cls long, rk long, n long, odd binary, query boolean, indexed boolean, comp long"
+    tasks = spark.createDataFrame(rows, schema).repartition(4)
+    for percent in (30, 80, 90, 100):
+        near = {
+            i for i, s in enumerate(sets) for j, t in enumerate(sets)
+            if i != j and 100 * len(np.intersect1d(s, t)) >= percent * len(np.union1d(s, t))
+        }
+        got = [(r.hub, r.cls) for r in overlap.near_enough(tasks, percent).collect()]
+        assert len(got) == len(set(got)) and {h for h, _ in got} == {1, 2}
+        assert {(h, i) for h in (1, 2) for i in near} <= set(got)
+        if percent >= 80:
+            strangers = [i for i in range(5, len(sets), 6) if len(sets[i]) > 100]
+            assert not {(h, i) for h in (1, 2) for i in strangers} & set(got)
+    # neither two queries nor two indexed rows meet
+    apart = spark.createDataFrame([(*r[:7], r[3] % 2 == 0, False, None) for r in rows], schema)
+    assert overlap.near_enough(apart, 30).collect() == []
+
+
+def test_all_wanted_texts_are_fetched_and_few_others(spark):
+    docs = spark.range(20_000, numPartitions=3).selectExpr("id as doc_id", "concat('text ', id) as text")
+    rows = docs.where("doc_id % 40 = 1").select(overlap.row_key("doc_id", "text").alias("rk"))
+    got = [r.text for r in overlap.wanted_texts(docs, rows.union(rows)).collect()]
+    assert {f"text {i}" for i in range(1, 20_000, 40)} <= set(got)
+    assert len(got) == len(set(got)) < 520
+    assert overlap.wanted_texts(docs, rows.limit(0)).collect() == []

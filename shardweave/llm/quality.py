@@ -26,6 +26,8 @@ RIDGE = 1e-3
 BINS = 1000
 LOW, HIGH = -1.0, 2.0
 FOLDS, HELD_OUT = 3, 1
+#: Bytes of text whose statistics are held at once: a byte takes some 40 bytes of numbers while it is counted.
+PIECE = 1 << 18
 
 _LETTER, _UPPER, _DIGIT, _BREAK, _STOP, _LOUD, _SIGN, _WIDE = range(8)
 _CLASS = np.full(256, 8, np.uint8)
@@ -92,7 +94,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             rows = statistics(Batch(batch.column("text"))).astype(np.float32)
             flat = pa.array(rows.ravel(), pa.float32())
             at = pa.array(np.arange(0, rows.size + 1, WIDTH, dtype=np.int32))
@@ -232,7 +234,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     model = fit(training_rows(with_statistics(docs), labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             good = model.score(statistics(Batch(batch.column("text"))).astype(np.float32).astype(np.float64)) >= least
             yield batch.filter(pa.array(good))
 

@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import odd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from shardweave.llm import language, quality, toxic
 from shardweave.llm.shared import Batch, crc_mod
@@ -236,3 +238,27 @@ def test_few_labels_and_equal_texts_of_both_labels(spark):
     model = toxic.fit(odd.docs(spark, rows), labels, folds=5, held_out=7)
     assert model.hazards("such a moron")[0] > model.hazards("such a nice day")[0]
     assert model.weights == toxic.fit(odd.docs(spark, rows).repartition(7), labels, folds=5, held_out=7).weights
+
+
+def test_statistics_hold_little_memory_whatever_the_batch():
+    class Rows:
+        """Keeps the function of a mapInArrow."""
+
+        schema = {"doc_id": type("Field", (), {"dataType": LongType()})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    texts = [f"some words of text {i} " * 500 for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    run = quality.with_statistics(Rows()).run
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 400
+    assert peak < 40e6, peak

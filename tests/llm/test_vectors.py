@@ -131,3 +131,18 @@ def test_small_labels_are_one_list_however_many_there_are(spark):
     books = {(8, k): quantise.Codebook.of(sample / np.sqrt((sample**2).sum(1))[:, None], k * quantise.LIST_SIZE) for k in (1, 4)}
     dealt = quantise._deal(listed.select("label", "cls", "n", "embedding", "dim", "lists"), books, 0.2)
     assert dealt.where("label <> 0").count() == 3300
+
+
+def test_start_graph_leaves_few_neighbours_to_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "AIM", 60)
+    made = []
+    kept = neighbours._kept
+    monkeypatch.setattr(neighbours, "_kept", lambda edges: made.append(kept(edges)) or made[-1])
+    x = np.random.default_rng(9).normal(size=(1500, 8))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, embedding array<double>").coalesce(1)
+    neighbours.build(nodes)
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    true = np.argsort(-score, axis=1)[:, : neighbours.DEGREE]
+    start = {r.node: {e.near for e in r.edges} for r in made[0].collect()}
+    assert sum(len(start[i] & set(t)) for i, t in enumerate(true.tolist())) >= 0.95 * true.size

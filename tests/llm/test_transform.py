@@ -48,6 +48,25 @@ def test_hot_keys_are_dealt_anew(spark):
         assert (sum(b - a for a, b in ranges), len(ranges)) == (removed, runs)
 
 
+def test_text_that_repeats_itself_gives_one_row_a_fragment(spark):
+    draw = random.Random(3)
+    line, block = "Is onhe. ", odd.sentence(draw, 80)[:330]
+    texts = [odd.sentence(draw, 90) + line * 300 + odd.sentence(draw, 5 * i) for i in range(20)]
+    texts += [odd.sentence(draw, 90) + line * 60, line * 47, line * 300, line * 300]  # places that occur once in their text too
+    texts += [odd.sentence(draw, 90) + (block + str(i)) * 7 + block * 5 + odd.sentence(draw, 20) for i in range(3)]  # several anchors a period
+    docs = odd.docs(spark, [(i, t, None, None, 0, *[None] * 10) for i, t in enumerate(texts)])
+    keys = {r.doc_id: r.rk_ for r in docs.select("doc_id", transform.row_key("doc_id", "text").alias("rk_")).collect()}
+    want = brute(texts, 400)
+    for limit in (20_000, 2):
+        found = {r.rk: r.spans for r in transform.spans(docs, limit=limit).collect()}
+        for i, (_, removed, runs, _) in enumerate(want):
+            ranges = transform._merged([s.asDict() for s in found.get(keys[i], [])])
+            assert (sum(b - a for a, b in ranges), len(ranges)) == (removed, runs)
+    rows = transform.fragments(docs).where("key is not null")
+    assert rows.groupBy("rk", "content").count().where("count > 1").isEmpty()
+    assert rows.agg({"times": "sum"}).first()[0] > 3 * rows.count()
+
+
 def test_windows_equal_brute_force_on_any_bytes():
     draw = random.Random(5)
     for _ in range(6):

@@ -97,24 +97,42 @@ def dyadic_join(
     bits: int = 62,
     step: int = 2,
     small: bool = False,
+    sums: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Join of ``df`` to all intervals with ``lo <= value <= hi`` and equal ``on`` columns, whatever their widths.
 
     An equi-join on level and cell: a row asks once for each level that some interval uses, which are at most
     ``bits / step``.  Intervals may overlap and lie in each other.  ``how`` is ``inner`` or ``left``; ``small`` is
     the caller's promise that the interval list is bounded, otherwise Spark decides by size whether to broadcast.
+
+    With ``sums``, whole-number expressions of an interval by name, a row comes once with their sums over all its
+    intervals instead of once for each interval.  Intervals are added up inside their cells before the join, so no
+    pair of a value and an interval is made, however many intervals a value has.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     cells = dyadic_cells(intervals, lo, hi, bits, step)
     used = sorted(r[0] for r in cells.select("__level").distinct().collect())
-    asked = df.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in used]).cast("array<int>")))
-    asked = asked.withColumn("__cell", F.expr(f"shiftright({value}, __level * {step})")).alias("v")
-    right = (F.broadcast(cells) if small else cells).alias("i")
-    same = reduce(lambda a, b: a & b, [F.col(f"v.{c}") == F.col(f"i.{c}") for c in (*on, "__level", "__cell")])
+    keys = (*on, "__level", "__cell")
+    same = reduce(lambda a, b: a & b, [F.col(f"v.{c}") == F.col(f"i.{c}") for c in keys])
+
+    def ask(values: DataFrame) -> DataFrame:
+        levels = values.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in used]).cast("array<int>")))
+        return levels.withColumn("__cell", F.expr(f"shiftright({value}, __level * {step})")).alias("v")
+
+    def lookup(right: DataFrame) -> DataFrame:
+        return (F.broadcast(right) if small else right).alias("i")
+
+    if sums is not None:
+        added = lookup(cells.groupBy(*keys).agg(*[F.sum(c).alias(name) for name, c in sums.items()]))
+        found = ask(df.select(*on, value).distinct()).join(added, same)
+        total = found.groupBy(*[F.col(f"v.{c}").alias(c) for c in (*on, value)]).agg(*[F.sum(f"i.{name}").alias(name) for name in sums])
+        whole = reduce(lambda a, b: a & b, [F.col(f"d.{c}") == F.col(f"t.{c}") for c in (*on, value)])
+        return df.alias("d").join(total.alias("t"), whole, how).select("d.*", *[F.col(f"t.{name}") for name in sums])
     extra = [c for c in intervals.columns if c not in on]
-    found = asked.join(right, same).select(*[F.col(f"v.{c}") for c in df.columns], *[F.col(f"i.{c}") for c in extra])
+    found = ask(df).join(lookup(cells), same).select(*[F.col(f"v.{c}") for c in df.columns], *[F.col(f"i.{c}") for c in extra])
     if how == "inner":
         return found
-    alone = df.join(found.select(*on, value).distinct(), [*on, value], "left_anti")
+    held = ask(df.select(*on, value).distinct()).join(lookup(cells.select(*keys).distinct()), same, "left_semi").select(*on, value).distinct()
+    alone = df.join(held, [*on, value], "left_anti")
     return found.unionByName(alone, allowMissingColumns=True)

@@ -156,10 +156,9 @@ def v09_dyadic(spark, sf_dir):
     owners = with_key_hash(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
     intervals = owners.select("s_suppkey", F.col("__hash").alias("lo"), (F.col("__hash") + F.col("s_suppkey") % 97 * 5_000_000).alias("hi"))
     parts = with_key_hash(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
-    found = dyadic_join(parts, "__hash", intervals, "lo", "hi", how="left", bits=33)
-    return found.groupBy("p_partkey").agg(
-        F.count("s_suppkey").alias("n_intervals"), F.coalesce(F.sum("s_suppkey"), F.lit(0).cast("long")).alias("keys")
-    )
+    sums = {"n_intervals": F.col("s_suppkey").isNotNull().cast("long"), "keys": F.col("s_suppkey")}
+    found = dyadic_join(parts, "__hash", intervals, "lo", "hi", how="left", bits=33, sums=sums)
+    return found.groupBy("p_partkey").agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in sums])
 
 
 @query(

@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shardweave.functions.hashing import hash_values
 from shardweave.operators import hashtree
 from shardweave.operators import reshard as R
 from shardweave.operators.intervals import dyadic_cells, dyadic_join
+from shardweave.plans import placement
 
 
 @pytest.mark.parametrize("step", [1, 2, 4])
@@ -27,6 +29,47 @@ def test_dyadic_join_equals_brute_force(spark, step):
     assert sorted((r.v, r.i) for r in left if r.i is not None) == want
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_sums_equal_those_of_the_pairs(spark, how):
+    draw = random.Random(4)
+    intervals = [(draw.choice([None, i]), draw.choice("ab"), lo, lo + draw.choice([-1, 0, 9, 700, 50_000])) for i in range(90) for lo in [draw.randrange(-30_000, 30_000)]]
+    values = [(v, draw.choice("ab"), draw.randrange(-31_000, 70_000)) for v in range(200)] + [(900, "a", None), (901, None, 5), (3, "a", 7), (3, "a", 7)]
+    df, table = spark.createDataFrame(values, "v long, g string, x long"), spark.createDataFrame(intervals, "i long, g string, lo long, hi long")
+    want = []
+    for v, g, x in values:
+        held = [i for i, k, lo, hi in intervals if g == k and None not in (x, lo, hi) and lo <= x <= hi]
+        if held or how == "left":
+            known = [i for i in held if i is not None]
+            want.append((v, g, x, len(known) if held else None, sum(known) if known else None))
+    sums = {"n": F.col("i").isNotNull().cast("long"), "total": F.col("i")}
+    for small in (False, True):
+        got = dyadic_join(df, "x", table, "lo", "hi", on=("g",), how=how, small=small, sums=sums).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_covered_parts_are_not_multiplied_by_their_intervals(spark, tmp_path, monkeypatch):
+    spark.range(1, 401).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    keys = [*range(500), 7, None]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    made = []
+
+    def joined(*args, **kwargs):
+        made.append(dyadic_join(*args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(placement, "dyadic_join", joined)
+    got = {r.p_partkey: (r.n_intervals, r["keys"]) for r in placement.v09_dyadic(spark, str(tmp_path)).collect()}
+    bounds = [(s, h, h + s % 97 * 5_000_000) for s, h in zip(range(1, 401), hash_values("murmur3", [str(s) for s in range(1, 401)]))]
+    want = {k: [0, 0] for k in keys}
+    for k, h in zip(keys, hash_values("murmur3", ["" if k is None else str(k) for k in keys])):
+        held = [s for s, lo, hi in bounds if lo <= h <= hi]
+        want[k] = [want[k][0] + len(held), want[k][1] + sum(held)]
+    assert got == {k: tuple(v) for k, v in want.items()}
+    # some 22 of 400 intervals hold a hash
+    assert sum(n for n, _ in got.values()) > 10 * len(keys)
+    assert made[0].count() == len(keys)
+
+
 def test_cells_do_not_grow_with_the_width(spark):
     table = spark.createDataFrame([(k, 3, 3 + (1 << k)) for k in range(2, 60)], "k long, lo long, hi long")
     for step, most in ((1, 2), (2, 6)):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardweave.llm import neighbours, quantise
+from shardweave.llm import neighbours, quantise, shared
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, cls string, n string, cell string, rank string"
 
@@ -110,6 +110,41 @@ def test_queries_hold_more_until_probes_find_their_neighbours(spark, monkeypatch
     assert neighbours._held(index, entries, rows, queries, 20) > 10
 
 
+def test_search_in_turns_keeps_only_tables_that_are_read(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "fresh_path", lambda spark, label: f"{tmp_path}/{label}-{len(made)}" if made.append(label) is None else "")
+    for name, value in (("AIM", 60), ("TURN", 2500), ("QUERIES", 25)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    made = []
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(2)
+    got = neighbours.nearest_neighbours(rows, F.col("vec_id") % 12 == 0).collect()
+    left = sorted(p.name.split("-")[0] for p in tmp_path.iterdir())
+    # the graph, the vectors and what was met on the way were tables as well
+    assert {"graph", "nodes"} <= set(made) and not {"graph", "nodes", "cells", "met", "meet", "messages", "vectors"} & set(left)
+    assert left.count("beams") < made.count("beams") / 2
+    assert spark.conf.get(shared.Scratch.CLEANUP) == "false"
+    found = {(r.query_id, r.vec_id) for r in got}
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    want = {(q, int(v)) for q in range(0, 600, 12) for v in np.argsort(-score[q])[:20]}
+    assert len(got) == len(found) == len(want) and len(found & want) >= 0.95 * len(want)
+
+
+def test_messages_are_for_neighbours_of_open_nodes_that_are_not_held(spark):
+    near = {1: [2, 3, 4], 2: [5, 1], 3: [6, 7, 5]}
+    cell = {n: 10 + n % 2 for n in range(1, 8)}
+    index = [(n, [1.0, float(n)], cell[n], near.get(n), near.get(n) and [cell[m] for m in near[n]]) for n in cell]
+    index = spark.createDataFrame(index, "node long, embedding array<double>, cell long, near array<long>, at array<long>")
+    beams = spark.createDataFrame(
+        [(1, [(9.0, 1, False), (8.0, 3, True), (7.0, 2, True)]), (2, [(4.0, 2, True)]), (3, [(9.0, 1, False)])],
+        "query long, beam array<struct<score double, node long, open boolean>>",
+    )
+    queries = index.where("node <= 3").select(F.col("node").alias("query"), "node", "embedding")
+    got = {(r.query, r.cell): (sorted(r.targets), r.floor, r.embedding) for r in neighbours._messages(beams, index, queries, 3).collect()}
+    low = float("-inf")
+    assert got == {(1, 11): ([5, 7], 7.0, [1.0, 1.0]), (1, 10): ([6], 7.0, [1.0, 1.0]), (2, 11): ([1, 5], low, [1.0, 2.0])}
+
+
 def test_neighbours_of_few_or_no_rows(spark):
     assert neighbours.nearest_neighbours(spark.createDataFrame([], SCHEMA), F.lit(True)).collect() == []
     three = spark.createDataFrame([(i, [1.0, float(i)], 1, *["?"] * 5) for i in range(3)], SCHEMA)
